@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from solvara.llm.near_dups import OP6_SQL, op6_near_dups
 from solvara.llm.packing import op10_packing
 from solvara.llm.sharding import op3_feistel_shards
 from solvara.llm.token_files import op1_token_files
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_feistel_shards, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_feistel_shards, op6_near_dups, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_near_dups": OP6_SQL}
