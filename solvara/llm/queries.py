@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from solvara.llm.contamination import OP5_SQL, op5_decontamination
 from solvara.llm.near_dups import OP6_SQL, op6_near_dups
 from solvara.llm.packing import op10_packing
 from solvara.llm.quality import op9_quality
@@ -9,6 +10,6 @@ from solvara.llm.sharding import op3_feistel_shards
 from solvara.llm.substrings import OP7_SQL, op7_substring_dedup
 from solvara.llm.token_files import op1_token_files
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_feistel_shards, op6_near_dups, op7_substring_dedup, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_feistel_shards, op5_decontamination, op6_near_dups, op7_substring_dedup, op9_quality, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {"op6_near_dups": OP6_SQL, "op7_substring_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_near_dups": OP6_SQL, "op7_substring_dedup": OP7_SQL}
