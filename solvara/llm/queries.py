@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from solvara.llm.contamination import OP5_SQL, op5_decontamination
+from solvara.llm.html_text import op2_html_text
 from solvara.llm.knn import OP8_SQL, op8_knn_join
 from solvara.llm.licences import OP4_SQL, op4_licence_scan
 from solvara.llm.near_dups import OP6_SQL, op6_near_dups
@@ -12,6 +13,6 @@ from solvara.llm.sharding import op3_feistel_shards
 from solvara.llm.substrings import OP7_SQL, op7_substring_dedup
 from solvara.llm.token_files import op1_token_files
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_feistel_shards, op4_licence_scan, op5_decontamination, op6_near_dups, op7_substring_dedup, op8_knn_join, op9_quality, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_html_text, op3_feistel_shards, op4_licence_scan, op5_decontamination, op6_near_dups, op7_substring_dedup, op8_knn_join, op9_quality, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {"op4_licence_scan": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_near_dups": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_knn_join": OP8_SQL}

@@ -177,13 +177,14 @@ def tag():
     return F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int")
 
 
-def without_repeats(docs: DataFrame, k: int = 13, buckets: int | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, k: int = 13, buckets: int | None = None, tidy: bool = True) -> DataFrame:
     """``docs`` with two more columns and ``text`` cut: n_words, n_removed; text is the kept words, joined by one space.
 
     A word goes if a window of ``k`` words of its document covers it and the same sequence also starts in a document of
     smaller doc_id; all windows are those of the input. The first document keeps the passage, also where it repeats
     within it. Rows of equal doc_id don't remove from each other; a null doc_id counts as the greatest. Null and blank
     texts have no words and become empty; texts of fewer than ``k`` words lose nothing. Other columns pass through.
+    Without ``tidy``, texts that lose nothing stay as they are, white space and nulls included.
     """
     spans = staged(repeated_spans(docs, k, buckets))
     joined = with_small(docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))), "__t": tag()}), spans, F.expr("__d = __doc AND __t = __tag"), "left")
@@ -201,7 +202,7 @@ def without_repeats(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
                     np.add.at(gone, [s["start"] for s in spans_], 1)
                     np.add.at(gone, [s["end"] for s in spans_], -1)
                     kept = [w for w, g in zip(words, np.cumsum(gone[:n]) > 0) if not g]
-                texts.append(b" ".join(kept))
+                texts.append(b" ".join(kept) if tidy or len(kept) < n else text)
                 counts.append(n)
                 removed.append(n - len(kept))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*columns, "text", "n_words", "n_removed"])
