@@ -1,13 +1,64 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline over ``documents``: each stage's result is written as Parquet and read again as the next one's input.
+
+Null or repeated doc_ids, null and empty texts, extra columns and empty tables are handled as the operators define.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from solvara.llm.contamination import without_leaks
+from solvara.llm.joins import with_small
+from solvara.llm.near_dups import near_duplicates
+from solvara.llm.packing import pack_documents
+from solvara.llm.quality import fit, scored
+from solvara.llm.substrings import without_repeats
+from solvara.storage import shared_dir, staged
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose label 1 is the likelier one."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored(docs, model).where("score >= 0.5").select(docs.columns)
+
+
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that of the least doc_id."""
+    groups = near_duplicates(docs)
+    gone = staged(groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    return with_small(docs, gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 13 words that an earlier document has; a text of such passages alone goes."""
+    cut = without_repeats(docs, tidy=False).where("n_removed = 0 or n_removed < n_words")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 2048 token ids: a row for each piece, with its ids as little-endian unsigned 32-bit integers."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
-from solvara.storage import shared_dir
 
-STAGES: list = []
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicate_filter),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
+#: SQL has no learned scores and no tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
