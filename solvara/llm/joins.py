@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from solvara.storage import staged
 
-#: A staged side of up to so many rows of a few numbers each is broadcast; a larger one is shuffled.
+#: A staged side of up to so many rows (or list items) of a few numbers each is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
 
-def with_small(big: DataFrame, small: DataFrame, on: Column | list[str], how: str = "inner") -> DataFrame:
-    """Join a staged ``small`` side of narrow rows: broadcast if its row count is within the bound, else by shuffle."""
-    return big.join(F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small, on, how)
+def with_small(big: DataFrame, small: DataFrame, on: Column | list[str], how: str = "inner", items: Column | None = None) -> DataFrame:
+    """Join a staged ``small`` side of narrow rows: broadcast if it is within the bound, else by shuffle.
+
+    ``items`` counts the list items of a row, for a side with lists.
+    """
+    size = small.agg(F.count("*") if items is None else F.count("*") + F.coalesce(F.sum(items), F.lit(0))).first()[0]
+    return big.join(F.broadcast(small) if size <= BROADCAST_ROWS else small, on, how)
 
 
 def _lowest(pairs: DataFrame) -> DataFrame:

@@ -169,7 +169,28 @@ def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
     tagged = docs.select(F.col("doc_id").cast("long"), tag().alias("tag"), "text")
     strings = packed_strings(tagged, k, buckets)
     spans = strings.groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag int, start int, end int")
-    return spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    lists = spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return lists.mapInArrow(merged, "__doc long, __tag int, spans array<struct<start: int, end: int>>")
+
+
+def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's spans joined where they meet, in order."""
+    for batch in batches:
+        spans = batch.column("spans")
+        row = np.repeat(np.arange(batch.num_rows), np.diff(spans.offsets.to_numpy()))
+        items = spans.flatten()
+        start, end = (items.field(f).to_numpy().astype(np.int64) for f in ("start", "end"))
+        order = np.lexsort((start, row))
+        row, start, end = row[order], start[order], end[order]
+        shift = row * (1 << 32)  # rows apart, so that one running maximum serves all
+        reach = np.maximum.accumulate(end + shift)
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = start[1:] + shift[1:] > reach[:-1]
+        first = np.flatnonzero(new)
+        ends = (np.append(reach[first[1:] - 1], reach[-1:]) - shift[first]).astype(np.int32)
+        out = pa.StructArray.from_arrays([pa.array(start[first].astype(np.int32)), pa.array(ends)], ["start", "end"])
+        sizes = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=batch.num_rows))])
+        yield pa.RecordBatch.from_arrays([batch.column("__doc"), batch.column("__tag"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), out)], ["__doc", "__tag", "spans"])
 
 
 def tag():
@@ -187,7 +208,7 @@ def without_repeats(docs: DataFrame, k: int = 13, buckets: int | None = None, ti
     Without ``tidy``, texts that lose nothing stay as they are, white space and nulls included.
     """
     spans = staged(repeated_spans(docs, k, buckets))
-    joined = with_small(docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))), "__t": tag()}), spans, F.expr("__d = __doc AND __t = __tag"), "left")
+    joined = with_small(docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))), "__t": tag()}), spans, F.expr("__d = __doc AND __t = __tag"), "left", F.size("spans"))
     columns = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", text string, n_words long, n_removed long"
 
