@@ -96,7 +96,9 @@ class Words:
             low, high = self.starts[begin], self.ends[end - 1]
             at = self.starts[begin:end] - low
             place = np.arange(high - low) - np.repeat(at, np.diff(np.append(at, high - low)))
-            weight = POSITIONS[place] if place.max() < len(POSITIONS) else mixed(place.astype(U64) + U64(77)) | U64(1)
+            weight = POSITIONS[np.minimum(place, len(POSITIONS) - 1)]
+            far = np.flatnonzero(place >= len(POSITIONS))
+            weight[far] = mixed(place[far].astype(U64) + U64(77)) | U64(1)
             out[begin:end] = np.add.reduceat(self.values[self.data[low:high]] * weight, at)
             begin = end
         return mixed(out)
