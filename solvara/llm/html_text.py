@@ -143,8 +143,6 @@ def visible(node: Node, rules: list[tuple[str, frozenset[str], str]]) -> bool:
     a = node.attributes
     if node.tag in HIDDEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" or _UNSEEN.search(a.get("style", "")):
         return False
-    if node.parent is not None and node.parent.tag == "details" and "open" not in node.parent.attributes and node.tag != "summary":
-        return False
     classes = set(a.get("class", "").split())
     return not any((not tag or tag == node.tag) and need <= classes and (not name or a.get("id") == name) for tag, need, name in rules)
 
@@ -281,7 +279,10 @@ def rendered(html: str) -> str:
             elif tag in ("td", "th") and len(contexts) > 1:
                 contexts.append((Lines(), None))
             steps.append(("out", node))
+            closed = tag == "details" and "open" not in node.attributes
             for child in reversed(node.children):
+                if closed and (isinstance(child, str) or child.tag != "summary"):
+                    continue
                 steps.append(("text", child) if isinstance(child, str) else ("in", child))
         else:
             if tag in ("td", "th") and contexts[-1][1] is None:
