@@ -11,6 +11,7 @@ from solvara.functions import rules
 from solvara.operators import clean, drift, fairness, hypotheses, models, profile, ranking, star, thresholds
 from solvara.sources.portfolio import FEATURES, PORTFOLIO_SQL, portfolio, raw_profiles, table
 from solvara.storage import staged
+from solvara.streaming import queries as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -651,3 +652,21 @@ def _(spark, folder):
     rows = labelled(spark, folder).withColumn("intensity", F.explode(F.sequence(F.lit(0), F.lit(5))))
     rows = rows.withColumn("p", F.when(F.col(KEY) % 6 < F.col("intensity"), 1 - F.col(SCORE)).otherwise(F.col(SCORE)))
     return drift.sensitivity(rows, LABEL, "p", "intensity")
+
+
+# Streams
+
+
+@query("s1_bronze_stream", PORTFOLIO_SQL + 'SELECT target_dlq_2yrs AS "SeriousDlqin2yrs", CAST(count(*) AS BIGINT) AS n_rows, CAST(count(monthly_income) AS BIGINT) AS n_income FROM scored GROUP BY 1')
+def _(spark, folder):
+    return streams.bronze(spark, folder)
+
+
+@query("t4_silver_stream", ORACLE_SQL["p1_clean_silver"])
+def _(spark, folder):
+    return streams.silver(spark, folder)
+
+
+@query("t7_gold_stream", COMBINED + "SELECT customer_id, age, round(monthly_income, 6) AS monthly_income, num_times_30_59_days_late + num_times_60_89_days_late + num_times_90_days_late AS total_delinquency_events, target_default_2yrs AS target_dlq_2yrs FROM both_")
+def _(spark, folder):
+    return streams.gold(spark, folder)
