@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvara.llm.joins import with_small
-from solvara.llm.textkit import U64, Words, chunks, rolled, run_starts
+from solvara.llm.textkit import U64, Words, chunks, rolled, run_starts, small_batches
 from solvara.storage import staged
 
 SHINGLE = 5
@@ -175,7 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*out)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start", "n_words", "shared", "union_size"])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, start long, n_words long, shared long, union_size long")
+        part = small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, item_id long, start long, n_words long, shared long, union_size long")
         found = part if found is None else found.union(part)
     similarity = (F.col("shared") / F.col("union_size")).alias("similarity")
     best = F.max(F.struct(similarity, (-F.col("start")).alias("back"), "n_words", "shared", "union_size"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvara.llm.joins import components, with_small
-from solvara.llm.textkit import U64, WORDS_IN_SHINGLE, Words, chunks, mixed, multipliers, rolled, run_starts
+from solvara.llm.textkit import U64, WORDS_IN_SHINGLE, Words, chunks, mixed, multipliers, rolled, run_starts, small_batches
 from solvara.storage import staged
 
 #: 64 permutations give 128 values (the least and the greatest under each), 4 a band: 32 bands. A pair at a similarity
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, k: int, permutations: int, rows: int) -> DataFrame
             ], ["doc_id", "text_hash", "n_shingles", "set_key", "bands"])
 
     columns = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return columns.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
+    return small_batches(columns).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
 
 
 def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -99,7 +99,7 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             yield out.filter(pa.array(same))
 
     texts = with_small(docs.select("doc_id", "text"), wanted.withColumnRenamed("rep", "__rep"), F.col("doc_id").eqNullSafe(F.col("__rep")))
-    found = staged(texts.select("cid", "set_key", "text").mapInArrow(run, "cid long, n long, shingles array<long>"))
+    found = staged(small_batches(texts.select("cid", "set_key", "text")).mapInArrow(run, "cid long, n long, shingles array<long>"))
     if found.count() > wanted.count():  # repeated rows with one doc_id
         found = staged(found.dropDuplicates(["cid"]))
     return found

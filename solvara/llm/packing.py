@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvara.llm.textkit import chunks
+from solvara.llm.textkit import chunks, small_batches
 from solvara.llm.tokens import encoder
 
 #: Ids held at a time by a task. A block this large fills thousands of windows, so its last open ones hardly count.
@@ -125,8 +125,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: i
             yield from flush()
         place()
         yield from flush()
+        encoder(vocabulary).forget()
 
-    return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(pack, SCHEMA)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

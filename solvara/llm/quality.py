@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvara.llm.joins import with_small
-from solvara.llm.textkit import U64, Words, chunks, mixed, multipliers, rolled, run_starts
+from solvara.llm.textkit import U64, Words, chunks, mixed, multipliers, rolled, run_starts, small_batches
 from solvara.storage import staged
 
 #: Hash buckets (a power of two), sizes of character n-grams, and width of a vector.
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
     texts = with_small(docs.select("doc_id", "text"), picked, F.expr("doc_id = __id"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=1 << 20):
             got = counted(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([b.tobytes() for b, _ in got], pa.binary()), pa.array([c.astype(np.float32).tobytes() for _, c in got], pa.binary())], ["doc_id", "label", "buckets", "counts"])
 
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
             model = train([s[1:] for s in samples[:rows]])
             yield pa.RecordBatch.from_arrays([pa.array([model.vectors.tobytes()], pa.binary()), pa.array([model.output.tobytes()], pa.binary())], ["vectors", "output"])
 
-    bags = texts.select("doc_id", "label", "text").mapInArrow(count, "doc_id long, label int, buckets binary, counts binary")
+    bags = small_batches(texts.select("doc_id", "label", "text")).mapInArrow(count, "doc_id long, label int, buckets binary, counts binary")
     row = bags.limit(rows).repartition(1).mapInArrow(learn, "vectors binary, output binary").first()
     return row and Model(np.frombuffer(row.vectors, np.float32).reshape(-1, WIDTH), np.frombuffer(row.output, np.float32).reshape(2, WIDTH))
 
@@ -150,10 +150,13 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     columns = docs.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=1 << 20):
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for buckets, offsets in features(batch.column("text")):
-                sums = np.add.reduceat(np.append(table.value[buckets], 0.0), offsets[:-1])
+                values = np.empty(len(buckets) + 1)
+                np.take(table.value, buckets, out=values[:-1])
+                values[-1] = 0.0
+                sums = np.add.reduceat(values, offsets[:-1])
                 size = np.diff(offsets)
                 total += np.where(size > 0, sums, 0.0)
                 n += size
@@ -161,7 +164,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], [*columns, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, schema + ", score double")
+    return small_batches(docs).mapInArrow(run, schema + ", score double")
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvara.llm.joins import with_small
-from solvara.llm.textkit import U64, Words, chunks, mixed, multipliers, rolled, run_starts
+from solvara.llm.textkit import U64, Words, chunks, mixed, multipliers, release, rolled, run_starts, small_batches
 from solvara.storage import staged
 
 #: Words of a minimiser, and windows that travel in one packed string at most.
@@ -78,7 +78,7 @@ def packed_strings(docs: DataFrame, k: int, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(chunks(batches, size=8 << 20)):
+        for number, batch in enumerate(chunks(batches, size=6 << 20)):
             words = Words(batch.column("text"))
             hashes = words.hashes()
             at, _ = run_starts(words.of, k)
@@ -115,7 +115,7 @@ def packed_strings(docs: DataFrame, k: int, buckets: int) -> DataFrame:
                     out_blob.append(pack([doc[g], tag[g], start[g], count[g].astype(np.uint8), (high - low)[part].astype(np.int32), words.data[ragged(low[part], (high - low)[part])]]))
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
 
-    return docs.mapInArrow(run, "bucket int, blob binary")
+    return small_batches(docs).mapInArrow(run, "bucket int, blob binary")
 
 
 def spans_in(table: pa.Table, k: int) -> pa.Table:
@@ -159,13 +159,14 @@ def spans_in(table: pa.Table, k: int) -> pa.Table:
             begin = (start[o] + begin - offsets[o]).astype(np.int32)
             out = [[doc[o], tag[o], begin, (begin + length + k - 1).astype(np.int32)]]
     columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in SPANS]
+    release()
     return pa.table({"__doc": columns[0], "__tag": columns[1].astype(np.int32), "start": columns[2], "end": columns[3]})
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) -> DataFrame:
     """Per document with repeats: __doc (doc_id, a null as the greatest number), __tag, spans of words [start, end)."""
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = docs.select(F.col("doc_id").cast("long"), tag().alias("tag"), "text")
     strings = packed_strings(tagged, k, buckets)
     spans = strings.groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag int, start int, end int")
@@ -228,7 +229,7 @@ def without_repeats(docs: DataFrame, k: int = 13, buckets: int | None = None, ti
                 removed.append(n - len(kept))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*columns, "text", "n_words", "n_removed"])
 
-    return joined.select(*columns, "text", "spans").mapInArrow(cut, schema)
+    return small_batches(joined.select(*columns, "text", "spans")).mapInArrow(cut, schema)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ machine; different ones collide with a probability near 2**-57 a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
@@ -53,8 +55,29 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``size`` bytes of text, or one row."""
+#: Bytes of an Arrow batch that a text operator is handed, at most, or one row.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df`` after bounding the session's Arrow batches by bytes: rows of long texts would else make large ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name) != f"{BATCH_BYTES}b":
+        df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps Python workers, and what they hold, for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about ``size`` bytes of text, or one row; release memory at the end."""
     for batch in batches:
         _, offsets = utf8(batch.column(text))
         start = 0
@@ -62,6 +85,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4
             end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1)
             yield batch.slice(start, end - start)
             start = end
+        batch = offsets = None
+    release()
 
 
 class Words:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from solvara.llm.textkit import chunks
+from solvara.llm.textkit import chunks, small_batches
 from solvara.llm.tokens import encoder
 from solvara.storage import shared_dir, staged
 
@@ -137,6 +137,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
                 writer = FileWriter(stream)
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 writer.add(doc_id, ids + end)
+        encoder(vocabulary).forget()
         if writer is None:
             return
         writer.close()
@@ -145,7 +146,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         row = [part, name, len(writer.sizes), sum(writer.sizes), fs.get_file_info(name).size]
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["part", "file", "documents", "tokens", "bytes"])
 
-    return staged(ranged.sortWithinPartitions(*keys).select("doc_id", "text").mapInArrow(write, FILE_SCHEMA))
+    return staged(small_batches(ranged.sortWithinPartitions(*keys).select("doc_id", "text")).mapInArrow(write, FILE_SCHEMA))
 
 
 def read_token_files(files: DataFrame, folder: str, wanted: list[int] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 from array import array
 from functools import lru_cache
 
-#: Cached pieces of a worker, and the longest piece kept.
+#: Cached pieces of a task, and the longest piece kept.
 CACHED_PIECES, CACHED_LENGTH = 600_000, 48
 
 _CUT = re.compile(r" (?=\S)")
@@ -79,6 +79,11 @@ class Encoder:
         return [h + b"".join(map(known.__getitem__, x)) for h, x in zip(heads, cut)]
 
 
+    def forget(self) -> None:
+        """Drop the cached pieces, at the end of a task."""
+        self.pieces, self.runs = {}, {}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
