@@ -24,7 +24,7 @@ def bin_edges(frame: DataFrame, bins: int = BINS, isolate_mode: bool = False) ->
 
     Distinct deciles, if there are at least three and none tie. Where they tie and the feature has at most 50 values, a
     bin a value, the last pooling the tail. Otherwise, with fewer than three, one cut between the two smallest values.
-    With ``isolate_mode`` that cut comes above the most frequent value, if this isn't the greatest.
+    With ``isolate_mode`` that cut instead parts the most frequent value from its neighbour above, or below the greatest.
     """
     own = frame.where("ref > 0")
     deciles = quantiles(own, ["feature"], "value", "ref", [i / bins for i in range(bins + 1)])
@@ -38,9 +38,9 @@ def bin_edges(frame: DataFrame, bins: int = BINS, isolate_mode: bool = False) ->
 
     one = middles(F.lit(1))
     if isolate_mode:
-        above = own.join(F.broadcast(sizes.select("feature", "mode")), "feature").where("value > mode").groupBy("feature").agg(F.min("value").alias("above"))
-        sizes = sizes.join(above, "feature", "left")
-        one = F.when(F.col("above").isNotNull(), F.array((F.col("mode") + F.col("above")) / 2)).otherwise(one)
+        beside = own.join(F.broadcast(sizes.select("feature", "mode")), "feature").groupBy("feature").agg(F.min(F.when(F.col("value") > F.col("mode"), F.col("value"))).alias("above"), F.max(F.when(F.col("value") < F.col("mode"), F.col("value"))).alias("below"))
+        sizes = sizes.join(beside, "feature", "left")
+        one = F.array((F.col("mode") + F.coalesce("above", "below")) / 2)
     edges = (
         F.when(F.col("distinct") < 2, F.array().cast("array<double>"))
         .when((F.size(cuts) < bins + 1) & (F.col("distinct") <= DISCRETE), middles(F.least(F.col("distinct") - 1, F.lit(bins - 1)).cast("int")))
