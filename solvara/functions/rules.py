@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Business parameters: loss of an approved bad payer, margin lost with a denied good one, operating threshold, least
@@ -47,3 +47,9 @@ def psi_class(psi: Column, moderate: float = PSI_MODERATE, severe: float = PSI_S
 def auc_alert(reference: Column, current: Column, limit: float = AUC_DROP) -> tuple[Column, Column]:
     """The drop of the AUC, negative where it rose, and whether it reaches the limit."""
     return reference - current, (reference - current) >= limit
+
+
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of ``row``, a frame of at most one aggregated row; without it they are null."""
+    key = F.lit(1).alias("__one")
+    return df.select("*", key).join(F.broadcast(row.select("*", key)), "__one", "left").drop("__one")

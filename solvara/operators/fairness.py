@@ -18,7 +18,7 @@ def income_edges(df: DataFrame, income: str, bands: int = 5) -> DataFrame:
 
 def with_income_band(df: DataFrame, income: str, bands: int = 5) -> DataFrame:
     """Add ``income_band`` and ``income_order``: quantile bands closed on the right, the lowest value included; nulls are a band of their own."""
-    rows = df.join(F.broadcast(income_edges(df, income, bands)), F.lit(True), "left")  # one row of bands + 1 numbers, or none
+    rows = rules.beside(df, income_edges(df, income, bands))  # one row of bands + 1 numbers, or none
     x, edges = F.col(income), F.col("edges")
     n = F.greatest(F.size(edges) - 1, F.lit(1))
     order = 1 + F.size(F.filter(F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0))), lambda e: x > e))

@@ -82,10 +82,10 @@ def linear_attribution(df: DataFrame, weights: dict[str, float]) -> DataFrame:
 
     (customer_id, feature, value, attribution); a constant feature has 0.
     """
-    stats = df.agg(*[x for c in weights for x in (F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__sd"))])
-    rows = df.select(KEY, *weights).crossJoin(F.broadcast(stats))  # one row
-    items = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.coalesce(F.lit(w) * F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__sd")), F.lit(0.0)).alias("attribution")) for c, w in weights.items()]
-    return rows.select(KEY, F.inline(F.array(*items)))
+    long = df.select(KEY, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.lit(float(w)).alias("weight")) for c, w in weights.items()])))
+    stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    joined = long.join(F.broadcast(stats), "feature")  # a row a feature
+    return joined.select(KEY, "feature", "value", F.coalesce(F.col("weight") * F.try_divide(F.col("value") - F.col("mean"), "sd"), F.lit(0.0)).alias("attribution"))
 
 
 def importance(attributions: DataFrame) -> DataFrame:

@@ -59,7 +59,8 @@ def cost_of_floor(df: DataFrame, label: str, score: str, operating: float = rule
     """Cheapest and operating threshold side by side, and what the latter costs more."""
     best = cheapest(cost_sweep(df, label, score)).toDF("min_threshold", "min_cost", "min_approval")
     now = with_cost(df.where(F.col(label).isNotNull()).agg(*confusion(label, F.col(score), operating)))
-    return best.crossJoin(now.select(F.lit(operating).alias("operating_threshold"), F.col("total_cost").alias("operating_cost"), F.col("approval_rate").alias("operating_approval"))).withColumn("cost_of_floor", F.col("operating_cost") - F.col("min_cost"))
+    named = now.select(F.lit(operating).alias("operating_threshold"), F.col("total_cost").alias("operating_cost"), F.col("approval_rate").alias("operating_approval"))
+    return rules.beside(best, named).withColumn("cost_of_floor", F.col("operating_cost") - F.col("min_cost"))
 
 
 def approval_sweep(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -78,10 +79,9 @@ def best_viable(swept: DataFrame, floor: float = rules.APPROVAL_FLOOR) -> DataFr
 
 
 def net_impact(df: DataFrame, label: str, score: str, chosen: DataFrame, margin: float = rules.MARGIN, loss: float = rules.LOSS) -> DataFrame:
-    """Loss avoided and margin lost at the chosen threshold, a frame of one row; no row without a threshold."""
-    rows = df.where(F.col(label).isNotNull()).crossJoin(F.broadcast(chosen.select("threshold").where("threshold is not null")))
-    out = rows.groupBy("threshold").agg(F.count_if((F.col(label) == 1) & (F.col(score) >= F.col("threshold"))).alias("bads_rejected"), F.count_if((F.col(label) == 0) & (F.col(score) >= F.col("threshold"))).alias("goods_rejected"))
-    out = out.withColumn("net", F.col("bads_rejected") * F.lit(loss) - F.col("goods_rejected") * F.lit(margin))
+    """Loss avoided and margin lost at the chosen threshold of the approval grid, a frame of one row; no row without a threshold."""
+    at = sweep(df, label, score, FLOOR_GRID).join(F.broadcast(chosen.select("threshold")), "threshold")
+    out = at.select("threshold", F.col("tp").alias("bads_rejected"), F.col("fp").alias("goods_rejected"), (F.col("tp") * F.lit(loss) - F.col("fp") * F.lit(margin)).alias("net"))
     return out.withColumn("status", F.when(F.col("net") > 0, "confirmada").otherwise("refutada"))
 
 

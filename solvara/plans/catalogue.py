@@ -249,7 +249,7 @@ def _(spark, folder):
 def _(spark, folder):
     rows = portfolio(spark, folder).where(F.col(LABEL).isNull())
     denied = rows.agg(F.avg((rules.decision(F.col(SCORE)) == "negado").cast("double")).alias("denial_rate"))
-    return denied.crossJoin(profile.numeric_summary(rows, [SCORE], exact=True).drop("column_name"))
+    return rules.beside(denied, profile.numeric_summary(rows, [SCORE], exact=True).drop("column_name"))
 
 
 @query("a13_null_labels", PORTFOLIO_SQL + "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count(target_dlq_2yrs) AS BIGINT) AS n_unlabelled FROM scored")
@@ -636,7 +636,7 @@ def _(spark, folder):
     known = F.col(LABEL).isNotNull()
     rows = portfolio(spark, folder)
     means = rows.agg(F.avg(F.when(known, F.col(SCORE))).alias("mean_ref"), F.avg(F.when(~known, F.col(SCORE))).alias("mean_cur"))
-    return drift.report(rows, [SCORE], known, ~known).select("psi", "psi_class").crossJoin(means)
+    return rules.beside(drift.report(rows, [SCORE], known, ~known).select("psi", "psi_class"), means)
 
 
 CONCEPT = LABELLED + f", pp AS (SELECT CASE WHEN {_BUCKET} < 20 THEN 'current' ELSE 'reference' END AS population, y, score AS p FROM lab)" + EVALUATE.format(by="population", src="pp")
