@@ -24,6 +24,13 @@ LATE_COUNTERS = ["num_times_30_59_days_late", "num_times_60_89_days_late", "num_
 AGES, LATE_CODE = (18, 120), 96
 
 
+def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df``, or an error that lists the columns it lacks."""
+    if missing := [n for n in names if n not in df.columns]:
+        raise ValueError(f"missing columns: {missing}")
+    return df
+
+
 def rename_columns(df: DataFrame) -> DataFrame:
     """Rename the raw columns that are present."""
     return df.withColumnsRenamed(SILVER_NAMES)

@@ -555,6 +555,13 @@ def _(spark, folder):
     return models.permutation_importance(model, test, FEATURES)
 
 
+@query("m13_sampled_shapley")
+def _(spark, folder):
+    """Mean absolute Shapley value by feature, on a sample of 500 test rows; the sample is the operator's."""
+    model, test = _fitted(spark, folder, lambda train: models.logistic(train, FEATURES))
+    return models.importance(models.sampled_shapley(model, test, FEATURES, rows=500, orders=2))
+
+
 @query("m29_without_age")
 def _(spark, folder):
     """Denied goods by age band with and without age in the model, at equal approval."""

@@ -273,3 +273,22 @@ def test_no_single_partition_over_rows(spark):
     df = rows(spark, [("m", i % 2, i / 100) for i in range(100)], "model string, y int, p double")
     plan = ranking.score_counts(df, ["model"], "y", "p")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_shapley_values_add_up(spark):
+    rng = np.random.default_rng(11)
+    data = [(i, int(rng.random() < 0.3), float(rng.normal()), float(rng.normal()) if i % 9 else None, 1.0) for i in range(300)]
+    df = rows(spark, data, "customer_id long, target_dlq_2yrs int, a double, b double, c double")
+    model = models.logistic(df, ["a", "b", "c"])
+    got = models.sampled_shapley(model, df, ["a", "b", "c"], rows=20, orders=3, background=1)
+    sums = {r.customer_id: r.s for r in got.groupBy("customer_id").agg(F.sum("attribution").alias("s")).collect()}
+    scores = {r.customer_id: r.score for r in models.probabilities(model, df, ["a", "b", "c"]).collect()}
+    assert len(sums) == 20
+    base = [scores[k] - s for k, s in sums.items()]
+    assert max(base) - min(base) < 1e-9  # the one background row's score
+    assert max(abs(r.attribution) for r in got.where("feature = 'c'").collect()) < 1e-9
+
+
+def test_required_columns(spark):
+    with pytest.raises(ValueError, match="zz"):
+        clean.require_columns(rows(spark, [(1,)], "a int"), ["a", "zz"])
