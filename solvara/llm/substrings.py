@@ -70,49 +70,105 @@ def unpack(blob: bytes, types: tuple) -> list[np.ndarray]:
     return out
 
 
-def packed_strings(docs: DataFrame, k: int, buckets: int) -> DataFrame:
+def later(doc: np.ndarray, *content: np.ndarray) -> np.ndarray:
+    """Which entries have an equal one of a lesser document."""
+    order = np.lexsort((doc, *content))
+    same = np.ones(len(order), dtype=bool)
+    same[:1] = False
+    for c in content:
+        same[1:] &= c[order][1:] == c[order][:-1]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = doc[order] > doc[order][head]
+    return out
+
+
+#: A minimiser is looked at in a chunk where it leads so many strings at least.
+LEAST_SEEN = 4
+
+
+def merged_strings(batch: pa.RecordBatch, k: int):
+    """The super-k-mers of a batch, and which of them only repeat an equal one of a lesser document of the batch.
+
+    None without windows; else words, at (first word of each window), first (first window of each string), count,
+    minimiser, windows (hashes), place (of a window in its string), doc, tag, start, repeats.
+    """
+    words = Words(batch.column("text"))
+    hashes = words.hashes()
+    at, _ = run_starts(words.of, k)
+    first, minimiser = super_kmers(hashes, at, k)
+    if not len(first):
+        return None
+    docs, tags = batch.column("doc_id").fill_null(LAST).to_numpy(), batch.column("tag").to_numpy().astype(np.uint16)
+    count = np.diff(np.append(first, len(at)))
+    windows = rolled(hashes, k)[at]
+    place = np.arange(len(at)) - np.repeat(first, count)
+    content = [np.add.reduceat(mixed(windows ^ salt) * RUN_WEIGHTS[place], first) for salt in multipliers(9, 2)]
+    text = np.searchsorted(words.of, at[first], side="right") - 1
+    doc, tag, start = docs[text], tags[text], (at[first] - words.of[text]).astype(np.int32)
+    repeats = later(doc, *content)
+    return words, at, first, count, minimiser, windows, place, doc, tag, start, repeats
+
+
+def hot_minimisers(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
+    """Minimisers that lead more strings than a mean bucket holds, from counts over all documents, sorted.
+
+    A chunk reports those above half a bucket's share of its strings, so at most 2 * buckets of them; there are at most
+    2 * buckets hot ones in all. Text beside a passage that very many documents have would else meet in one bucket.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, size=6 << 20):
+            if found := merged_strings(batch, k):
+                values, n = np.unique(found[4][~found[-1]], return_counts=True)
+                keep = n >= max(LEAST_SEEN, n.sum() / (2 * buckets))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(values[keep].view(np.int64), 0)), pa.array(np.append(n[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), n.sum()))], ["minimiser", "n", "all_"])
+
+    seen = small_batches(docs).mapInArrow(run, "minimiser long, n long, all_ long").groupBy("minimiser").agg(F.sum("n").alias("n"), F.sum("all_").alias("all_"))
+    seen = staged(seen)
+    total = seen.agg(F.sum("all_")).first()[0] or 0
+    rows = seen.where(F.col("n") >= max(LEAST_SEEN, total / (2 * buckets))).select("minimiser").collect()
+    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(U64))
+
+
+def packed_strings(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> DataFrame:
     """(bucket, blob): super-k-mers by bucket of their minimiser, and spans already known to repeat (bucket below 0).
 
     Before anything is sent, equal super-k-mers of a chunk are merged: only the least document's go on, the others'
-    windows are known to repeat. So copies and common passages cost one string a chunk, not one a document.
+    windows are known to repeat. So copies and common passages cost one string a chunk, not one a document. Strings of
+    a hot minimiser are cut into single windows, merged likewise, which spread over all buckets by their own hash.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in enumerate(chunks(batches, size=6 << 20)):
-            words = Words(batch.column("text"))
-            hashes = words.hashes()
-            at, _ = run_starts(words.of, k)
-            first, minimiser = super_kmers(hashes, at, k)
-            if not len(first):
+            found = merged_strings(batch, k)
+            if found is None:
                 continue
-            docs_, tags = batch.column("doc_id").fill_null(LAST).to_numpy(), batch.column("tag").to_numpy().astype(np.uint16)
-            count = np.diff(np.append(first, len(at)))
-            windows = rolled(hashes, k)[at]
-            place = np.arange(len(at)) - np.repeat(first, count)
-            content = [np.add.reduceat(mixed(windows ^ salt) * RUN_WEIGHTS[place], first) for salt in multipliers(9, 2)]
-            text = np.searchsorted(words.of, at[first], side="right") - 1
-            doc, tag, start = docs_[text], tags[text], (at[first] - words.of[text]).astype(np.int32)
-            order = np.lexsort((doc, content[1], content[0]))
-            same = np.zeros(len(order), dtype=bool)
-            same[1:] = (content[0][order][1:] == content[0][order][:-1]) & (content[1][order][1:] == content[1][order][:-1])
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            repeats = np.zeros(len(order), dtype=bool)
-            repeats[order] = doc[order] > doc[order][head]
+            words, at, first, count, minimiser, windows, place, doc, tag, start, repeats = found
             out_bucket, out_blob = [], []
-            if repeats.any():
+            single = ~repeats & np.isin(minimiser, hot)
+            go = np.flatnonzero(~repeats & ~single)
+            alone = np.flatnonzero(np.repeat(single, count))  # windows of the hot strings
+            of = np.repeat(np.arange(len(first)), count)[alone]
+            again = later(doc[of], windows[alone])
+            known = [np.append(doc[repeats], doc[of][again]), np.append(tag[repeats], tag[of][again])]
+            known += [np.append(start[repeats], start[of][again] + place[alone][again]).astype(np.int32), np.append(start[repeats] + count[repeats] + k - 1, start[of][again] + place[alone][again] + k).astype(np.int32)]
+            if len(known[0]):
                 out_bucket.append(-1 - number % buckets)
-                out_blob.append(pack([doc[repeats], tag[repeats], start[repeats], (start + count + k - 1).astype(np.int32)[repeats]]))
-            go = np.flatnonzero(~repeats)
-            bucket = (mixed(minimiser[go]) % U64(buckets)).astype(np.int64)
-            go = go[np.argsort(bucket, kind="stable")]
+                out_blob.append(pack(known))
+            alone, of = alone[~again], of[~again]
+            bucket = (np.concatenate([mixed(minimiser[go]), mixed(windows[alone])]) % U64(buckets)).astype(np.int64)
+            doc, tag, start = np.append(doc[go], doc[of]), np.append(tag[go], tag[of]), np.append(start[go], start[of] + place[alone]).astype(np.int32)
+            begin, count = np.append(at[first[go]], at[alone]), np.append(count[go], np.ones(len(alone), np.int64))
+            g_order = np.argsort(bucket, kind="stable")
+            doc, tag, start, begin, count = doc[g_order], tag[g_order], start[g_order], begin[g_order], count[g_order]
             edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-            low, high = words.starts[at[first[go]]], words.ends[at[first[go]] + count[go] + k - 2]
+            low, high = words.starts[begin], words.ends[begin + count + k - 2]
             for b in range(buckets):
                 part = slice(edges[b], edges[b + 1])
                 if edges[b] < edges[b + 1]:
-                    g = go[part]
                     out_bucket.append(b)
-                    out_blob.append(pack([doc[g], tag[g], start[g], count[g].astype(np.uint8), (high - low)[part].astype(np.int32), words.data[ragged(low[part], (high - low)[part])]]))
+                    out_blob.append(pack([doc[part], tag[part], start[part], count[part].astype(np.uint8), (high - low)[part].astype(np.int32), words.data[ragged(low[part], (high - low)[part])]]))
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
 
     return small_batches(docs).mapInArrow(run, "bucket int, blob binary")
@@ -168,7 +224,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
     spark = docs.sparkSession
     buckets = buckets or 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = docs.select(F.col("doc_id").cast("long"), tag().alias("tag"), "text")
-    strings = packed_strings(tagged, k, buckets)
+    strings = packed_strings(tagged, k, buckets, hot_minimisers(tagged, k, buckets))
     spans = strings.groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag int, start int, end int")
     lists = spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return lists.mapInArrow(merged, "__doc long, __tag int, spans array<struct<start: int, end: int>>")

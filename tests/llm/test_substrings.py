@@ -47,6 +47,26 @@ def test_one_bucket_and_one_partition(spark):
     assert got(spark, repeats(), buckets=1) == brute(repeats())
 
 
+def test_hot_minimisers_spread(spark):
+    """A passage in most documents: the strings around it don't meet in one bucket, and results stay exact."""
+    import random
+
+    rng = random.Random(5)
+    passage = " ".join(cases.words(rng, 14, 9000))
+    rows = [(i, f"{' '.join(cases.words(rng, 20, 9000))} {passage} {' '.join(cases.words(rng, 20, 9000))}", "en", "s", 1, 1, 1, "b", 0.1) for i in range(400)]
+    df = spark.createDataFrame(rows, cases.SCHEMA).select("doc_id", "text").withColumn("tag", substrings.tag())
+    hot = substrings.hot_minimisers(df, 13, 32)
+    assert len(hot) and got(spark, rows, buckets=32) == brute(rows)
+
+    def most(hot):
+        sizes: dict = {}
+        for r in substrings.packed_strings(df.repartition(2), 13, 32, hot).where("bucket >= 0").collect():
+            sizes[r.bucket] = sizes.get(r.bucket, 0) + len(substrings.unpack(bytes(r.blob), substrings.PACKED)[0])
+        return max(sizes.values()) / (sum(sizes.values()) / len(sizes))
+
+    assert 2 * most(hot) < most(hot[:0])
+
+
 def test_settled_by_words_where_hashes_clash(spark, monkeypatch):
     """With window hashes of two bits nearly all windows clash; the words decide."""
     rows = repeats()
