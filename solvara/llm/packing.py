@@ -14,7 +14,7 @@ from solvara.llm.textkit import chunks, small_batches
 from solvara.llm.tokens import encoder
 
 #: Ids held at a time by a task. A block this large fills thousands of windows, so its last open ones hardly count.
-BLOCK_IDS = 6 << 20
+BLOCK_IDS = 4 << 20
 
 
 class OpenWindows:

@@ -9,7 +9,7 @@ from array import array
 from functools import lru_cache
 
 #: Cached pieces of a task, and the longest piece kept.
-CACHED_PIECES, CACHED_LENGTH = 600_000, 48
+CACHED_PIECES, CACHED_LENGTH = 300_000, 48
 
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
