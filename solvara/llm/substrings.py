@@ -55,10 +55,10 @@ def pack(arrays: list[np.ndarray]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(len(b := np.ascontiguousarray(a).tobytes()).to_bytes(8, "little") + b for a in arrays))
 
 
-#: Types of a packed string's arrays: doc_id, tag, first window's word, windows, bytes of text, text.
+#: Types of a packed string's arrays: doc_id, tag in 16-bit parts, first window's word, windows, bytes of text, text.
 PACKED = (np.int64, np.uint16, np.int32, np.uint8, np.int32, np.uint8)
 #: Types of a list of spans: doc_id, tag, first word, end.
-SPANS = (np.int64, np.uint16, np.int32, np.int32)
+SPANS = (np.int64, np.int64, np.int32, np.int32)
 
 
 def unpack(blob: bytes, types: tuple) -> list[np.ndarray]:
@@ -70,6 +70,13 @@ def unpack(blob: bytes, types: tuple) -> list[np.ndarray]:
     return out
 
 
+def whole_tags(parts: np.ndarray, n: int) -> np.ndarray:
+    """The tags of ``n`` strings from their 16-bit parts, lowest first; parts that aren't there are 0."""
+    out = np.zeros((n, 4), "<u2")
+    out[:, : len(parts) // n] = parts.reshape(n, -1)
+    return out.view("<i8").ravel()
+
+
 def later(doc: np.ndarray, *content: np.ndarray) -> np.ndarray:
     """Which entries have an equal one of a lesser document."""
     order = np.lexsort((doc, *content))
@@ -99,7 +106,7 @@ def merged_strings(batch: pa.RecordBatch, k: int):
     first, minimiser = super_kmers(hashes, at, k)
     if not len(first):
         return None
-    docs, tags = batch.column("doc_id").fill_null(LAST).to_numpy(), batch.column("tag").to_numpy().astype(np.uint16)
+    docs, tags = batch.column("doc_id").fill_null(LAST).to_numpy(), batch.column("tag").to_numpy()
     count = np.diff(np.append(first, len(at)))
     windows = rolled(hashes, k)[at]
     place = np.arange(len(at)) - np.repeat(first, count)
@@ -168,7 +175,7 @@ def packed_strings(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> Da
                 part = slice(edges[b], edges[b + 1])
                 if edges[b] < edges[b + 1]:
                     out_bucket.append(b)
-                    out_blob.append(pack([doc[part], tag[part], start[part], count[part].astype(np.uint8), (high - low)[part].astype(np.int32), words.data[ragged(low[part], (high - low)[part])]]))
+                    out_blob.append(pack([doc[part], tag[part].astype("<i8").view("<u2"), start[part], count[part].astype(np.uint8), (high - low)[part].astype(np.int32), words.data[ragged(low[part], (high - low)[part])]]))
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
 
     return small_batches(docs).mapInArrow(run, "bucket int, blob binary")
@@ -181,7 +188,9 @@ def spans_in(table: pa.Table, k: int) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
         out = [unpack(b, SPANS) for b in blobs]
     else:
-        doc, tag, start, count, size, data = (np.concatenate(x) for x in zip(*(unpack(b, PACKED) for b in blobs)))
+        parts = [unpack(b, PACKED) for b in blobs]
+        parts = [[p[0], whole_tags(p[1], len(p[0])), *p[2:]] for p in parts]
+        doc, tag, start, count, size, data = (np.concatenate(x) for x in zip(*parts))
         count = count.astype(np.int64)
         strings = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).tobytes()), pa.py_buffer(data))
         words = Words(strings)
@@ -216,7 +225,7 @@ def spans_in(table: pa.Table, k: int) -> pa.Table:
             out = [[doc[o], tag[o], begin, (begin + length + k - 1).astype(np.int32)]]
     columns = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, t) for t in SPANS]
     release()
-    return pa.table({"__doc": columns[0], "__tag": columns[1].astype(np.int32), "start": columns[2], "end": columns[3]})
+    return pa.table({"__doc": columns[0], "__tag": columns[1], "start": columns[2], "end": columns[3]})
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) -> DataFrame:
@@ -225,9 +234,9 @@ def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
     buckets = buckets or 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = docs.select(F.col("doc_id").cast("long"), tag().alias("tag"), "text")
     strings = packed_strings(tagged, k, buckets, hot_minimisers(tagged, k, buckets))
-    spans = strings.groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag int, start int, end int")
+    spans = strings.groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag long, start int, end int")
     lists = spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return lists.mapInArrow(merged, "__doc long, __tag int, spans array<struct<start: int, end: int>>")
+    return lists.mapInArrow(merged, "__doc long, __tag long, spans array<struct<start: int, end: int>>")
 
 
 def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +260,8 @@ def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tag():
-    """16 bits of a text's hash: keeps rows apart that share a doc_id."""
-    return F.pmod(F.xxhash64("text"), F.lit(65536)).cast("int")
+    """64 bits of a text's hash: keeps rows apart that share a doc_id, however many these are."""
+    return F.xxhash64("text")
 
 
 def without_repeats(docs: DataFrame, k: int = 13, buckets: int | None = None, tidy: bool = True) -> DataFrame:

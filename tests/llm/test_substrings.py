@@ -88,3 +88,17 @@ def test_settled_by_words_where_hashes_clash(spark, monkeypatch):
 def test_untidy_leaves_clean_texts_alone(spark):
     rows = [(1, " a  b\n", "", "", 0, 0, 0, "", 0.0), (2, None, "", "", 0, 0, 0, "", 0.0)]
     assert [r[1] for r in got(spark, rows, tidy=False)] == [" a  b\n", None]
+
+
+def test_thousands_of_null_ids(spark):
+    """Different texts and lengths under one id, with passages of lesser ids: each loses its own words only."""
+    import random
+
+    rng = random.Random(11)
+    passages = [cases.words(rng, 20, 9000) for _ in range(8)]
+    rows = [(i, " ".join(p), "en", "s", 1, 1, 1, "b", 0.1) for i, p in enumerate(passages)]
+    for i in range(4000):
+        cut = rng.randrange(30)
+        own = [f"own{i}x{j}" for j in range(cut + rng.randrange(30))]
+        rows.append((None, " ".join(own[:cut] + rng.choice(passages) + own[cut:]), "en", "s", 1, 1, 1, "b", 0.1))
+    assert got(spark, rows) == brute(rows)
