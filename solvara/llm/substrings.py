@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,11 +143,13 @@ def packed_strings(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> Da
     """(bucket, blob): super-k-mers by bucket of their minimiser, and spans already known to repeat (bucket below 0).
 
     Before anything is sent, equal super-k-mers of a chunk are merged: only the least document's go on, the others'
-    windows are known to repeat. So copies and common passages cost one string a chunk, not one a document. Strings of
+    windows are known to repeat; these need no comparison, so each chunk's go whole to a bucket that task and number of the
+    chunk choose, as many to one as to another. So copies and common passages cost one string a chunk, not one a document. Strings of
     a hot minimiser are cut into single windows, merged likewise, which spread over all buckets by their own hash.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         for number, batch in enumerate(chunks(batches, size=6 << 20)):
             found = merged_strings(batch, k)
             if found is None:
@@ -161,7 +164,7 @@ def packed_strings(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> Da
             known = [np.append(doc[repeats], doc[of][again]), np.append(tag[repeats], tag[of][again])]
             known += [np.append(start[repeats], start[of][again] + place[alone][again]).astype(np.int32), np.append(start[repeats] + count[repeats] + k - 1, start[of][again] + place[alone][again] + k).astype(np.int32)]
             if len(known[0]):
-                out_bucket.append(-1 - number % buckets)
+                out_bucket.append(-1 - int(mixed(np.array([task << 32 | number], U64))[0] % U64(buckets)))
                 out_blob.append(pack(known))
             alone, of = alone[~again], of[~again]
             bucket = (np.concatenate([mixed(minimiser[go]), mixed(windows[alone])]) % U64(buckets)).astype(np.int64)

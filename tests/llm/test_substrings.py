@@ -102,3 +102,11 @@ def test_thousands_of_null_ids(spark):
         own = [f"own{i}x{j}" for j in range(cut + rng.randrange(30))]
         rows.append((None, " ".join(own[:cut] + rng.choice(passages) + own[cut:]), "en", "s", 1, 1, 1, "b", 0.1))
     assert got(spark, rows) == brute(rows)
+
+
+def test_known_repeats_spread(spark):
+    """Many partitions of one chunk each: what is known to repeat doesn't meet in one group."""
+    rows = [(i, " ".join(f"w{j}" for j in range(40)), "en", "s", 1, 1, 1, "b", 0.1) for i in range(400)]
+    df = spark.createDataFrame(rows, cases.SCHEMA).select("doc_id", "text").withColumn("tag", substrings.tag()).repartition(40)
+    sent = substrings.packed_strings(df, 13, 32, substrings.hot_minimisers(df.limit(0), 13, 32)).where("bucket < 0").groupBy("bucket").count().collect()
+    assert len(sent) > 12 and max(r["count"] for r in sent) < 10
