@@ -48,8 +48,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Rows are grouped by their nearest pivot. From each cell's radius, and its k + 1 least distances from the pivot, come
     for each query a score that its k-th best surely reaches and the highest that any row of a cell could have; the query
     goes only to cells that can reach it. Queries are the smaller side, so they are what is copied; a large cell is cut
-    into blocks. Of equal vectors only the k + 1 least ids can be in a result; a window's group limit keeps no more, on
-    the map side too, so a vector that a third of all rows share is no hot group.
+    into blocks. Repeated rows become one with their number, k at most. Of equal vectors only the k + 1 least ids can be in
+    a result, as one may be the query's own; a window's group limit keeps no more, on the map side too, so a vector that
+    a third of all rows share is no hot group. A query's own rows, however many, don't count for the score to reach.
 
     A query doesn't meet rows of its own id. Vectors of another length than the query's don't meet it. Ties go to the
     smaller vec_id; repeated rows of one id and vector can each be in a result. Too few rows give all there are; empty
@@ -57,7 +58,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """
     spark = vectors.sparkSession
     alike = Window.partitionBy("v").orderBy("vec_id")
-    rows = staged(vectors.withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k + 1).drop("r").withColumn("d", F.size("v")))
+    single = vectors.groupBy("vec_id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("copies"))
+    rows = staged(single.withColumn("r", F.row_number().over(alike)).where(F.col("r") <= k + 1).drop("r").withColumn("d", F.size("v")))
     n = rows.count()
     want = int(min(PIVOTS, max(1, n**0.5 / 8)))
     pivot_rows = rows.select("d", "v").distinct().withColumn("h", F.xxhash64("v")).orderBy("h", "v").limit(want).collect()
@@ -75,17 +77,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 x, (ids, p) = matrix(part.column("v")).astype(float), pivots[d]
                 far = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ p.T + (p**2).sum(1)[None], 0))
                 near = far.argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[near], pa.int32()), pa.array(far[np.arange(len(x)), near]), part.column("vec_id"), part.column("v")], ["cell", "far", "vec_id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[near], pa.int32()), pa.array(far[np.arange(len(x)), near]), part.column("vec_id"), part.column("v"), part.column("copies")], ["cell", "far", "vec_id", "v", "copies"])
 
-    cells = staged(rows.mapInArrow(assign, "cell int, far double, vec_id long, v array<long>"))
-    close = Window.partitionBy("cell").orderBy("far")
+    cells = staged(rows.mapInArrow(assign, "cell int, far double, vec_id long, v array<long>, copies long"))
+    close = Window.partitionBy("cell").orderBy("far", "vec_id")
     summary = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
-    least = cells.select("cell", "far", F.row_number().over(close).alias("r")).where(F.col("r") <= k + 1).collect()
+    ids = cells.groupBy("cell", "vec_id").agg(F.min("far").alias("far"))
+    least = ids.select("cell", "vec_id", "far", F.row_number().over(close).alias("r")).where(F.col("r") <= k + 1).collect()
     blocks = {s.cell: -(-s.n // BLOCK_ROWS) for s in summary}
     radius = {s.cell: s.radius for s in summary}
-    nearest: dict[int, list[float]] = {}
+    nearest: dict[int, list[tuple[int, float]]] = {}
     for row in least:
-        nearest.setdefault(row.cell, []).append(row.far)
+        nearest.setdefault(row.cell, []).append((row.vec_id, row.far))
 
     def route(batches):
         for batch in batches:
@@ -96,8 +99,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 own, p = pivots[len(v)]
                 norm = float(np.linalg.norm(np.asarray(v, dtype=float)))
                 own, to = zip(*[(c, s) for c, s in zip(own.tolist(), p @ np.asarray(v, dtype=float)) if c in radius])
-                lower = sorted((s - norm * far for c, s in zip(own, to) for far in nearest[c]), reverse=True)
-                reach = lower[k] if len(lower) > k else -np.inf  # k others reach it, even if one of these is the query itself
+                lower = sorted((s - norm * far for c, s in zip(own, to) for i, far in nearest[c] if i != query), reverse=True)
+                reach = lower[k - 1] if len(lower) >= k else -np.inf  # k rows of other ids reach it
                 slack = 1e-9 * (1 + abs(reach) + norm * max(radius.values()))
                 for c, s in zip(own, to):
                     if s + norm * radius[c] >= reach - slack:
@@ -109,18 +112,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     sent = queries.select("query_id", "v").mapInArrow(route, "cell int, block int, query_id long, v array<long>")
     sizes = spark.createDataFrame([(c, b) for c, b in blocks.items()], "cell int, blocks int")  # a row a cell
-    placed = cells.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", "v")
+    placed = cells.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", "v", "copies")
 
     def solve(asked: pa.Table, data: pa.Table) -> pa.Table:
         found = []
         if asked.num_rows and data.num_rows:
             data = data.sort_by("vec_id")
-            ids, x = data.column("vec_id").to_numpy(), matrix(data.column("v"))
+            ids, x, copies = data.column("vec_id").to_numpy(), matrix(data.column("v")), data.column("copies").to_numpy()
             names, q = asked.column("query_id").to_numpy(), matrix(asked.column("v"))
             for i in range(0, len(q), SCORED):
                 for name, scores in zip(names[i : i + SCORED], products(q[i : i + SCORED], x)):
                     others = np.flatnonzero(ids != name)
-                    found += [(name, ids[o], scores[o]) for o in others[best(scores[others], k)]]
+                    top = others[best(scores[others], k)]
+                    found += [(name, ids[o], scores[o]) for o in np.repeat(top, copies[top])[:k]]
         return pa.table({c: pa.array([f[j] for f in found], pa.int64()) for j, c in enumerate(("query_id", "vec_id", "score"))})
 
     local = sent.groupBy("cell", "block").cogroup(placed.groupBy("cell", "block")).applyInArrow(solve, "query_id long, vec_id long, score long")

@@ -52,3 +52,12 @@ def test_one_common_vector_and_odd_rows(spark):
 @pytest.mark.parametrize("rows", [[], [(50, [1.0])], [(50, [1.0]), (3, [2.0]), (2, [2.0])], [(0, []), (1, [])]])
 def test_few_rows(spark, rows):
     assert got(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("times", [2, 10])
+def test_repeated_query_rows_and_equal_vectors(spark, monkeypatch, times):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 40)
+    rows = vectors(3, 600)
+    alike = [(1000 * q + i, rows[q][1]) for q in (0, 50, 100) for i in range(1, 9)]
+    rows += alike + [rows[q] for q in range(0, 600, 50) for _ in range(times - 1)] + [alike[0]] * (times - 1) + [rows[7]] * 3
+    assert got(spark, rows) == brute(rows)
