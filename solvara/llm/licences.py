@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,17 +81,55 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Longest first, so that of those that start on one line the whole stands before its parts.
+KNOWN = sorted(SENTENCES.items(), key=lambda pair: (-len(pair[0]), pair[0]))
+#: Words of the longest, the lines over which one can run at most.
+LINES = max(len(s.split(" ")) for s in SENTENCES)
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
-    A sentence ends at a full stop, question or exclamation mark before white space, or at a blank line. One that runs
-    over lines is looked up whole and line by line.
+    A text is cut into lines, and after a full stop, question or exclamation mark before white space. Any run of
+    neighbouring pieces that reads as a known sentence counts. Pieces without letters or digits, as blank lines and those
+    of comment signs, don't stand between neighbours. Only texts that hold a known sentence at all are cut.
+
+    As in the SQL, what stands between two sentence ends or blank lines is looked up whole and, if it has a line break,
+    line by line: a known line that is all of it but for line breaks or signs counts twice.
     """
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    pieces = F.split(F.regexp_replace(text, f"([.!?]){SPACE}+", "$1\n\n"), f"\n{SPACE}*\n")
-    wrapped = F.transform(pieces, lambda p: F.when(p.contains("\n"), F.concat(F.array(p), F.split(p, "\n"))).otherwise(F.array(p)))
-    ids = F.transform(F.flatten(wrapped), lambda s: F.try_element_at(known, normalised(s)))
-    return F.filter(ids, lambda i: i.isNotNull())
+    anywhere = "(?:^| )(?:" + "|".join(s for s, _ in KNOWN) + ")(?: |$)"
+    parts = F.split(F.regexp_replace(text, f"([.!?]){SPACE}+", "$1\n\n"), f"\n{SPACE}*\n")
+
+    def lines(part: Column) -> Column:
+        def pairs(whole: Column) -> Column:
+            return F.transform(F.transform(F.split(part, "\n"), normalised), lambda s: F.struct(s.alias("s"), (part.contains("\n") & (s == whole)).alias("twice")))
+
+        return let(normalised(part), pairs)
+
+    pieces = F.filter(F.flatten(F.transform(parts, lines)), lambda x: x.s != "")
+    known = F.array(*[F.struct(F.lit(f"{s} ").alias("s"), F.lit(i).alias("id"), F.lit(len(s) + 1).alias("end")) for s, i in KNOWN])
+
+    def starting(all_: Column, at: Column) -> Column:
+        piece = F.element_at(all_, at)
+        first = F.concat(piece.s, F.lit(" "))
+
+        def found(run: Column) -> Column:
+            words = F.translate(run, "\n", " ")
+            here = F.filter(known, lambda k: words.startswith(k.s) & (F.substring(run, k.end, F.lit(1)) == "\n"))
+            return F.flatten(F.transform(here, lambda k: F.array_repeat(k.id, F.when(piece.twice & (k.s == first), 2).otherwise(1))))
+
+        begins = F.exists(known, lambda k: k.s.startswith(first))
+        return F.when(begins, let(F.concat(F.array_join(F.transform(F.slice(all_, at, F.lit(LINES)), lambda x: x.s), "\n"), F.lit("\n")), found)).otherwise(F.array().cast("array<string>"))
+
+    def runs(all_: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(all_)), lambda at: starting(all_, at)))
+
+    return F.when(normalised(text).rlike(anywhere), let(pieces, runs)).otherwise(F.array().cast("array<string>"))
 
 
 def licences(ids: Column) -> Column:

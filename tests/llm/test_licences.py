@@ -54,3 +54,59 @@ def test_empty_and_repeated(spark):
 def test_every_rule_names_known_sentences():
     known = set(licences.SENTENCES.values())
     assert all(i in known for _, seq in licences.RULES for i in seq)
+
+
+APACHE = """Copyright 2020 Some One
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """Copyright (C) 2020  Some One
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+ISC = """Copyright (c) 2020 Some One
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_public_headers_after_copyright_lines_and_in_comments(spark):
+    whole = {
+        APACHE: (["apache-2-use", "apache-2-copy", "apache-2-basis", "apache-2-limits"], "Apache-2.0"),
+        GPL: (["gpl-3-grant", "gpl-warranty", "gpl-details"], "GPL-3.0-or-later"),
+        ISC: (["isc-grant"], "ISC"),
+        MIT: (["mit-grant", "mit-condition", "mit-warranty", "mit-liability"], "MIT"),
+        MPL: (["mpl-2-notice"], "MPL-2.0"),
+    }
+    texts, wanted = [], []
+    for text, (ids, name) in whole.items():
+        lines = text.split("\n")
+        close = text.replace("\n\n", "\n")
+        for shown in (text, close, "\r\n".join(lines), "\n".join("# " + x for x in lines), "\n".join(("# " + x).rstrip() for x in lines) + "\n\nimport os\n", "/*\n" + "\n".join(" * " + x for x in lines) + "\n */\nint x;", "\n".join("// " + x for x in lines)):
+            texts.append(shown)
+            wanted.append((ids, [name]))
+    got = found(spark, texts)
+    assert [got.get(i) for i in range(len(texts))] == wanted
+
+
+def test_runs_keep_to_whole_lines(spark):
+    got = found(spark, ["not\nreleased under\n#\nthe MIT\nLicense\nat all", "It is released under\nthe MIT License", "released under\nthe MIT License of\nold", "All rights\nreserved"])
+    assert got == {0: (["mit-notice"], ["MIT"]), 3: (["all-rights"], ["all-rights-reserved"])}
