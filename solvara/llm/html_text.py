@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
-HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas svg math area base link meta param rp".split())
+HIDDEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas area base link meta param rp".split())
+#: In svg and math: elements that show nothing, and those whose text shows.
+FOREIGN_HIDDEN = frozenset("annotation annotation-xml defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter mphantom".split())
+FOREIGN_TEXT = frozenset("text foreignobject mi mo mn ms mtext".split())
+#: HTML elements that end svg and math.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table ul search select".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir pre blockquote table figure hr fieldset".split())
 #: What an opening tag closes, up to the nearest of the scope's elements.
@@ -42,19 +47,22 @@ DEPTH = 256
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|<!--|-->", re.S)
+_SHOWS = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*\Z", re.I)
+_SCREEN = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*\Z", re.I)
 _SIMPLE = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)\Z", re.I)
 
 
 class Node:
     """An element; children are nodes and strings in order."""
 
-    __slots__ = ("attributes", "children", "depth", "parent", "tag")
+    __slots__ = ("attributes", "children", "depth", "foreign", "parent", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
         self.depth = parent.depth + 1 if parent else 0
+        within = parent is not None and parent.foreign  # "no" in svg and math where no text shows, "text" in svg text
+        self.foreign = "" if tag in FOREIGN_TEXT - {"text"} or tag == "annotation-xml" else "text" if within and tag == "text" else within or ("no" if tag in ("svg", "math") else "")
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -104,6 +112,9 @@ def tree(html: str) -> tuple[Node, list[str]]:
             if walk.tag == name and walk.parent is not None:
                 node = walk.parent
             continue
+        if node.foreign and name in BREAKOUT:
+            while node.foreign:
+                node = node.parent
         if name in ENDS_P:
             close({"p"}, {"table", "td", "th", "button"})
         if name in CLOSES:
@@ -119,32 +130,67 @@ def tree(html: str) -> tuple[Node, list[str]]:
             text = html[at : stop.start() if stop else len(html)]
             at = stop.end() if stop else len(html)
             if name == "style":
-                styles.append(text)
+                if screen(new.attributes.get("media", "")):
+                    styles.append(text)
             elif name in RCDATA:
                 new.children.append(unescape(text))
-        elif name not in VOID and new.depth < DEPTH:
+        elif name not in VOID and new.depth < DEPTH and not ((node.foreign or new.foreign) and m[3].endswith("/")):
             node = new
     return root, styles
 
 
-def hidden_by(styles: list[str]) -> list[tuple[str, frozenset[str], str]]:
-    """Simple selectors (an element name, classes, an id) that style sheets make invisible."""
-    out = []
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", "\n".join(styles), flags=re.S)):
-        if _UNSEEN.search(body):
-            for selector in selectors.split(","):
-                if (m := _SIMPLE.match(selector.strip())) and m[0]:
-                    parts = re.findall(r"([.#])([\w-]+)", m[2])
-                    out.append(((m[1] or "").lower(), frozenset(v for k, v in parts if k == "."), next((v for k, v in parts if k == "#"), "")))
-    return out
+def screen(media: str) -> bool:
+    """Whether a media list holds for screens without a condition."""
+    return any(_SCREEN.match(m) for m in media.split(","))
+
+
+def declared(text: str) -> list[tuple[str, bool, bool]]:
+    """(property, whether it hides, whether important) of the display and visibility declarations."""
+    found = (_SHOWS.match(d) for d in text.split(";"))
+    return [(m[1].lower(), m[2].lower() in ("none", "hidden", "collapse"), bool(m[3])) for m in found if m]
 
 
-def visible(node: Node, rules: list[tuple[str, frozenset[str], str]]) -> bool:
+def hidden_by(styles: list[str]) -> list[tuple]:
+    """Rules on display and visibility, weakest first: (important, (ids, classes, tags)), selector parts, property, hides.
+
+    Selectors are simple ones (an element name, classes, an id). Blocks of at-rules count only for plain screens or all
+    media, as a condition may not hold; nested rules don't count.
+    """
+    out = []
+    for style in styles:
+        stack: list = [None]  # None: rules count here; False: nothing does; else the selectors of the rule
+        for piece in re.findall(r"[^{};]*(?:[{};]|\Z)", _NOISE.sub(" ", style)):
+            text, mark = (piece[:-1], piece[-1]) if piece[-1:] in ("{", "}", ";") and piece else (piece, "")
+            top = stack[-1]
+            if mark == "{":
+                name = text.strip()
+                media = re.match(r"@media(?![\w-])(.*)\Z", name, re.I | re.S)
+                stack.append(False if top is not None else (None if media and screen(media[1]) else False) if name.startswith("@") else re.split(r",(?![^(]*\))", name))
+                continue
+            for prop, hides, important in declared(text) if top else []:
+                for selector in top:
+                    if (m := _SIMPLE.match(selector.strip())) and m[0]:
+                        parts = re.findall(r"([.#])([\w-]+)", m[2])
+                        classes, ids = frozenset(v for k, v in parts if k == "."), [v for k, v in parts if k == "#"]
+                        out.append(((important, (len(ids), len(parts) - len(ids), bool(m[1]))), (m[1] or "").lower(), classes, ids[0] if ids else "", prop, hides))
+            if mark == "}" and len(stack) > 1:
+                stack.pop()
+    return sorted(out, key=lambda r: r[0])
+
+
+def visible(node: Node, rules: list[tuple]) -> bool:
+    """Whether an element shows: the last matching declaration of each property decides, the inline ones after the sheets'."""
     a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a or node.tag == "dialog" and "open" not in a or node.tag == "input" or _UNSEEN.search(a.get("style", "")):
+    if node.tag in HIDDEN or node.foreign and node.tag in FOREIGN_HIDDEN or node.tag in ("input", "annotation-xml"):
         return False
+    state = {"display": ((False, False), "hidden" in a or node.tag == "dialog" and "open" not in a)}
     classes = set(a.get("class", "").split())
-    return not any((not tag or tag == node.tag) and need <= classes and (not name or a.get("id") == name) for tag, need, name in rules)
+    found = [((important, False), prop, hides) for (important, _), tag, need, name, prop, hides in rules if (not tag or tag == node.tag) and need <= classes and (not name or a.get("id") == name)]
+    found += [((important, True), prop, hides) for prop, hides, important in declared(_NOISE.sub(" ", a.get("style", "")))]
+    for weight, prop, hides in found:
+        if weight >= state.get(prop, (weight,))[0]:
+            state[prop] = weight, hides
+    return not any(hides for _, hides in state.values())
 
 
 class Lines:
@@ -249,6 +295,8 @@ def rendered(html: str) -> str:
                 continue
             if tag and not visible(node, rules):
                 continue
+            if node.foreign or tag in FOREIGN_TEXT:
+                lines.space |= tag == "text" or node.parent is not None and node.parent.tag in ("mfrac", "mtr", "mroot")
             if tag == "hr":
                 lines.end(2)
                 lines.add(["---"])
@@ -281,7 +329,7 @@ def rendered(html: str) -> str:
             steps.append(("out", node))
             closed = tag == "details" and "open" not in node.attributes
             for child in reversed(node.children):
-                if closed and (isinstance(child, str) or child.tag != "summary"):
+                if closed and (isinstance(child, str) or child.tag != "summary") or node.foreign == "no" and isinstance(child, str):
                     continue
                 steps.append(("text", child) if isinstance(child, str) else ("in", child))
         else:

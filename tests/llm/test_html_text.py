@@ -47,3 +47,23 @@ def test_tables(spark):
     df = html_text(spark.createDataFrame(rows, "page_id long, html string, text int"))
     assert [(r.page_id, r.text) for r in df.collect()] == [(1, "a"), (2, None), (None, ""), (1, "a")]
     assert df.limit(0).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<style>@media print{.n{display:none}}</style><b class=n>1</b>", "1"),
+        ("<style>@media (max-width:600px){.n{display:none} .m{display:none}} .k{display:none}</style><b class=n>1</b><b class=m>2</b><b class=k>3</b>", "12"),
+        ("<style>@media screen{.n{display:none}} @media only screen, print{.m{display:none}}</style><b class=n>1</b><b class=m>2</b>3", "3"),
+        ("<style media=print>.n{display:none}</style><b class=n>1</b>", "1"),
+        ("<style>.m.open{display:block}.m{display:none}</style><b class=m>1</b><b class='m open'>2</b>", "2"),
+        ("<style>.m{display:none}.m{display:block}.k{display:none!important}.k{display:block}</style><b class=m>1</b><b class=k>2</b>", "1"),
+        ("<style>.m{display:none}.k{display:none!important}</style><b class=m style='display:inline'>1</b><b class=k style='display:inline'>2</b>", "1"),
+        ("<style>.m{content:'}.k{display:none}'}</style><b class=k>1</b>", "1"),
+        ("a <svg><title>t</title><defs/><path d='x'/><text>one</text> <text>two</text></svg> b", "a one two b"),
+        ("<math><mi>x</mi> <mo>=</mo><mn>2</mn><annotation>no</annotation></math>", "x=2"),
+        ("<svg><path d='x'><p>kept</p>", "kept"),
+    ],
+)
+def test_conditions_cascade_and_foreign_text(html, text):
+    assert rendered(html) == text
