@@ -537,8 +537,8 @@ def _(spark, folder):
 
 @query("m4_boosted_trees")
 def _(spark, folder):
-    """Evaluation of boosted trees on the test rows; 20 trees here, 300 by default in the operator."""
-    model, test = _fitted(spark, folder, lambda train: models.boosted_trees(train, FEATURES, trees=20))
+    """Evaluation of boosted trees on the test rows."""
+    model, test = _fitted(spark, folder, lambda train: models.boosted_trees(train, FEATURES))
     return ranking.evaluate(models.probabilities(model, test, FEATURES).withColumn("model", F.lit("trees")), ["model"], LABEL, SCORE)
 
 
@@ -557,9 +557,9 @@ def _(spark, folder):
 
 @query("m13_sampled_shapley")
 def _(spark, folder):
-    """Mean absolute Shapley value by feature, on a sample of 500 test rows; the sample is the operator's."""
+    """Mean absolute Shapley value by feature, on the operator's sample of test rows."""
     model, test = _fitted(spark, folder, lambda train: models.logistic(train, FEATURES))
-    return models.importance(models.sampled_shapley(model, test, FEATURES, rows=500, orders=2))
+    return models.importance(models.sampled_shapley(model, test, FEATURES))
 
 
 @query("m29_without_age")
