@@ -109,8 +109,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: i
             held = 0
 
         for batch in chunks(batches):
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
-                ids += end
+            all_ids, at = encode(batch.column("text"))
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                ids = all_ids[at[k] : at[k + 1]].tobytes() + end
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     part = ids[4 * start : 4 * (start + size)]
@@ -125,7 +126,6 @@ def pack_documents(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: i
             yield from flush()
         place()
         yield from flush()
-        encoder(vocabulary).forget()
 
     return small_batches(docs.select("doc_id", "text")).mapInArrow(pack, SCHEMA)
 

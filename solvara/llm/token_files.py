@@ -135,9 +135,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
             if writer is None:
                 stream = fs.open_output_stream(draft)
                 writer = FileWriter(stream)
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
-                writer.add(doc_id, ids + end)
-        encoder(vocabulary).forget()
+            ids, at = encode(batch.column("text"))
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                writer.add(doc_id, ids[at[k] : at[k + 1]].tobytes() + end)
         if writer is None:
             return
         writer.close()

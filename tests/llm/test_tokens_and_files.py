@@ -4,9 +4,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from solvara.llm import packing, token_files
+from solvara.llm import packing, token_files, tokens
 from solvara.llm.tokens import Encoder
 from solvara.storage import shared_dir
 from tests.llm import cases
@@ -14,22 +15,64 @@ from tests.llm import cases
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-@pytest.fixture(scope="module")
-def library():
+def plain_call(texts, plain_specials=False):
+    """Ids of each text by the library's plain call."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return lambda texts: [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    t.encode_special_tokens = plain_specials
+    return [np.array(e.ids, dtype="<u4").tobytes() for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+
+
+@pytest.fixture(scope="module")
+def library():
+    return plain_call
+
+
+def encoded(encoder, texts):
+    ids, at = encoder.encode(pa.array(texts, pa.string()))
+    return [ids[at[k] : at[k + 1]].tobytes() for k in range(len(texts))]
+
+
+def odd_texts(seed, n):
+    rng = random.Random(seed)
+    parts = [" ", "  ", "   ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u3000", "\x1c", "\x85", "a", "Word", "é", "×", "÷", "ñandú", "don't", "'s", "'", "'re", "12", "3a4", "²", "½", "_", "<|endoftext|>", "日本", "😀", "e\u0301", "--", "x" * 60, "ª", "\x00", "µ", "\u200b", "“", "s", "ll"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(n)] + [None, "", " ", "<|endoftext|>", "a <|endoftext|> b"]
+
+
+@pytest.mark.parametrize("plain_specials", [False, True])
+def test_encoder_equals_library_on_odd_texts(plain_specials):
+    texts = odd_texts(3, 3000)
+    want = plain_call(texts, plain_specials)
+    encoder = Encoder(PATH, plain_specials)
+    assert encoded(encoder, texts) == want
+    assert encoded(encoder, texts) == want  # from the cache
+    assert (want[-2] == np.array([50256], "<u4").tobytes()) != plain_specials
+
+
+def test_encoder_equals_library_in_small_slices_and_with_few_pieces_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 50)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 3 << 20)
+    dropped = []
+    bounded = tokens.Pieces.bounded
+    monkeypatch.setattr(tokens.Pieces, "bounded", lambda self, most: (dropped.append(self.n), bounded(self, most), dropped.append(self.n)))
+    encoder, rng = Encoder(PATH), random.Random(4)
+    for seed in range(3):
+        texts = odd_texts(seed, 100) + [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 20))) for _ in range(20_000))]
+        assert encoded(encoder, texts) == plain_call(texts)
+    assert any(b < a for a, b in zip(dropped[::2], dropped[1::2]))
 
 
-def test_encoder_equals_library_on_odd_texts(library):
-    rng = random.Random(3)
-    parts = [" ", "  ", "   ", "\n", "\n\n", "\t", "\r\n", " ", "　", "\x1c", "\x85", "a", "Word", "é", "ñandú", "don't", "'s", "'", "12", "3a4", "²", "½", "_", "<|endoftext|>", "日本", "😀", "--", "x" * 60, "ª", "\x00", "µ"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(3000)] + [None, ""]
-    encoder = Encoder(PATH)
-    assert encoder.encode(texts) == library(texts)
-    assert encoder.encode(texts) == library(texts)  # from the cache
+def test_another_pre_tokenizer_is_left_to_the_library(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(PATH)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    other.save(str(tmp_path / "other.json"))
+    texts = odd_texts(5, 200)
+    encoder = Encoder(str(tmp_path / "other.json"))
+    want = [np.array(e.ids, "<u4").tobytes() for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert not encoder.by_pieces and encoded(encoder, texts) == want and want != plain_call(texts)
 
 
 def test_file_round_trip_and_random_access(monkeypatch):
@@ -123,3 +166,29 @@ def test_packing_keeps_every_id_once(spark, library, odd):
         parts.sort()
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
     assert packing.pack_documents(spark.createDataFrame([], cases.SCHEMA), PATH).count() == 0
+
+
+def test_queries_digest_what_the_library_gives(spark, tmp_path):
+    rows = cases.rows()
+    spark.createDataFrame(rows, cases.SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = sorted((r[0], r[1]) for r in rows)
+    ids = dict(zip([d for d, _ in texts], plain_call([t for _, t in texts])))
+    end, start = lambda x: x.to_bytes(4, "little"), 0
+    files = {r.doc_id: r for r in token_files.op1_token_files(spark, str(tmp_path)).collect()}
+    assert len(files) == len(rows)
+    for d, _ in texts:
+        whole = ids[d] + end(2)
+        assert (files[d].start, files[d].n_tokens, files[d].ids_crc32) == (start, len(whole) // 4, zlib.crc32(whole))
+        start += len(whole) // 4
+    pieces: dict = {}
+    packed = packing.op10_packing(spark, str(tmp_path))
+    assert packed.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    for p in packed.collect():
+        pieces.setdefault(p.doc_id, []).append(p)
+    for d, _ in texts:
+        whole, at = ids[d] + end(1), 0
+        for p in sorted(pieces[d], key=lambda p: p.start):
+            part = whole[4 * p.start : 4 * (p.start + p.length)]
+            assert (p.start, p.ids_crc32, p.doc_tokens) == (at, zlib.crc32(part), len(whole) // 4) and p.offset + p.length <= 2048
+            at += p.length
+        assert 4 * at == len(whole)
