@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from fractions import Fraction
 
@@ -16,12 +17,18 @@ from solvara.storage import staged
 
 SHINGLE = 5
 SIMILARITY = Fraction(3, 4)
-#: Fingerprints of 64 bits in RADIUS + 1 blocks: two that differ in RADIUS bits at most agree in one block.
-RADIUS = 3
-#: Window sizes in words. Windows of size W start at every max(1, W // 4)-th word.
-WINDOWS = (1, 2, 3, 4, 5, 8, 12, 16, 24, 32, 48, 64)
-#: Items held by a pass over the documents; more are taken block by block.
-ITEMS_A_PASS = 20_000
+#: Fingerprints of 64 bits are looked up by 4 blocks of 16 bits: of two that differ in RADIUS bits at most, one block
+#: differs in RADIUS // 4 at most. The radius is chosen by measured recall, see README.
+BLOCKS, RADIUS = 4, 15
+#: Item-sized windows start at every STEPS-th part of their size; sizes that differ less than GRID share their windows.
+STEPS, GRID = 6, 1.25
+#: Words on which windows are fingerprinted together.
+SLICE_WORDS = 1 << 14
+#: Runs of words that an item must have unchanged in a similar passage: sizes in words, and the bits in which their
+#: fingerprints may differ. Runs of W words start at every max(1, W // 4)-th word.
+RUNS, RUN_RADIUS = (1, 2, 3, 4, 5, 8, 12, 16, 24, 32, 48, 64), 3
+#: Bytes of item texts held by a pass over the documents, about; more are taken part by part.
+PASS_BYTES = 8 << 20
 
 
 def stride(window: int) -> int:
@@ -40,9 +47,9 @@ def clean_run(n: int, similarity: Fraction = SIMILARITY) -> int:
     return -(-(m - missing) // (missing // (SHINGLE - 1) + 1)) + SHINGLE - 1
 
 
-def window_for(n: int) -> int:
-    """The largest window that fits into the clean run wherever its stride falls."""
-    return max(w for w in WINDOWS if w + stride(w) - 1 <= clean_run(n) or w == 1)
+def run_for(n: int) -> int:
+    """The largest run that fits into the clean run wherever its stride falls."""
+    return max(w for w in RUNS if w + stride(w) - 1 <= clean_run(n) or w == 1)
 
 
 def fingerprints(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
@@ -59,53 +66,127 @@ def fingerprints(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndar
     return np.packbits(votes > n // 2, axis=1).view(U64).reshape(-1)
 
 
+def item_window(n: int) -> int:
+    """The size of the windows that items of ``n`` words share: a power of GRID, near ``n``."""
+    return round(GRID ** round(math.log(n) / math.log(GRID)))
+
+
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """Running sums of each bit over the shingles' hashes, from 0."""
+    sums = np.zeros((max(len(hashes) - SHINGLE + 1, 0) + 1, 64), dtype=np.int32)
+    if len(sums) > 1:
+        np.cumsum(np.unpackbits(rolled(hashes, SHINGLE).view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=sums[1:])
+    return sums
+
+
+def window_prints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """SimHash of windows of any sizes from SHINGLE words on: the majority of each bit over their shingles."""
+    last = ends - SHINGLE + 1
+    return np.packbits(2 * (sums[last] - sums[starts]) > (last - starts)[:, None], axis=1).view(U64).reshape(-1)
+
+
+def windows_of(of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text) of each text's windows of ``size`` words at the stride, the last one at its end, or the whole of a shorter text."""
+    words = np.diff(of)
+    step = max(1, size // STEPS)
+    count = np.where(words < SHINGLE, 0, np.maximum(-(-(words - size) // step), 0) + 1)
+    text = np.repeat(np.arange(len(words)), count)
+    at = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * step
+    at = np.minimum(at, np.maximum(words - size, 0)[text]) + of[text]
+    return at, np.minimum(at + size, of[text + 1]), text
+
+
+def neighbours(bits: int, radius: int) -> np.ndarray:
+    """All numbers of ``bits`` bits with ``radius`` ones at most."""
+    every = np.arange(1 << bits)
+    return every[np.bitwise_count(every) <= radius]
+
+
 class Index:
-    """Fingerprints of the items' windows, of one size, by each block of bits."""
+    """Fingerprints by each block of bits, entered under all keys that a print within the radius can have in a block."""
 
-    def __init__(self, prints: np.ndarray, owners: np.ndarray):
-        self.prints, self.owners = prints, owners
-        edges = np.linspace(0, 64, RADIUS + 2).astype(int)
-        self.cuts = [(U64(a), U64((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+    def __init__(self, prints: np.ndarray, owners: np.ndarray, radius: int):
+        self.prints, self.owners, self.radius = prints, owners, radius
+        near = neighbours(64 // BLOCKS, radius // BLOCKS)
         self.tables = []
-        for shift, mask in self.cuts:
-            key = ((prints >> shift) & mask).astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            self.tables.append((np.concatenate([[0], np.cumsum(np.bincount(key, minlength=int(mask) + 1))]), order))
+        for shift in range(0, 64, 64 // BLOCKS):
+            key = ((prints >> U64(shift)) & U64(0xFFFF)).astype(np.int64)
+            keys = (key[:, None] ^ near).ravel()
+            order = np.argsort(keys, kind="stable")
+            table = np.concatenate([[0], np.cumsum(np.bincount(keys, minlength=1 << 16))])
+            self.tables.append((U64(shift), table, (order // len(near)).astype(np.int32)))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (index of print, item) within the radius."""
+        """All pairs (index of print, item) within the radius, some of them repeated."""
         at, item = [], []
-        for (shift, mask), (offsets, order) in zip(self.cuts, self.tables):
-            key = ((prints >> shift) & mask).astype(np.int64)
+        for shift, offsets, entries in self.tables:
+            key = ((prints >> shift) & U64(0xFFFF)).astype(np.int64)
             low = offsets[key]
             count = offsets[key + 1] - low
-            hit = np.flatnonzero(count)
-            count = count[hit]
-            own = np.repeat(hit, count)
-            other = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[hit], count)]
-            near = np.bitwise_count(prints[own] ^ self.prints[other]) <= RADIUS
-            at.append(own[near])
-            item.append(self.owners[other[near]])
-        return np.concatenate(at), np.concatenate(item)
+            ends = np.cumsum(count)
+            begin = 0
+            while begin < len(prints):  # in parts, so that frequent keys of many prints don't pile up
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + (1 << 20), side="right")))
+                part = slice(begin, end)
+                own = np.repeat(np.arange(begin, end), count[part])
+                other = entries[np.arange(len(own)) - np.repeat(np.cumsum(count[part]) - count[part], count[part]) + np.repeat(low[part], count[part])]
+                near = np.bitwise_count(prints[own] ^ self.prints[other]) <= self.radius
+                at.append(own[near])
+                item.append(self.owners[other[near]])
+                begin = end
+        return np.concatenate([np.zeros(0, np.int64), *at]), np.concatenate([np.zeros(0, np.int64), *item])
 
 
 class Items:
-    """Items prepared for one pass: shingle counts of each, and an index for each window size."""
+    """Items prepared for one pass: shingle counts of each, an index for each size of windows, and one for each of runs."""
 
     def __init__(self, ids: list[int], texts: list[str]):
         words = Words(pa.array(texts, pa.string()), lower=True)
         self.ids, self.n, hashes = ids, words.counts(), words.hashes()
         self.shingles = []
-        by_window: dict[int, tuple[list, list]] = {}
+        by_size: dict[int, list] = {}
+        by_run: dict[int, tuple[list, list]] = {}
         for i, n in enumerate(self.n):
             own = hashes[words.of[i] : words.of[i + 1]]
             self.shingles.append(np.unique(rolled(own, min(SHINGLE, n)), return_counts=True) if n else (np.zeros(0, U64), np.zeros(0, int)))
+            if n >= SHINGLE:
+                by_size.setdefault(item_window(int(n)), []).append((window_prints(bit_sums(own), np.array([0]), np.array([n]))[0], i))
             if n:
-                w = window_for(int(n))
-                prints, owners = by_window.setdefault(w, ([], []))
+                w = run_for(int(n))
+                prints, owners = by_run.setdefault(w, ([], []))
                 prints.append(fingerprints(own, np.arange(n - w + 1), w))
                 owners.append(np.full(n - w + 1, i))
-        self.index = {w: Index(np.concatenate(p), np.concatenate(o)) for w, (p, o) in by_window.items()}
+        self.windows = {w: Index(np.array([p for p, _ in x], U64), np.array([i for _, i in x]), RADIUS) for w, x in by_size.items()}
+        self.runs = {w: Index(np.concatenate(p), np.concatenate(o), RUN_RADIUS) for w, (p, o) in by_run.items()}
+        self.sizes = {w: np.unique(self.n[np.unique(index.owners)]) for w, index in self.runs.items()}
+
+    def by_windows(self, words: Words, hashes: np.ndarray) -> list[np.ndarray]:
+        """Pairs (text * number of items + item) with fingerprints of item-sized windows within the radius."""
+        pairs = []
+        windows = [(windows_of(words.of, size), index) for size, index in self.windows.items()]
+        for low in range(0, len(hashes), SLICE_WORDS):
+            parts = [(np.searchsorted(start, [low, low + SLICE_WORDS]), start, end, text, index) for (start, end, text), index in windows]
+            high = max([int(end[b - 1]) for (a, b), _, end, _, _ in parts if b > a], default=low)
+            sums = bit_sums(hashes[low:high])
+            for (a, b), start, end, text, index in parts:
+                which, item = index.within(window_prints(sums, start[a:b] - low, end[a:b] - low))
+                pairs.append(np.unique(text[a:b][which] * len(self.ids) + item))
+        return pairs
+
+    def by_runs(self, words: Words, hashes: np.ndarray) -> list[np.ndarray]:
+        """Pairs that have a run of the item as it is; of texts somewhat shorter than an item, runs start at each word."""
+        pairs = []
+        counts = words.counts()
+        for w, index in self.runs.items():
+            at, offsets = run_starts(words.of, w)
+            sizes = np.append(self.sizes[w], np.iinfo(np.int64).max)
+            dense = sizes[np.searchsorted(sizes, counts, side="right")] - SHINGLE <= (counts - SHINGLE + 1) / float(SIMILARITY)
+            text = np.repeat(np.arange(len(counts)), np.diff(offsets))
+            on = ((at - words.of[text]) % stride(w) == 0) | dense[text]
+            at, text = at[on], text[on]
+            which, item = index.within(fingerprints(hashes, at, w))
+            pairs.append(np.unique(text[which] * len(self.ids) + item))
+        return pairs
 
     def best(self, i: int, hashes: np.ndarray) -> tuple[int, int, int, int] | None:
         """(shared, union, start, words) of the document's window most similar to item i, the first of these; None below the bound.
@@ -146,7 +227,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
-    passes = max(1, -(-items.count() // ITEMS_A_PASS))
+    passes = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // PASS_BYTES))
     found = None
     for p in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).orderBy("item_id", "text").collect()
@@ -157,14 +238,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for batch in chunks(batches):
                 words = Words(batch.column("text"), lower=True)
                 hashes = words.hashes()
-                pairs = []
-                for w, index in items.index.items():
-                    at, offsets = run_starts(words.of, w)
-                    text = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                    on = (at - words.of[text]) % stride(w) == 0
-                    at, text = at[on], text[on]
-                    which, item = index.within(fingerprints(hashes, at, w))
-                    pairs.append(text[which] * len(items.ids) + item)
+                pairs = items.by_windows(words, hashes) + items.by_runs(words, hashes)
                 ids = batch.column("doc_id").to_pylist()
                 out = []
                 for pair in np.unique(np.concatenate(pairs)) if pairs else ():

@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from solvara.llm import contamination
+from solvara.llm import contamination, textkit
 from tests.llm import cases
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -68,7 +69,7 @@ def test_equals_brute_force(spark, seed):
 
 
 def test_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(contamination, "ITEMS_A_PASS", 6)
+    monkeypatch.setattr(contamination, "PASS_BYTES", 2000)
     docs, items = planted(1)
     assert got(spark, docs, items) == brute(docs, items)
 
@@ -78,25 +79,79 @@ def test_empty_tables(spark):
     assert got(spark, [], items) == got(spark, docs, []) == []
 
 
-def test_blocks_find_all_fingerprints_within_the_radius():
+@pytest.mark.parametrize("radius", [contamination.RUN_RADIUS, contamination.RADIUS])
+def test_blocks_find_all_fingerprints_within_the_radius(radius):
     rng = np.random.default_rng(1)
     items = rng.integers(0, 2**63, 300).astype(np.uint64)
-    index = contamination.Index(items, np.arange(300))
+    index = contamination.Index(items, np.arange(300), radius)
     prints = np.concatenate([items[:200], rng.integers(0, 2**63, 100).astype(np.uint64)])
     for i in range(200):
-        for bit in rng.choice(64, rng.integers(0, 6), replace=False):
+        for bit in rng.choice(64, rng.integers(0, radius + 3), replace=False):
             prints[i] ^= np.uint64(1) << np.uint64(bit)
     at, item = index.within(prints)
-    near = {(a, b) for a in range(300) for b in range(300) if int(prints[a] ^ items[b]).bit_count() <= contamination.RADIUS}
+    near = {(a, b) for a in range(300) for b in range(300) if int(prints[a] ^ items[b]).bit_count() <= radius}
     assert set(zip(at.tolist(), item.tolist())) == near
 
 
-def test_windows_fit_the_clean_run():
+def test_runs_fit_the_clean_run():
     for n in range(1, 400):
-        w = contamination.window_for(n)
+        w = contamination.run_for(n)
         assert w + contamination.stride(w) - 1 <= max(1, contamination.clean_run(n)) <= n
 
 
+def test_windows_cover_texts_and_have_plain_fingerprints():
+    rng = random.Random(3)
+    texts = [" ".join(cases.words(rng, n)) for n in (0, 3, 4, 5, 12, 13, 14, 40, 301)]
+    words = textkit.Words(pa.array(texts))
+    hashes = words.hashes()
+    start, end, text = contamination.windows_of(words.of, 13)
+    prints = contamination.window_prints(contamination.bit_sums(hashes), start, end)
+    assert set(text) == set(range(3, 9)) and (np.diff(start) > 0).all()
+    for s, e, t, p in zip(start, end, text, prints):
+        assert words.of[t] <= s < e <= words.of[t + 1] and e - s == min(13, words.counts()[t])
+        bits = np.unpackbits(textkit.rolled(hashes[s:e], 5).view(np.uint8).reshape(-1, 8), axis=1)
+        assert (np.unpackbits(np.array([p]).view(np.uint8)) == (2 * bits.sum(0) > len(bits))).all()
+    for t in range(3, 9):
+        own = text == t
+        assert start[own].min() == words.of[t] and end[own].max() == words.of[t + 1] and (start[own][1:] <= end[own][:-1]).all()
+
+
+def test_recall_of_item_sized_windows():
+    """Of pairs near the bound and above, the windows alone find 0.9 or more; the runs find the rest."""
+    rng = random.Random(11)
+    items = [(i, " ".join(cases.words(rng, rng.randrange(12, 90), 5000))) for i in range(40)]
+    docs = []
+    for i in range(240):
+        w = items[i % 40][1].split()
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 1])] = rng.choice([["new"], [], ["new"]])
+        docs.append((i, " ".join(cases.words(rng, rng.randrange(0, 60), 5000) + w + cases.words(rng, rng.randrange(0, 60), 5000))))
+    true = {(d, i) for d, i, *_ in brute(docs, items)}
+    held = contamination.Items([i for i, _ in items], [t for _, t in items])
+    words = textkit.Words(pa.array([t for _, t in docs]), lower=True)
+    by_windows, by_runs = ({(int(p) // 40, int(p) % 40) for x in f(words, words.hashes()) for p in x} for f in (held.by_windows, held.by_runs))
+    assert len(true) > 100 and true <= by_runs
+    assert len(true & by_windows) >= 0.9 * len(true)
+    print(f"recall of windows {len(true & by_windows) / len(true):.3f} of {len(true)}")
+
+
+def test_texts_shorter_than_an_item(spark):
+    """A word before a cut item: the whole text is compared."""
+    rng = random.Random(12)
+    items = [(i, " ".join(cases.words(rng, n, 5000))) for i, n in enumerate([15, 21, 30, 44, 70])]
+    docs = [(100 * i + cut, " ".join(["other", *text.split()[: len(text.split()) - cut]])) for i, text in items for cut in range(1, 12)]
+    assert got(spark, docs, items) == brute(docs, items)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(13)
+    items = [(i, " ".join(cases.words(rng, n, 5000))) for i, n in enumerate([15, 60])]
+    words = cases.words(rng, 60_000, 5000)
+    docs = [(0, " ".join(words[:50_000] + items[0][1].split() + words[50_000:] + items[1][1].split()))]
+    assert [(r[1], r[2], r[5]) for r in got(spark, docs, items)] == [(0, 50_000, 1.0), (1, 60_015, 1.0)]
+
+
 def test_filter_keeps_clean_documents(spark):
     docs, items = planted(2)
     d = spark.createDataFrame(docs, "doc_id long, text string")
