@@ -86,11 +86,23 @@ def sketches(docs: DataFrame, k: int, permutations: int, rows: int) -> DataFrame
     return small_batches(columns).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_key binary, bands array<long>")
 
 
+#: Stands for a null doc_id where rows are looked up.
+NO_ID = (1 << 63) - 1
+
+
 def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cid, n, shingles) of the classes in ``wanted`` (cid, rep, set_key), recomputed from a text of each."""
+    """(cid, n, shingles) of the classes in ``wanted`` (cid, key_id, key_hash, set_key), recomputed from one row of each.
+
+    The row is found by its doc_id and its text's hash, so rows that share an id, or have none, don't meet all classes of
+    it; of copies that share both, a task goes on with one.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in chunks(batches):
+            cids = batch.column("cid").to_pylist()
+            fresh = [i for i, c in enumerate(cids) if not (c in done or done.add(c))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             values, offsets = shingle_sets(batch.column("text"), k)
             keys = set_keys(values, offsets)
             same = np.array([key.tobytes() == want for key, want in zip(keys, batch.column("set_key").to_pylist())], dtype=bool)
@@ -98,9 +110,10 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(np.diff(offsets)), sets], ["cid", "n", "shingles"])
             yield out.filter(pa.array(same))
 
-    texts = with_small(docs.select("doc_id", "text"), wanted.withColumnRenamed("rep", "__rep"), F.col("doc_id").eqNullSafe(F.col("__rep")))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key_id"), F.xxhash64("text").alias("key_hash"), "text")
+    texts = with_small(own, wanted, ["key_id", "key_hash"])
     found = staged(small_batches(texts.select("cid", "set_key", "text")).mapInArrow(run, "cid long, n long, shingles array<long>"))
-    if found.count() > wanted.count():  # repeated rows with one doc_id
+    if found.count() > wanted.count():  # copies with one doc_id in several tasks
         found = staged(found.dropDuplicates(["cid"]))
     return found
 
@@ -170,34 +183,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75, permutations
     ignored. An empty table gives an empty result.
     """
     rows_table = staged(sketches(docs, k, permutations, rows))
-    grouped = rows_table.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    grouped = rows_table.where("set_key is not null").groupBy("set_key").agg(
+        F.min("doc_id").alias("rep"), F.min_by("text_hash", F.coalesce("doc_id", F.lit(NO_ID))).alias("key_hash"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+    )
     classes = staged(grouped.withColumn("cid", F.monotonically_increasing_id()))
     entries = classes.select("cid", "n", F.explode("bands").alias("bucket"))
     shared = staged(entries.groupBy("bucket").agg(F.min("cid").alias("first"), F.min_by("n", "cid").alias("first_n"), F.count("*").alias("m")).where("m > 1"))
     members = staged(entries.join(shared, "bucket").where("cid <> first").select("bucket", "cid", "n", "first", "first_n", "m"))
     stars = staged(members.groupBy(F.col("cid").alias("a"), F.col("first").alias("b")).agg(F.first("n").alias("na"), F.first("first_n").alias("nb")))
-    met = staged(members.select("cid").union(members.select("first")).distinct().join(classes, "cid").select("cid", "rep", "set_key"))
+    met = staged(members.select("cid").union(members.select("first")).distinct().join(classes, "cid").select("cid", F.coalesce("rep", F.lit(NO_ID)).alias("key_id"), "key_hash", "set_key"))
     sets = shingles_of(docs, met, k)
 
     first = stars.groupBy("a").agg(F.min(F.struct("b", "na", "nb")).alias("s")).select("a", "s.*")
-    links = staged(confirmed(first, sets, percent))
-    of = staged(components(links))
+    levels: list[DataFrame] = []  # components of classes, then components of these by further links, and so on
 
     def component(df: DataFrame, node: str, name: str) -> DataFrame:
-        named = of.select(F.col("node").alias(node), F.col("component").alias(name))
-        return df.join(named, node, "left").withColumn(name, F.coalesce(name, node))
+        df = df.withColumn(name, F.col(node))
+        for level in levels:
+            df = df.join(level.select(F.col("node").alias(name), F.col("component").alias("further")), name, "left").withColumn(name, F.coalesce("further", name)).drop("further")
+        return df
+
+    def add(links: DataFrame) -> None:
+        levels.append(staged(components(component(component(links, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))))
 
+    add(confirmed(first, sets, percent))
     tested = first.select("a", "b", F.lit(True).alias("tested"))
     more = component(component(stars, "a", "ca"), "b", "cb").where("ca <> cb").join(tested, ["a", "b"], "left_anti").drop("ca", "cb")
-    links = links.union(staged(confirmed(more, sets, percent)))
-    of = staged(components(links))
+    add(staged(confirmed(more, sets, percent)))
 
     several = component(members.where("m > 2"), "cid", "component")
     mixed_buckets = staged(several.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"))
     rest = staged(several.select("bucket", "cid", "component").join(mixed_buckets, "bucket", "left_semi"))
     if not rest.isEmpty():
-        links = links.union(staged(rest_links(rest, sets, percent)))
-        of = staged(components(links))
+        add(staged(rest_links(rest, sets, percent)))
 
     named = staged(component(classes.select("cid", "set_key", "rep"), "cid", "component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from solvara.llm.joins import with_small
-from solvara.llm.textkit import U64, Words, chunks, mixed, multipliers, rolled, run_starts, small_batches
+from solvara.llm.textkit import U64, Words, chunks, column, mapped_by_place, mixed, multipliers, others, rolled, run_starts, small_batches
 from solvara.storage import staged
 
 #: Hash buckets (a power of two), sizes of character n-grams, and width of a vector.
@@ -20,9 +21,6 @@ BUCKET_BITS, NGRAMS, WIDTH = 16, (3, 4, 5), 16
 #: passes from 5 to 50; first step size.
 TRAIN_ROWS, STEPS, STEP = 4096, 20_000, 0.6
 
-#: Bucket of a word that follows itself.
-ECHO = 1
-
 _CHAR = (multipliers(11, max(NGRAMS)) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _MIX = multipliers(12, len(NGRAMS)).astype(np.uint32) | np.uint32(1)
 
@@ -30,19 +28,15 @@ _MIX = multipliers(12, len(NGRAMS)).astype(np.uint32) | np.uint32(1)
 def features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Groups of feature buckets for a batch of texts, each with its offsets by text.
 
-    Features are whole words, pairs of neighbouring words (a word followed by itself is one feature, whatever the word),
-    and character n-grams of words with their borders. The last group is one constant feature a text, so that empty and
-    null texts have one too.
+    Features are whole words, pairs of neighbouring words, and character n-grams of words with their borders. The last
+    group is one constant feature a text, so that empty and null texts have one too.
     """
     words = Words(column)
     hashes = words.hashes()
     shift = U64(64 - BUCKET_BITS)
     yield (hashes >> shift).astype(np.int32), words.of
     at, offsets = run_starts(words.of, 2)
-    pairs = (mixed(rolled(hashes, 2)[at]) >> shift).astype(np.int32)
-    if len(at):
-        pairs[hashes[at] == hashes[at + 1]] = ECHO
-    yield pairs, offsets
+    yield (mixed(rolled(hashes, 2)[at]) >> shift).astype(np.int32), offsets
     texts = [t or "" for t in column.to_pylist()]
     chars = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])  # the border before each text, and the last
@@ -111,12 +105,14 @@ def held_out():
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Train on at most ``rows`` labelled documents, none of them held out; None without any.
 
-    The sample is the labels of least hashed doc_id; repeated labels of a document count once, as the smallest. Features
-    are counted where the texts are, and one task trains on the counts.
+    The sample is the labels of least hashed doc_id; repeated labels of a document count once, as the smallest, and of
+    rows that repeat a doc_id the text of least hash trains. Features are counted by the tasks that hold these texts, and
+    one task trains on the counts. Columns other than doc_id, text and quality don't matter.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     picked = staged(known.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows).withColumnRenamed("doc_id", "__id"))
-    texts = with_small(docs.select("doc_id", "text"), picked, F.expr("doc_id = __id"))
+    found = with_small(docs.select("doc_id", "text"), picked, F.expr("doc_id = __id"))
+    texts = found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("doc_id", "label", "least.text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, size=1 << 20):
@@ -130,29 +126,32 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
                 samples.append((d, np.frombuffer(b, np.int32), np.frombuffer(c, np.float32), label))
         if samples:
             samples.sort(key=lambda s: (s[0], s[3], len(s[1]), s[1].tobytes()))
-            model = train([s[1:] for s in samples[:rows]])
+            model = train([s[1:] for s in samples])
             yield pa.RecordBatch.from_arrays([pa.array([model.vectors.tobytes()], pa.binary()), pa.array([model.output.tobytes()], pa.binary())], ["vectors", "output"])
 
     bags = small_batches(texts.select("doc_id", "label", "text")).mapInArrow(count, "doc_id long, label int, buckets binary, counts binary")
-    row = bags.limit(rows).repartition(1).mapInArrow(learn, "vectors binary, output binary").first()
+    row = bags.repartition(1).mapInArrow(learn, "vectors binary, output binary").first()
     return row and Model(np.frombuffer(row.vectors, np.float32).reshape(-1, WIDTH), np.frombuffer(row.output, np.float32).reshape(2, WIDTH))
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1 by the whole text; 0.5 for all without a model.
+def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, the probability of label 1 by the whole text; 0.5 for all without a model.
 
     As the output is linear in the mean vector, each bucket's share of it is looked up in one table. Null and blank
-    texts score by the constant feature. Extra columns pass through, repeated rows get equal scores.
+    texts score by the constant feature. Other columns pass through, one that has the name already is replaced; repeated
+    rows get equal scores.
     """
+    columns = others(docs, name)
+    kept = docs.select(*map(column, columns))
     if model is None:
-        return docs.withColumn("score", F.lit(0.5))
+        return kept.withColumn(name, F.lit(0.5))
     table = docs.sparkSession.sparkContext.broadcast(model.table())  # 2**BUCKET_BITS numbers
-    columns = docs.columns
+    place = f"c{columns.index('text')}"
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, size=1 << 20):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+        for batch in chunks(batches, text=place, size=1 << 20):
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for buckets, offsets in features(batch.column("text")):
+            for buckets, offsets in features(batch.column(place)):
                 values = np.empty(len(buckets) + 1)
                 np.take(table.value, buckets, out=values[:-1])
                 values[-1] = 0.0
@@ -161,10 +160,9 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                 total += np.where(size > 0, sums, 0.0)
                 n += size
             score = 1 / (1 + np.exp(-total / n))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(score)], [*columns, "score"])
+            yield [*batch.columns, pa.array(score)]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return small_batches(docs).mapInArrow(run, schema + ", score double")
+    return mapped_by_place(kept, run, StructType([*kept.schema.fields, StructField(name, DoubleType())]))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvara.llm.textkit import column, others, unused
 from solvara.storage import staged
 
 ROUNDS = 6
@@ -60,37 +61,42 @@ def row_at(shard: np.ndarray, slot: np.ndarray, n: int, shards: int, seed: int)
     return permuted(np.asarray(slot, dtype=np.int64) * shards + shard, n, seed, inverse=True)
 
 
-def numbered(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
-    """``df`` with a global ``row_number`` from 0 by ``order``, and the count. Rows equal in all of ``order`` get any of their numbers.
+def numbered(df: DataFrame, *order: str, name: str = "row_number") -> tuple[DataFrame, int]:
+    """``df`` with a global number ``name`` from 0 by ``order``, and the count. Rows equal in all of ``order`` get any of their numbers.
 
     Rows are ranged by ``order`` and, within equal ones, by place, so a hot value spreads over tasks; each partition's
-    offset comes from one count a partition. The ranged rows are staged, so both uses see the same partitions.
+    offset comes from one count a partition. The ranged rows are staged, so both uses see the same partitions. ``name``
+    must be free in ``df``.
     """
-    keys = [*order, "__place"]
-    ranged = df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    place, part, at, before = (unused(df, n) for n in ("place", "part", "at", "before"))
+    keys = [*map(column, order), column(place)]
+    ranged = df.withColumn(place, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    kept = staged(ranged.select(*df.columns, F.spark_partition_id().alias("__part"), local.alias("__at")))
-    counts = kept.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__part", before.alias("__before"))  # a row a partition
-    out = kept.join(F.broadcast(offsets), "__part").withColumn("row_number", F.col("__before") + F.col("__at"))
-    return out.drop("__part", "__at", "__before"), kept.count()
+    kept = staged(ranged.select(*map(column, df.columns), F.spark_partition_id().alias(part), local.alias(at)))
+    counts = kept.groupBy(part).agg(F.count("*").alias("n"))
+    sums = F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(part, sums.alias(before))  # a row a partition
+    out = kept.join(F.broadcast(offsets), part).withColumn(name, F.col(before) + F.col(at))
+    return out.select(*map(column, df.columns), name), kept.count()
 
 
 def shard_rows(df: DataFrame, shards: int, seed: int, *order: str) -> DataFrame:
-    """Add ``shard`` and ``slot``: counts differ by one at most, slots of a shard run from 0 without gaps.
+    """Add ``row_number``, ``shard`` and ``slot``: counts differ by one at most, slots of a shard run from 0 without gaps.
 
+    Columns of these names that ``df`` has already are replaced, after they ordered the rows where ``order`` names them.
     Null order values come first; repeated rows are rows of their own; an empty table stays empty. ``df`` should be
     narrow: it is sorted and staged once.
     """
-    rows, n = numbered(df, *order)
+    number, to = unused(df, "row_number"), unused(df, "place")
+    rows, n = numbered(df, *order, name=number)
 
     @F.pandas_udf("struct<shard int, slot long>")
-    def place(number: pd.Series) -> pd.DataFrame:
-        shard, slot = place_of(number.to_numpy(), n, shards, seed)
+    def place(numbers: pd.Series) -> pd.DataFrame:
+        shard, slot = place_of(numbers.to_numpy(), n, shards, seed)
         return pd.DataFrame({"shard": shard.astype("int32"), "slot": slot})
 
-    return rows.withColumn("__to", place("row_number")).select(*df.columns, "row_number", "__to.shard", "__to.slot")
+    kept = others(df, "row_number", "shard", "slot")
+    return rows.withColumn(to, place(number)).select(*map(column, kept), F.col(number).alias("row_number"), f"{to}.shard", f"{to}.slot")
 
 
 def op3_feistel_shards(spark, sf_dir: str, shards: int = 16, seed: int = 20_240_601) -> DataFrame:

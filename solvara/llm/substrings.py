@@ -10,13 +10,17 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from solvara.llm.joins import with_small
-from solvara.llm.textkit import U64, Words, chunks, mixed, multipliers, release, rolled, run_starts, small_batches
+from solvara.llm.textkit import U64, Words, chunks, column, mapped_by_place, mixed, multipliers, others, release, rolled, run_starts, small_batches, unused
 from solvara.storage import staged
 
 #: Words of a minimiser, and windows that travel in one packed string at most.
 MINIMISER, RUN = 3, 64
+#: Bytes of packed strings that a bucket holds, about, before compression; a text's strings overlap, and take some
+#: EXPANSION times its bytes.
+BUCKET_BYTES, EXPANSION = 8 << 20, 4
 #: A null doc_id comes after all others.
 LAST = np.iinfo(np.int64).max
 RUN_WEIGHTS = multipliers(8, RUN)
@@ -122,7 +126,8 @@ def hot_minimisers(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
     """Minimisers that lead more strings than a mean bucket holds, from counts over all documents, sorted.
 
     A chunk reports those above half a bucket's share of its strings, so at most 2 * buckets of them; there are at most
-    2 * buckets hot ones in all. Text beside a passage that very many documents have would else meet in one bucket.
+    2 * buckets hot ones in all, 16 bytes for BUCKET_BYTES. Text beside a passage that very many documents have would
+    else meet in one bucket.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +190,10 @@ def packed_strings(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> Da
 
 
 def spans_in(table: pa.Table, k: int) -> pa.Table:
-    """The spans of windows of one bucket that a document of smaller id also has; windows are sorted and compared in full."""
+    """The spans of windows of one bucket that a document of smaller id also has.
+
+    Windows are sorted by hash; those of one hash are compared by their words' hashes, and where these differ, by the words.
+    """
     out = []
     blobs = table.column("blob").to_pylist()
     if table.column("bucket")[0].as_py() < 0:
@@ -232,12 +240,18 @@ def spans_in(table: pa.Table, k: int) -> pa.Table:
 
 
 def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) -> DataFrame:
-    """Per document with repeats: __doc (doc_id, a null as the greatest number), __tag, spans of words [start, end)."""
-    spark = docs.sparkSession
-    buckets = buckets or 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Per document with repeats: __doc (doc_id, a null as the greatest number), __tag, spans of words [start, end).
+
+    The number of buckets follows from the bytes of all texts, so that a bucket doesn't grow with the corpus; the same
+    for the number of partitions that buckets are dealt to. Equal strings of a chunk are merged by two 64-bit sums of
+    their windows' hashes.
+    """
     tagged = docs.select(F.col("doc_id").cast("long"), tag().alias("tag"), "text")
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = tagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = buckets or max(4 * least, -(-EXPANSION * size // BUCKET_BYTES))
     strings = packed_strings(tagged, k, buckets, hot_minimisers(tagged, k, buckets))
-    spans = strings.groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag long, start int, end int")
+    spans = strings.repartition(max(least, buckets // 8), "bucket").groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag long, start int, end int")
     lists = spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return lists.mapInArrow(merged, "__doc long, __tag long, spans array<struct<start: int, end: int>>")
 
@@ -267,24 +281,29 @@ def tag():
     return F.xxhash64("text")
 
 
-def without_repeats(docs: DataFrame, k: int = 13, buckets: int | None = None, tidy: bool = True) -> DataFrame:
-    """``docs`` with two more columns and ``text`` cut: n_words, n_removed; text is the kept words, joined by one space.
+def without_repeats(docs: DataFrame, k: int = 13, buckets: int | None = None, tidy: bool = True, n_words: str = "n_words", n_removed: str = "n_removed") -> DataFrame:
+    """``docs`` with ``text`` cut and two more columns, by default ``n_words`` and ``n_removed``; text is the kept words, joined by one space.
 
     A word goes if a window of ``k`` words of its document covers it and the same sequence also starts in a document of
     smaller doc_id; all windows are those of the input. The first document keeps the passage, also where it repeats
     within it. Rows of equal doc_id don't remove from each other; a null doc_id counts as the greatest. Null and blank
-    texts have no words and become empty; texts of fewer than ``k`` words lose nothing. Other columns pass through.
-    Without ``tidy``, texts that lose nothing stay as they are, white space and nulls included.
+    texts have no words and become empty; texts of fewer than ``k`` words lose nothing. Other columns pass through, those
+    that have an added column's name already are replaced. Without ``tidy``, texts that lose nothing stay as they are,
+    white space and nulls included.
     """
     spans = staged(repeated_spans(docs, k, buckets))
-    joined = with_small(docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))), "__t": tag()}), spans, F.expr("__d = __doc AND __t = __tag"), "left", F.size("spans"))
-    columns = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", text string, n_words long, n_removed long"
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+    columns = others(docs, "text", n_words, n_removed)
+    own, mark, list_ = (unused(docs, n) for n in ("own_id", "own_tag", "own_spans"))
+    narrow = docs.select(*map(column, columns), column("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias(own), tag().alias(mark))
+    spans = spans.select(F.col("__doc").alias(f"{own}_of"), F.col("__tag").alias(f"{mark}_of"), F.col("spans").alias(list_))
+    joined = with_small(narrow, spans, (F.col(own) == F.col(f"{own}_of")) & (F.col(mark) == F.col(f"{mark}_of")), "left", F.size(list_)).select(*map(column, columns), "text", list_)
+    out = StructType([*joined.schema.fields[: len(columns)], StructField("text", StringType()), StructField(n_words, LongType()), StructField(n_removed, LongType())])
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+        for batch in chunks(batches, text=f"c{len(columns)}"):
             texts, counts, removed = [], [], []
-            for text, spans_ in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist()):
+            *passed, words_, spans_of = batch.columns
+            for text, spans_ in zip(words_.cast(pa.large_binary()).to_pylist(), spans_of.to_pylist()):
                 words = (text or b"").split()  # bytes split at 0x20 and 0x09 to 0x0D
                 n, kept = len(words), words
                 if spans_:
@@ -295,9 +314,9 @@ def without_repeats(docs: DataFrame, k: int = 13, buckets: int | None = None, ti
                 texts.append(b" ".join(kept) if tidy or len(kept) < n else text)
                 counts.append(n)
                 removed.append(n - len(kept))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*columns, "text", "n_words", "n_removed"])
+            yield [*passed, pa.array(texts, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())]
 
-    return small_batches(joined.select(*columns, "text", "spans")).mapInArrow(cut, schema)
+    return mapped_by_place(joined, cut, out)
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,11 +8,13 @@ machine; different ones collide with a probability near 2**-57 a pair.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
@@ -55,6 +57,25 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` has it, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def others(df: DataFrame, *names: str) -> list[str]:
+    """The columns of ``df`` but for these names, in any case of letters."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 #: Bytes of an Arrow batch that a text operator is handed, at most, or one row.
 BATCH_BYTES = 8 << 20
 
@@ -67,6 +88,21 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def mapped_by_place(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: StructType) -> DataFrame:
+    """``df`` through ``run``, which takes record batches of columns c0, c1, ... and yields lists of ``schema``'s columns.
+
+    Spark can't name columns with dots or backticks on this way, so they go by place.
+    """
+    places = [f"c{i}" for i in range(len(schema))]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in run(batches):
+            yield pa.RecordBatch.from_arrays(columns, places)
+
+    plain = StructType([StructField(c, f.dataType) for c, f in zip(places, schema)])
+    return small_batches(df.toDF(*(f"c{i}" for i in range(len(df.columns))))).mapInArrow(named, plain).toDF(*schema.names)
+
+
 def release() -> None:
     """Give freed memory back to the system: Spark keeps Python workers, and what they hold, for later stages."""
     pa.default_memory_pool().release_unused()

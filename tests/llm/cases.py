@@ -5,6 +5,16 @@ from __future__ import annotations
 import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cid long, start long, bucket string, score double"
+#: Names that operators add or use inside.
+CLASHING = ["score", "n_words", "n_removed", "spans", "shard", "slot", "row_number", "text_hash", "Size", "place", "own_id", "label", "key_id", "ids", "sequence_id", "offset", "length", "kept", "component_id", "tag", "sentence_ids", "licences", "item_id", "similarity", "a.b", "back`tick"]
+
+
+def clashing(df):
+    """``df`` with columns of all these names that hold a text."""
+    from pyspark.sql import functions as F
+
+    have = {c.lower() for c in df.columns}
+    return df.select("*", *(F.concat(F.lit(f"{name} of "), F.col("doc_id").cast("string")).alias(name) for name in CLASHING if name.lower() not in have))
 
 
 def words(rng: random.Random, n: int, vocabulary: int = 400) -> list[str]:
