@@ -1,6 +1,7 @@
 """Corpus pipeline over ``documents``: each stage's result is written as Parquet and read again as the next one's input.
 
-Null or repeated doc_ids, null and empty texts, extra columns and empty tables are handled as the operators define.
+Null or repeated doc_ids, null and empty texts and empty tables are handled as the operators define. Extra columns pass
+through the first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,28 +15,31 @@ from solvara.llm.near_dups import near_duplicates
 from solvara.llm.packing import pack_documents
 from solvara.llm.quality import fit, scored
 from solvara.llm.substrings import without_repeats
+from solvara.llm.textkit import column, unused
 from solvara.storage import shared_dir, staged
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose label 1 is the likelier one."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).where("score >= 0.5").select(docs.columns)
+    score = unused(docs, "score")
+    return scored(docs, model, score).where(F.col(score) >= 0.5).select(*map(column, docs.columns))
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the least doc_id."""
-    groups = near_duplicates(docs)
-    gone = staged(groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
-    return with_small(docs, gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    own, mark = unused(docs, "gone_id"), unused(docs, "gone_hash")
+    gone = staged(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(mark)).distinct())
+    return with_small(docs, gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(mark)), "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 13 words that an earlier document has; a text of such passages alone goes."""
-    cut = without_repeats(docs, tidy=False).where("n_removed = 0 or n_removed < n_words")
+    words, removed = unused(docs, "n_words"), unused(docs, "n_removed")
+    cut = without_repeats(docs, tidy=False, n_words=words, n_removed=removed).where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return cut.select(docs.columns)
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.select(*map(column, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
