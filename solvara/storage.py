@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary one is set.
 
-    The folder goes when the driver's JVM ends.
+    On a cluster an unset folder is an error, as executors don't share local ones. The folder goes when the driver's JVM
+    ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="solvara-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
