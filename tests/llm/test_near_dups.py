@@ -84,3 +84,18 @@ def test_components_of_random_graphs(spark):
     found = {r.node: r.component for r in joins.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {x: root(x) for e in edges if e[0] != e[1] for x in e}
     assert joins.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_rows_without_an_id(spark):
+    """Rows are looked up by id and text: those without an id don't meet all classes of such rows."""
+    rng = random.Random(6)
+    texts = [" ".join(cases.words(rng, 30, 5000)) for _ in range(1500)]
+    texts += [t + " more" for t in texts] + [texts[0]] * 2000
+    rows = [(None if i % 10 else i, t, "en", "s", 1, 1, 1, "b", 0.1) for i, t in enumerate(texts)]
+    found = got(spark, rows)
+    ids: dict = {}
+    for (d, t, *_), base in zip(rows, [*range(1500), *range(1500), *[0] * 2000]):
+        ids.setdefault(base, []).append(d)
+    least = {b: min((x for x in v if x is not None), default=None) for b, v in ids.items()}
+    want = sorted(((r[0], len(shingles(r[1])), least[b], r[0] == least[b]) for r, b in zip(rows, [*range(1500), *range(1500), *[0] * 2000])), key=str)
+    assert found == want
