@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Raw column names and the cleaned table's.
+# Raw column names of the public file, and the cleaned table's.
 SILVER_NAMES = {
     "_c0": "customer_id",
     "SeriousDlqin2yrs": "target_default_2yrs",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from solvara.functions import rules
 from solvara.operators.ranking import evaluate, quantiles, running_totals
+from solvara.operators.star import hash_bucket
 
 BINS, DISCRETE, LEAST = 10, 50, 1e-4
 
@@ -82,10 +83,22 @@ def ks(frame: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, features: list[str], reference: Column, current: Column, bins: int = BINS) -> DataFrame:
-    """PSI with its class, KS and p-value for each feature."""
+    """PSI with its class, KS and p-value for each feature, the greatest PSI first."""
     frame = long_frame(df, features, reference, current)
     both = psi(frame, bin_edges(frame, bins)).join(ks(frame), "feature", "left")
-    return both.select("feature", "psi", rules.psi_class(F.col("psi")).alias("psi_class"), "ks", "p_value", "n_ref", "n_cur")
+    return both.select("feature", "psi", rules.psi_class(F.col("psi")).alias("psi_class"), "ks", "p_value", "n_ref", "n_cur").orderBy(F.desc("psi"), "feature")
+
+
+def severe(report_: DataFrame) -> DataFrame:
+    """One row: the features of severe drift in order of PSI, and their number."""
+    rows = F.filter(F.collect_list(F.struct("psi", "feature", "psi_class")), lambda r: r.psi_class == "SEVERO")
+    one = report_.agg(F.reverse(F.array_sort(rows)).alias("r"))
+    return one.select(F.transform("r", lambda x: x.feature).alias("features"), F.size("r").alias("n_severe"))
+
+
+def report_history(report_: DataFrame, mode: str, at: Column) -> DataFrame:
+    """The rows that a run adds to the history of data drift."""
+    return report_.select("feature", "psi", "psi_class", "ks", "p_value", at.alias("run_at"), F.lit(mode).alias("mode"), F.col("n_ref").alias("n_reference"), F.col("n_cur").alias("n_current"))
 
 
 #: Populations compared, and the greatest PSI expected of those that are alike.
@@ -120,6 +133,49 @@ def concept(df: DataFrame, label: str, score: str, current: Column) -> DataFrame
     return one.withColumns({"auc_drop": drop, "alert": alert})
 
 
+def realised(predictions: DataFrame, outcomes: DataFrame | None, label: str, key: str, score: str = "probability") -> DataFrame | None:
+    """Predictions with the outcomes that have become known, None if there is no table of these or none has."""
+    if outcomes is None:
+        return None
+    rows = predictions.select(key, F.col(score).alias("score")).join(outcomes.where(F.col(label).isNotNull()).select(key, label), key)
+    return None if rows.isEmpty() else rows
+
+
+#: Whether a mode of ``concept_report`` should alert; the outcomes of the real portfolio are open.
+EXPECTED_ALERT = {"resultados_realizados": None, "treino_amostra": False, "simulacao": True}
+
+
+def concept_report(mode: str, current: DataFrame | None, reference: DataFrame, label: str, score: str, recorded_auc: float | None = None) -> DataFrame:
+    """One row: mode, AUC of reference and current rows, KS of the latter, drop, alert, and whether the alert is as expected.
+
+    In the mode ``resultados_realizados`` the current rows are predictions with late labels, and the reference AUC is the
+    recorded one, null if none was. Where there are no such rows (None), the mode becomes ``simulacao``: scores of half the
+    reference's rows are reversed, which must alert. ``treino_amostra`` compares two parts of the labelled rows.
+    """
+    if mode == "resultados_realizados" and current is None:
+        mode = "simulacao"
+    if mode == "simulacao":
+        half = hash_bucket() < 50
+        current = reference.withColumn(score, F.when(half, 1 - F.col(score)).otherwise(F.col(score)))
+    rows = current.select(F.lit("current").alias("population"), label, score)
+    if mode != "resultados_realizados":
+        rows = rows.union(reference.select(F.lit("reference"), label, score))
+    by = evaluate(rows, ["population"], label, score)
+    pick = lambda p, c: F.max(F.when(F.col("population") == p, F.col(c)))
+    known = F.lit(recorded_auc).cast("double") if mode == "resultados_realizados" else pick("reference", "auc")
+    one = by.agg(known.alias("auc_reference"), pick("current", "auc").alias("auc_current"), pick("current", "ks").alias("ks_current"))
+    drop, alert = rules.auc_alert(F.col("auc_reference"), F.col("auc_current"))
+    expected = EXPECTED_ALERT[mode]
+    return one.select(F.lit(mode).alias("mode"), "*", drop.alias("auc_drop"), alert.alias("alert"), (F.lit(True) if expected is None else alert == expected).alias("as_expected"))
+
+
+def concept_history(concept_: DataFrame, predicted: DataFrame, n_scoring: int | Column, at: Column) -> DataFrame:
+    """The row of eleven columns that a run adds to the history of concept drift, from ``concept_report`` and the score's own drift."""
+    both = rules.beside(concept_.select("mode", "auc_reference", "auc_current", "auc_drop", "ks_current", "alert"), predicted.select(F.col("psi").alias("prediction_psi"), F.col("psi_class").alias("prediction_class")))
+    count = n_scoring if isinstance(n_scoring, Column) else F.lit(n_scoring).cast("long")
+    return both.select(at.alias("run_at"), (F.col("mode") == "simulacao").alias("simulated"), "*", count.alias("n_scoring"))
+
+
 def sensitivity(df: DataFrame, label: str, score: str, intensity: str) -> DataFrame:
     """AUC, drop against the rows of intensity 0, and alert for each intensity."""
     by = evaluate(df, [intensity], label, score).select(intensity, "auc")

@@ -54,8 +54,8 @@ def group_metrics(df: DataFrame, label: str, score: str, threshold: float, dimen
 
 def alerts(metrics: DataFrame) -> DataFrame:
     """A row for each band and rule that it breaks: four fifths of the best approval, denied goods above the overall rate."""
-    note = F.when(F.col("small_sample"), " (amostra pequena — interpretar com cautela)").otherwise("")
+    note = F.when(F.col("small_sample"), " (few rows)").otherwise("")
     pct = lambda c: F.concat(F.format_number(100 * F.col(c), 1), F.lit("%"))
-    ratio = F.when(F.col("approval_ratio") < rules.FOUR_FIFTHS, F.struct(F.lit("four_fifths").alias("rule"), F.concat(F.lit("aprovação "), pct("approval_rate"), F.lit(" = "), F.format_number("approval_ratio", 2), F.lit(" da maior aprovação"), note).alias("message")))
-    above = F.when(F.col("above_average"), F.struct(F.lit("goods_denied").alias("rule"), F.concat(F.lit("bons pagadores negados "), pct("goods_denied"), F.lit(", acima da média geral"), note).alias("message")))
+    ratio = F.when(F.col("approval_ratio") < rules.FOUR_FIFTHS, F.struct(F.lit("four_fifths").alias("rule"), F.concat(F.lit("approves "), pct("approval_rate"), F.lit(", a ratio of "), F.format_number("approval_ratio", 2), F.lit(" to the best band"), note).alias("message")))
+    above = F.when(F.col("above_average"), F.struct(F.lit("goods_denied").alias("rule"), F.concat(F.lit("denies "), pct("goods_denied"), F.lit(" of good payers, more than all bands together"), note).alias("message")))
     return metrics.select("dimension", "band", F.inline(F.array_compact(F.array(ratio, above))))

@@ -5,18 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from solvara.operators import models, ranking, thresholds
+from solvara.operators import models, thresholds
+
+#: What each hypothesis says, and what its test leaves open.
+TEXTS = {
+    "H1": ("A higher use of credit lines goes with a higher risk of default", "an association in the model, not a cause"),
+    "H2": ("The debt ratio weighs more in the model than age", "one demographic feature stands for all"),
+    "H3": ("Some threshold lowers the default rate at an acceptable approval rate", "one period only; thresholds may not last"),
+    "H4": ("Rejecting at that threshold saves more than it forgoes", "loss and margin are assumed amounts"),
+}
 
 
 def summary(df: DataFrame, attributions: DataFrame, label: str, score: str, first: str = "revolving_utilization", pair: tuple[str, str] = ("debt_ratio", "age"), floor: float = 0.70) -> DataFrame:
-    """(hypothesis, metric, status, value, evidence): rank correlation of a feature with its attribution, relative
-    importance of two features, default reduction at the best viable threshold, net impact there."""
+    """(hypothesis, description, metric, status, value, evidence, limitation): rank correlation of a feature with its
+    attribution, relative importance of two features, default reduction at the best viable threshold, net impact there."""
 
     def row(part: DataFrame, name: str, metric: str, status, value: str, evidence) -> DataFrame:
-        return part.select(F.lit(name).alias("hypothesis"), F.lit(metric).alias("metric"), status.alias("status"), F.col(value).cast("double").alias("value"), evidence.alias("evidence"))
+        about, limit = TEXTS[name]
+        return part.select(F.lit(name).alias("hypothesis"), F.lit(about).alias("description"), F.lit(metric).alias("metric"), status.alias("status"), F.col(value).cast("double").alias("value"), evidence.alias("evidence"), F.lit(limit).alias("limitation"))
 
-    rho = ranking.spearman(attributions.where(F.col("feature") == first), "value", "attribution")
-    h1 = row(rho, "H1", "spearman", F.when(F.col("spearman") > 0.05, "confirmada").otherwise("refutada"), "spearman", F.format_string("rho = %.3f", "spearman"))
+    rho = models.validated_feature(attributions, first)
+    h1 = row(rho, "H1", "spearman", F.col("status"), "spearman", F.format_string("rho = %.3f, rank %d", "spearman", "rank"))
     diff = models.relative_difference(models.importance(attributions), *pair)
     h2 = row(diff, "H2", "relative_difference", F.col("status"), "difference", F.format_string("diff = %.3f", "difference"))
     best = thresholds.best_viable(thresholds.approval_sweep(df, label, score), floor)

@@ -77,13 +77,20 @@ def predictions(df: DataFrame, model_name: str, version: str, threshold: float =
     return df.select(KEY, F.col(score).alias("probability"), rules.decision(F.col(score), threshold).alias("decision"), F.lit(model_name).alias("model_name"), F.lit(version).alias("model_version"), F.lit(threshold).alias("threshold"), F.current_timestamp().alias("run_at"))
 
 
-def linear_attribution(df: DataFrame, weights: dict[str, float]) -> DataFrame:
+def correlation_weights(df: DataFrame, features: list[str], label: str = LABEL) -> DataFrame:
+    """(feature, weight): each feature's correlation with the label over labelled rows, 0 for a constant one."""
+    one = df.where(F.col(label).isNotNull()).agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in features])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)).alias("weight")) for c in features])))
+
+
+def linear_attribution(df: DataFrame, weights: DataFrame, features: list[str]) -> DataFrame:
     """Exact attribution of a linear score on standardised features: weight * (x - mean) / sd, missing values counting as the mean.
 
+    ``weights`` is (feature, weight): a fitted model's ``coefficients``, or ``correlation_weights``. The result is
     (customer_id, feature, value, attribution); a constant feature has 0.
     """
-    long = df.select(KEY, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"), F.lit(float(w)).alias("weight")) for c, w in weights.items()])))
-    stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    long = df.select(KEY, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])))
+    stats = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).join(weights, "feature")
     joined = long.join(F.broadcast(stats), "feature")  # a row a feature
     return joined.select(KEY, "feature", "value", F.coalesce(F.col("weight") * F.try_divide(F.col("value") - F.col("mean"), "sd"), F.lit(0.0)).alias("attribution"))
 
@@ -94,6 +101,22 @@ def importance(attributions: DataFrame) -> DataFrame:
     return mean.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature")))
 
 
+def scorecard(df: DataFrame, weights: DataFrame, features: list[str], name: str = "score") -> DataFrame:
+    """(customer_id, score): the logistic of a row's summed attributions, a model that any engine can apply."""
+    total = linear_attribution(df, weights, features).groupBy(KEY).agg(F.sum("attribution").alias("z"))
+    return total.select(KEY, (1 / (1 + F.exp(-F.col("z")))).alias(name))
+
+
+def validated_feature(attributions: DataFrame, feature: str, least: float = 0.05) -> DataFrame:
+    """One row: rank correlation of a feature with its attribution, its place in the ranking, mean attribution, and the verdict."""
+    from solvara.operators.ranking import spearman
+
+    rho = spearman(attributions.where(F.col("feature") == feature), "value", "attribution")
+    place = importance(attributions).where(F.col("feature") == feature)
+    status = F.when(F.col("spearman") > least, "confirmada").otherwise("refutada")
+    return rules.beside(rho, place).select("feature", "spearman", "n", "rank", "mean_abs", status.alias("status"))
+
+
 def relative_difference(ranked: DataFrame, a: str, b: str, least: float = 0.10) -> DataFrame:
     """(a - b) / b of two features' mean attribution, infinite where b has none; confirmed above ``least``."""
     one = ranked.agg(F.max(F.when(F.col("feature") == a, F.col("mean_abs"))).alias("mean_a"), F.max(F.when(F.col("feature") == b, F.col("mean_abs"))).alias("mean_b"))
@@ -161,17 +184,38 @@ def calibration_analysis(df: DataFrame, label: str = LABEL, score: str = "score"
     return calibration(long, ["kind"], label, "p")[0]
 
 
-def without_feature(df: DataFrame, features: list[str], left_out: str = "age", rate: float = 0.75, label: str = LABEL) -> DataFrame:
-    """Refit without a feature; both models at equal approval: denied goods by age band, and the youngest to oldest ratio."""
+def ablation_figures(rows: DataFrame, rate: float, label: str = LABEL) -> tuple[DataFrame, DataFrame]:
+    """Models of a long frame (model, customer_id, label, age, score) at equal approval.
+
+    The first frame has a row a model: AUC, the figures of ``equal_approval``, and the ratio of denied goods of the
+    youngest band to the oldest. The second has a row for each model and band: denied goods and denied rows.
+    """
+    marked = staged(lowest_fraction(rows, ["model"], "score", KEY, rate).withColumn("band", rules.age_band(F.col("age"))))
+    bands = marked.groupBy("model", "band").agg(F.avg(F.when(F.col(label) == 0, (~F.col("approved")).cast("double"))).alias("goods_denied"), F.count_if(~F.col("approved")).alias("n_denied"))
+    one = lambda b: F.max(F.when(F.col("band") == b, F.col("goods_denied")))
+    ratio = bands.groupBy("model").agg(F.try_divide(one("18-30"), one("60+")).alias("young_to_old"))
+    taken = marked.groupBy("model").agg(
+        F.avg(F.when(F.col("approved"), F.col(label))).alias("default_approved"),
+        F.count_if(~F.col("approved") & (F.col(label) == 1)).alias("bads_rejected"),
+        F.count_if(~F.col("approved") & (F.col(label) == 0)).alias("goods_rejected"),
+    )
+    aucs = evaluate(marked, ["model"], label, "score").select("model", "auc")
+    return aucs.join(taken, "model").join(ratio, "model"), bands
+
+
+def without_feature(df: DataFrame, features: list[str], left_out: str = "age", rate: float = 0.75, label: str = LABEL, fit=logistic) -> tuple[DataFrame, DataFrame]:
+    """Refit without a feature, with both models at equal approval: a summary row a model, and denied goods by age band.
+
+    ``fit`` is ``logistic`` or ``boosted_trees``. The variation is in percentage points.
+    """
     split = staged(stratified_split(df.select(KEY, label, *features), label))
     train, test = split.where("not is_test"), split.where("is_test")
     long = None
     for name, used in (("all", features), (f"without_{left_out}", [f for f in features if f != left_out])):
-        part = probabilities(logistic(train, used, label), test, used).select(F.lit(name).alias("model"), KEY, label, "age", "score")
+        part = probabilities(fit(train, used, label), test, used).select(F.lit(name).alias("model"), KEY, label, "age", "score")
         long = part if long is None else long.union(part)
-    rows = lowest_fraction(staged(long), ["model"], "score", KEY, rate)
-    bands = rows.withColumn("band", rules.age_band(F.col("age"))).groupBy("model", "band").agg(F.avg(F.when(F.col(label) == 0, (~F.col("approved")).cast("double"))).alias("goods_denied"), F.count_if(~F.col("approved")).alias("n_denied"))
-    return bands.groupBy("band").pivot("model", ["all", f"without_{left_out}"]).agg(F.first("goods_denied").alias("goods_denied"), F.first("n_denied").alias("n_denied")).withColumn("variation_pp", 100 * (F.col(f"without_{left_out}_goods_denied") - F.col("all_goods_denied")))
+    summary, bands = ablation_figures(staged(long), rate, label)
+    return summary, bands.groupBy("band").pivot("model", ["all", f"without_{left_out}"]).agg(F.first("goods_denied").alias("goods_denied"), F.first("n_denied").alias("n_denied")).withColumn("variation_pp", 100 * (F.col(f"without_{left_out}_goods_denied") - F.col("all_goods_denied")))
 
 
 def compared(df: DataFrame, rate: float, label: str = LABEL) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvara.operators.ranking import quantiles, running_totals
+
 
 def _melted(row: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
     """One aggregated row with a struct for each column as a row for each column."""
@@ -31,26 +33,43 @@ def duplicated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cardinality(df: DataFrame, exact: bool = False) -> DataFrame:
-    """Distinct values of each column; approximate unless ``exact``, which suits small tables."""
-    count = F.count_distinct if exact else F.approx_count_distinct
-    one = df.agg(*[F.struct(count(F.col(c)).alias("n_distinct"), F.coalesce(F.round(F.try_divide(100 * count(F.col(c)), F.count("*")), 2), F.lit(0.0)).alias("pct_distinct")).alias(c) for c in df.columns])
-    return _melted(one, df.columns, ["n_distinct", "pct_distinct"]).orderBy("n_distinct", "column_name")
+    """Distinct values of each column; approximate unless ``exact``.
+
+    Exact ones come from one count by column and value, so no row is copied for each column's own distinct count.
+    """
+    if not exact:
+        one = df.agg(*[F.struct(F.approx_count_distinct(c).alias("n_distinct"), F.coalesce(F.round(F.try_divide(100 * F.approx_count_distinct(c), F.count("*")), 2), F.lit(0.0)).alias("pct_distinct")).alias(c) for c in df.columns])
+        return _melted(one, df.columns, ["n_distinct", "pct_distinct"]).orderBy("n_distinct", "column_name")
+    items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in df.columns])
+    values = df.select(F.inline(items)).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    each = values.groupBy("column_name").agg(F.count("value").alias("n_distinct"), F.sum("n").alias("rows"))
+    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column_name string")
+    whole = F.broadcast(names).join(each, "column_name", "left")  # a row a column, also on an empty table
+    share = F.coalesce(F.round(F.try_divide(100 * F.col("n_distinct"), "rows"), 2), F.lit(0.0))
+    return whole.select("column_name", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), share.alias("pct_distinct")).orderBy("n_distinct", "column_name")
 
 
 def numeric_summary(df: DataFrame, columns: list[str], exact: bool = False) -> DataFrame:
     """Count, mean, deviation, least, quartiles and greatest of the columns that are present.
 
-    Exact quartiles keep a count for each distinct value of a column; ``percentile_approx`` bounds that.
+    Exact quartiles come from the cumulative frame of all columns' distinct values, ranged over tasks.
     """
     present = [c for c in columns if c in df.columns]
-    quartile = (lambda x, p: F.percentile(x, F.lit(p))) if exact else (lambda x, p: F.percentile_approx(x, p, 10_000))
     names = ["n", "mean", "std", "min", "p25", "p50", "p75", "max"]
 
     def stats(c: str) -> Column:
         x = F.col(c).cast("double")
-        return F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), quartile(x, 0.25).alias("p25"), quartile(x, 0.5).alias("p50"), quartile(x, 0.75).alias("p75"), F.max(x).alias("max")).alias(c)
+        quartiles = [] if exact else [F.percentile_approx(x, p, 10_000).alias(name) for name, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))]
+        return F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *quartiles, F.max(x).alias("max")).alias(c)
 
-    return _melted(df.agg(*map(stats, present)), present, names)
+    one = df.agg(*map(stats, present))
+    if not exact:
+        return _melted(one, present, names)
+    items = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in present])
+    counts = df.select(F.inline(items)).where("value is not null").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    cuts = quantiles(running_totals(counts, ["column_name"], "value", ["n"]), ["column_name"], "value", "n", [0.25, 0.5, 0.75])
+    both = _melted(one, present, ["n", "mean", "std", "min", "max"]).join(F.broadcast(cuts), "column_name", "left")  # a row a column
+    return both.withColumns({name: F.get("cuts", F.lit(i)) for i, name in enumerate(("p25", "p50", "p75"))}).select("column_name", *names)
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -70,15 +89,17 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 
 def full_profile(df: DataFrame, numeric: list[str], keys: list[str]) -> DataFrame:
-    """All reports as (section, item, measure, value)."""
+    """All reports as (section, item, measure, value); a column's place is the value of its type. ``preview`` shows rows."""
 
     def rows(part: DataFrame, section: str, item: Column) -> DataFrame:
         values = [c for c, kind in part.dtypes if kind in ("bigint", "int", "double") and c not in keys]
         return part.select(F.lit(section).alias("section"), item.alias("item"), F.explode(F.create_map(*[x for c in values for x in (F.lit(c), F.col(c).cast("double"))])).alias("measure", "value"))
 
+    types = df.sparkSession.createDataFrame([(c, kind, float(i)) for i, (c, kind) in enumerate(df.dtypes, 1)], "item string, measure string, value double")
     table = df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
     parts = [
         rows(table, "table", F.lit("")),
+        types.select(F.lit("schema").alias("section"), "item", "measure", "value"),
         rows(completeness(df), "nulls", F.col("column_name")),
         rows(cardinality(df, exact=True), "cardinality", F.col("column_name")),
         rows(numeric_summary(df, numeric, exact=True), "numeric", F.col("column_name")),
@@ -88,3 +109,8 @@ def full_profile(df: DataFrame, numeric: list[str], keys: list[str]) -> DataFram
     for part in parts[1:]:
         out = out.union(part)
     return out
+
+
+def preview(df: DataFrame, rows: int = 5) -> DataFrame:
+    """Any few rows."""
+    return df.limit(rows)

@@ -96,12 +96,13 @@ def equal_approval(df: DataFrame, by: list[str], label: str, score: str, key: st
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; rows with a null or NaN in either take no part."""
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    weighted = staged(rows.groupBy("x", "y").agg(F.count("*").alias("w")))
 
     def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy(F.lit(1).alias("__all"), F.col(c)).agg(F.count("*").alias("n"))
+        counts = weighted.groupBy(F.lit(1).alias("__all"), F.col(c)).agg(F.sum("w").alias("n"))
         return running_totals(counts, ["__all"], c, ["n"]).select(c, (F.col("before_n") + (F.col("n") + 1) / 2).alias(f"r{c}"))
 
-    pairs = rows.groupBy("x", "y").agg(F.count("*").alias("w")).join(ranks("x"), "x").join(ranks("y"), "y")
+    pairs = weighted.join(ranks("x"), "x").join(ranks("y"), "y")
     w, a, b = F.col("w"), F.col("rx"), F.col("ry")
     sums = pairs.agg(F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"), F.sum(w * a * b).alias("sab"), F.sum(w * a * a).alias("saa"), F.sum(w * b * b).alias("sbb"))
     return sums.selectExpr("try_divide(n * sab - sa * sb, sqrt(n * saa - sa * sa) * sqrt(n * sbb - sb * sb)) AS spearman", "n")

@@ -9,6 +9,7 @@ LABEL = "target_default_2yrs"
 #: Added to the ids of the unlabelled population, whose file numbers its rows from 1 too.
 SCORING_OFFSET = 10_000_000
 
+# Names of the star schema.
 GOLD_NAMES = {
     "revolving_utilization_unsecured": "revolving_utilization",
     "num_open_credit_lines_and_loans": "num_open_credit_lines",

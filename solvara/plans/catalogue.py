@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvara.functions import rules
-from solvara.operators import clean, drift, fairness, hypotheses, models, profile, ranking, star, thresholds
+from solvara.operators import clean, drift, fairness, hypotheses, models, profile, ranking, star, thresholds, validation
+from solvara.sources import tables
 from solvara.sources.portfolio import FEATURES, PORTFOLIO_SQL, portfolio, raw_profiles, table
-from solvara.storage import staged
+from solvara.storage import shared_dir, staged
 from solvara.streaming import queries as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -266,7 +267,10 @@ _NUM = " UNION ALL ".join(f"SELECT 'numeric' AS section, '{c}' AS item, unnest([
 _COL = " UNION ALL ".join(f"SELECT unnest(['nulls','nulls','cardinality','cardinality']) AS section, '{c}' AS item, unnest(['n_null','pct_null','n_distinct','pct_distinct']) AS measure, unnest([count(*) - count({c}), round(100.0 * (count(*) - count({c})) / count(*), 2), count(DISTINCT {c}), round(100.0 * count(DISTINCT {c}) / count(*), 2)]) AS value FROM scored" for c in PROFILED)
 
 
-@query("a12_full_profile", PORTFOLIO_SQL + f"SELECT section, item, measure, round(CAST(value AS DOUBLE), 6) AS value FROM (SELECT 'table' AS section, '' AS item, unnest(['n_rows','n_columns']) AS measure, unnest([count(*), {len(PROFILED)}]) AS value FROM scored UNION ALL {_COL} UNION ALL {_NUM} UNION ALL SELECT 'duplicate_keys', 'customer_id', 'n_keys', 0)")
+_SCH = " UNION ALL ".join(f"SELECT 'schema', '{c}', '{TYPES.get(c, 'double')}', {i}" for i, c in enumerate(PROFILED, 1))
+
+
+@query("a12_full_profile", PORTFOLIO_SQL + f"SELECT section, item, measure, round(CAST(value AS DOUBLE), 6) AS value FROM (SELECT 'table' AS section, '' AS item, unnest(['n_rows','n_columns']) AS measure, unnest([count(*), {len(PROFILED)}]) AS value FROM scored UNION ALL {_SCH} UNION ALL {_COL} UNION ALL {_NUM} UNION ALL SELECT 'duplicate_keys', 'customer_id', 'n_keys', 0)")
 def _(spark, folder):
     return profile.full_profile(portfolio(spark, folder).select(PROFILED), NUMERIC, [KEY])
 
@@ -457,9 +461,18 @@ def _(spark, folder):
     return _groups(spark, folder)
 
 
-@query("m26_bias_alerts", GROUPS + "SELECT dimension, band, unnest(['four_fifths']) AS rule, 'aprovação ' || format('{:.1f}', 100 * approval_rate) || '% = ' || format('{:.2f}', approval_ratio) || ' da maior aprovação' || CASE WHEN small_sample THEN ' (amostra pequena — interpretar com cautela)' ELSE '' END AS message FROM gm WHERE approval_ratio < 0.8 UNION ALL SELECT dimension, band, 'goods_denied', 'bons pagadores negados ' || format('{:.1f}', 100 * goods_denied) || '%, acima da média geral' || CASE WHEN small_sample THEN ' (amostra pequena — interpretar com cautela)' ELSE '' END FROM gm WHERE above_average")
+GROUPS3 = GROUPS.replace("SELECT 'income', income_band, y, score FROM banded)", "SELECT 'income', income_band, y, score FROM banded UNION ALL SELECT 'delinquency', CASE WHEN total_delinquency_events > 0 THEN 'late' ELSE 'on time' END, y, score FROM banded)")
+DIMENSIONS = {"age": "age_band", "income": "income_band", "delinquency": "delinquency_band"}
+
+
+def _banded(rows):
+    return fairness.with_bands(rows).withColumn("delinquency_band", F.when(F.col("total_delinquency_events") > 0, "late").otherwise("on time"))
+
+
+@query("m26_bias_alerts", GROUPS3 + "SELECT dimension, band, unnest(['four_fifths']) AS rule, 'approves ' || format('{:.1f}', 100 * approval_rate) || '%, a ratio of ' || format('{:.2f}', approval_ratio) || ' to the best band' || CASE WHEN small_sample THEN ' (few rows)' ELSE '' END AS message FROM gm WHERE approval_ratio < 0.8 UNION ALL SELECT dimension, band, 'goods_denied', 'denies ' || format('{:.1f}', 100 * goods_denied) || '% of good payers, more than all bands together' || CASE WHEN small_sample THEN ' (few rows)' ELSE '' END FROM gm WHERE above_average")
 def _(spark, folder):
-    return fairness.alerts(_groups(spark, folder))
+    """Alerts by age, income and past delinquency; the last always has some, as the score looks at it."""
+    return fairness.alerts(fairness.group_metrics(_banded(labelled(spark, folder)), LABEL, SCORE, rules.THRESHOLD, DIMENSIONS))
 
 
 # Calibration, splits, attribution, hypotheses
@@ -490,37 +503,54 @@ def _(spark, folder):
     return models.stratified_split(portfolio(spark, folder).select(KEY, LABEL))
 
 
-ATTRIBUTED = {"revolving_utilization": 0.72, "age": -0.24, "debt_ratio": 0.15, "monthly_income": -0.16}
-_ATTR = PORTFOLIO_SQL + ", att AS (" + " UNION ALL ".join(f"SELECT customer_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, coalesce(CAST({w} AS DOUBLE) * (({c} - (SELECT avg({c}) FROM scored)) / (SELECT stddev_samp({c}) FROM scored)), 0.0) AS attribution FROM scored" for c, w in ATTRIBUTED.items()) + "), imp AS (SELECT feature, avg(abs(attribution)) AS mean_abs, CAST(row_number() OVER (ORDER BY avg(abs(attribution)) DESC, feature) AS INT) AS rank FROM att GROUP BY feature)\n"
+ATTRIBUTED = ["revolving_utilization", "age", "debt_ratio", "monthly_income"]
+_ATTR = PORTFOLIO_SQL + ", att AS (" + " UNION ALL ".join(f"SELECT customer_id, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, coalesce((SELECT corr(CAST({c} AS DOUBLE), CAST(target_dlq_2yrs AS DOUBLE)) FROM scored WHERE target_dlq_2yrs IS NOT NULL) * (({c} - (SELECT avg({c}) FROM scored)) / (SELECT stddev_samp({c}) FROM scored)), 0.0) AS attribution FROM scored" for c in ATTRIBUTED) + "), imp AS (SELECT feature, avg(abs(attribution)) AS mean_abs, CAST(row_number() OVER (ORDER BY avg(abs(attribution)) DESC, feature) AS INT) AS rank FROM att GROUP BY feature)\n"
+
+
+def _weights(rows, features=ATTRIBUTED):
+    """Weights from the data, so that both engines can compute them."""
+    return staged(models.correlation_weights(rows, features))
+
+
+def _attributions(spark, folder):
+    rows = portfolio(spark, folder)
+    return models.linear_attribution(rows, _weights(rows), ATTRIBUTED)
 
 
 @query("m13_linear_attribution", _ATTR + "SELECT customer_id, feature, round(value, 6) AS value, round(attribution, 6) AS attribution FROM att")
 def _(spark, folder):
-    return models.linear_attribution(portfolio(spark, folder), ATTRIBUTED)
+    return _attributions(spark, folder)
 
 
 @query("w2_importance_rank", _ATTR + "SELECT feature, round(mean_abs, 6) AS mean_abs, rank FROM imp")
 def _(spark, folder):
-    return models.importance(models.linear_attribution(portfolio(spark, folder), ATTRIBUTED))
+    return models.importance(_attributions(spark, folder))
+
+
+_RHO = ", rk AS (SELECT corr(a, b) AS s, count(*) AS n FROM (SELECT (2 * rank() OVER (ORDER BY value) + count(*) OVER (PARTITION BY value) - 1) / 2.0 AS a, (2 * rank() OVER (ORDER BY attribution) + count(*) OVER (PARTITION BY attribution) - 1) / 2.0 AS b FROM att WHERE feature = 'revolving_utilization'))\n"
+
+
+@query("m15_validated_feature", _ATTR + _RHO + "SELECT feature, round(s, 6) AS spearman, CAST(n AS BIGINT) AS n, rank, round(mean_abs, 6) AS mean_abs, CASE WHEN s > 0.05 THEN 'confirmada' ELSE 'refutada' END AS status FROM rk, imp WHERE feature = 'revolving_utilization'")
+def _(spark, folder):
+    return models.validated_feature(_attributions(spark, folder), "revolving_utilization")
 
 
 @query("m16_relative_difference", _ATTR + "SELECT round(a, 6) AS mean_a, round(b, 6) AS mean_b, round((a - b) / b, 6) AS difference, CASE WHEN (a - b) / b > 0.1 THEN 'confirmada' ELSE 'refutada' END AS status FROM (SELECT max(mean_abs) FILTER (feature = 'debt_ratio') AS a, max(mean_abs) FILTER (feature = 'age') AS b FROM imp)")
 def _(spark, folder):
-    return models.relative_difference(models.importance(models.linear_attribution(portfolio(spark, folder), ATTRIBUTED)), "debt_ratio", "age")
+    return models.relative_difference(models.importance(_attributions(spark, folder)), "debt_ratio", "age")
 
 
-@query("m19_hypotheses", _ATTR + """, lab AS (SELECT *, target_dlq_2yrs AS y FROM scored WHERE target_dlq_2yrs IS NOT NULL), grid AS (SELECT CAST(i AS DOUBLE) / 20 AS t FROM generate_series(1, 18) AS g(i)),
+@query("m19_hypotheses", _ATTR + _RHO + """, lab AS (SELECT *, target_dlq_2yrs AS y FROM scored WHERE target_dlq_2yrs IS NOT NULL), grid AS (SELECT CAST(i AS DOUBLE) / 20 AS t FROM generate_series(1, 18) AS g(i)),
 c AS (SELECT t AS threshold, """ + CONFUSION + """ FROM lab, grid GROUP BY t),
 best AS (SELECT * FROM (SELECT *, (tn + fn) / (tn + fp + fn + tp) AS ar, fn / nullif(tn + fn, 0) AS dr, (fn + tp) / (tn + fp + fn + tp) AS br FROM c) WHERE ar >= 0.4 AND dr IS NOT NULL ORDER BY dr, threshold LIMIT 1),
-rk AS (SELECT corr(a, b) AS s FROM (SELECT (2 * rank() OVER (ORDER BY value) + count(*) OVER (PARTITION BY value) - 1) / 2.0 AS a, (2 * rank() OVER (ORDER BY attribution) + count(*) OVER (PARTITION BY attribution) - 1) / 2.0 AS b FROM att WHERE feature = 'revolving_utilization')),
 d2 AS (SELECT (a - b) / b AS d FROM (SELECT max(mean_abs) FILTER (feature = 'debt_ratio') AS a, max(mean_abs) FILTER (feature = 'age') AS b FROM imp))
-SELECT 'H1' AS hypothesis, 'spearman' AS metric, CASE WHEN s > 0.05 THEN 'confirmada' ELSE 'refutada' END AS status, round(s, 6) AS value, 'rho = ' || format('{:.3f}', s) AS evidence FROM rk
+SELECT hypothesis, """ + "CASE hypothesis " + " ".join(f"WHEN '{h}' THEN '{about}'" for h, (about, _) in hypotheses.TEXTS.items()) + " END AS description, metric, status, value, evidence, CASE hypothesis " + " ".join(f"WHEN '{h}' THEN '{limit}'" for h, (_, limit) in hypotheses.TEXTS.items()) + """ END AS limitation FROM (
+SELECT 'H1' AS hypothesis, 'spearman' AS metric, CASE WHEN s > 0.05 THEN 'confirmada' ELSE 'refutada' END AS status, round(s, 6) AS value, 'rho = ' || format('{:.3f}', s) || ', rank ' || rank AS evidence FROM rk, imp WHERE feature = 'revolving_utilization'
 UNION ALL SELECT 'H2', 'relative_difference', CASE WHEN d > 0.1 THEN 'confirmada' ELSE 'refutada' END, round(d, 6), 'diff = ' || format('{:.3f}', d) FROM d2
 UNION ALL SELECT 'H3', 'default_reduction', CASE WHEN br - dr > 0 THEN 'confirmada' ELSE 'refutada' END, round(br - dr, 6), 'threshold = ' || format('{:.2f}', threshold) FROM best
-UNION ALL SELECT 'H4', 'net_impact', CASE WHEN tp * 15000 - fp * 1500 > 0 THEN 'confirmada' ELSE 'refutada' END, round(tp * 15000.0::DOUBLE - fp * 1500, 6), 'bads = ' || tp || ', goods = ' || fp FROM best""")
+UNION ALL SELECT 'H4', 'net_impact', CASE WHEN tp * 15000 - fp * 1500 > 0 THEN 'confirmada' ELSE 'refutada' END, round(tp * 15000.0::DOUBLE - fp * 1500, 6), 'bads = ' || tp || ', goods = ' || fp FROM best)""")
 def _(spark, folder):
-    rows = portfolio(spark, folder)
-    return hypotheses.summary(rows, models.linear_attribution(rows, ATTRIBUTED), LABEL, SCORE, floor=0.4)
+    return hypotheses.summary(portfolio(spark, folder), _attributions(spark, folder), LABEL, SCORE, floor=0.4)
 
 
 def _fitted(spark, folder, fit):
@@ -562,21 +592,77 @@ def _(spark, folder):
     return models.importance(models.sampled_shapley(model, test, FEATURES))
 
 
+@query("m13_logistic_attribution")
+def _(spark, folder):
+    """Mean absolute attribution by feature of the fitted logistic model, on the test rows."""
+    model, test = _fitted(spark, folder, lambda train: models.logistic(train, FEATURES))
+    return models.importance(models.linear_attribution(test, models.coefficients(model, FEATURES).withColumnRenamed("coefficient", "weight"), FEATURES))
+
+
 @query("m29_without_age")
 def _(spark, folder):
     """Denied goods by age band with and without age in the model, at equal approval."""
-    return models.without_feature(portfolio(spark, folder), FEATURES)
+    return models.without_feature(portfolio(spark, folder), FEATURES)[1]
+
+
+@query("m29_summary_without_age")
+def _(spark, folder):
+    """The two models' AUC, portfolio figures and young-to-old ratio at equal approval."""
+    return models.without_feature(portfolio(spark, folder), FEATURES)[0]
+
+
+AGE_BAND = "CASE WHEN age IS NULL OR age < 18 THEN 'não informada' WHEN age <= 30 THEN '18-30' WHEN age <= 40 THEN '31-40' WHEN age <= 50 THEN '41-50' WHEN age <= 60 THEN '51-60' ELSE '60+' END"
+
+
+@query("m29_ablation_figures", TAKEN + EVALUATE.format(by="model", src="m") + f", ab AS (SELECT ap.*, {AGE_BAND} AS band FROM ap JOIN scored USING (customer_id)), br AS (SELECT model, band, avg(CASE WHEN y = 0 THEN CASE WHEN approved THEN 0.0 ELSE 1.0 END END) AS gd FROM ab GROUP BY 1, 2)" + """
+SELECT model, round(any_value(auc), 6) AS auc, round(avg(CASE WHEN approved THEN y END), 6) AS default_approved, CAST(count(*) FILTER (NOT approved AND y = 1) AS BIGINT) AS bads_rejected, CAST(count(*) FILTER (NOT approved AND y = 0) AS BIGINT) AS goods_rejected,
+  (SELECT round(max(gd) FILTER (band = '18-30') / max(gd) FILTER (band = '60+'), 6) FROM br WHERE br.model = ab.model) AS young_to_old FROM ab JOIN ev ON grp = model GROUP BY model""")
+def _(spark, folder):
+    ages = portfolio(spark, folder).select(KEY, "age")
+    return models.ablation_figures(two_models(spark, folder).withColumnRenamed("p", SCORE).join(ages, KEY), 0.731)[0]
+
+
+SCORECARDS = _ATTR + ", sc AS (SELECT customer_id, 1 AS version, 1 / (1 + exp(-sum(attribution))) AS p FROM att GROUP BY 1 UNION ALL SELECT customer_id, 2, 1 / (1 + exp(-sum(attribution))) FROM att WHERE feature <> 'age' GROUP BY 1), scl AS (SELECT version, target_dlq_2yrs AS y, p FROM sc JOIN scored USING (customer_id) WHERE target_dlq_2yrs IS NOT NULL)" + EVALUATE.format(by="version", src="scl") + ", ch AS (SELECT grp FROM ev ORDER BY auc DESC, grp LIMIT 1)\n"
+
+
+@query("m31_batch_scoring", SCORECARDS + "SELECT customer_id, round(p, 6) AS probability, CASE WHEN p >= 0.45 THEN 'negado' ELSE 'aprovado' END AS decision, 'scorecard' AS model_name, CAST(version AS VARCHAR) AS model_version, 0.45::DOUBLE AS threshold FROM sc JOIN ch ON version = grp JOIN scored USING (customer_id) WHERE target_dlq_2yrs IS NULL")
+def _(spark, folder):
+    """Two versions of a scorecard meet; the champion scores the unlabelled rows, which are appended by date."""
+    rows = portfolio(spark, folder)
+    scored = [models.scorecard(rows, _weights(rows, used), used).withColumn("version", F.lit(v)) for v, used in ((1, ATTRIBUTED), (2, [f for f in ATTRIBUTED if f != "age"]))]
+    both = staged(scored[0].union(scored[1]))
+    best = ranking.champion(ranking.evaluate(both.join(rows.select(KEY, LABEL), KEY), ["version"], LABEL, SCORE).select("version", "auc")).first().version
+    batch = both.where(F.col("version") == best).join(rows.where(F.col(LABEL).isNull()).select(KEY), KEY)
+    path = shared_dir(spark) + "/predictions"
+    tables.append_by_date(models.predictions(batch, "scorecard", str(best)), path)
+    return tables.read_merged(spark, path).drop("run_at", "run_date")
 
 
-@query("m31_batch_scoring", PORTFOLIO_SQL + "SELECT customer_id, round(score, 6) AS probability, CASE WHEN score >= 0.45 THEN 'negado' ELSE 'aprovado' END AS decision, 'score' AS model_name, '1' AS model_version, 0.45::DOUBLE AS threshold FROM scored WHERE target_dlq_2yrs IS NULL")
+@query("m31_model_scoring")
 def _(spark, folder):
-    return models.predictions(portfolio(spark, folder).where(F.col(LABEL).isNull()), "score", "1").drop("run_at")
+    """The unlabelled rows scored by a logistic model of the labelled ones."""
+    rows = portfolio(spark, folder)
+    model = models.logistic(rows.where(F.col(LABEL).isNotNull()), FEATURES)
+    return models.predictions(models.probabilities(model, rows.where(F.col(LABEL).isNull()), FEATURES), "logistic", "1").drop("run_at")
+
+
+_FITS = " UNION ALL ".join(f"SELECT '{kind}' AS kind, avg(({c} - y) * ({c} - y)) AS brier, (SELECT avg(abs(o - p)) FROM (SELECT avg(y) AS o, avg({c}) AS p FROM labc, (SELECT quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS inner_ FROM labc) GROUP BY len(list_filter(inner_, lambda e: e < {c})))) AS mean_error FROM labc" for kind, c in (("raw", "score"), ("calibrated", "cal")))
 
 
-@query("m32_validation_metrics", EVALUATED + "SELECT grp AS run, unnest(['auc', 'ks', 'recall_at_precision']) AS metric, round(unnest([auc, ks, recall_at_precision]), 6) AS value FROM ev")
+@query("m32_validation_metrics", GROUPS3 + GRID99[len(LABELLED) :] + AT45[len(LABELLED) :] + f", labc AS (SELECT *, score * (SELECT avg(y) / avg(score) FROM lab) AS cal FROM lab), fits AS ({_FITS}), al AS (SELECT CAST(sum(CASE WHEN approval_ratio < 0.8 THEN 1 ELSE 0 END + CASE WHEN above_average THEN 1 ELSE 0 END) AS DOUBLE) AS n FROM gm), lo AS (SELECT * FROM costs ORDER BY total_cost, threshold LIMIT 1)" + """
+SELECT 'validation' AS run, kind, metric, round(CAST(value AS DOUBLE), 6) AS value FROM (
+SELECT 'parameter' AS kind, unnest(['operating_threshold', 'min_cost_threshold', 'loss', 'margin', 'approval_ratio_limit']) AS metric, unnest([0.45::DOUBLE, threshold, 15000, 1500, 0.8]) AS value FROM lo
+UNION ALL SELECT 'metric', unnest(['cost_of_floor', 'net_impact', 'break_even_ratio', 'default_without_model', 'default_with_model', 'n_alerts']),
+  unnest([at45.fp * 1500.0::DOUBLE + at45.fn * 15000.0::DOUBLE - lo.total_cost, at45.tp * 15000.0::DOUBLE - at45.fp * 1500.0::DOUBLE, at45.fp / at45.tp, (at45.fn + at45.tp) / (at45.tn + at45.fp + at45.fn + at45.tp), at45.fn / (at45.tn + at45.fn), al.n]) FROM lo, at45, al
+UNION ALL SELECT 'metric', unnest(['brier_' || kind, 'calibration_error_' || kind]), unnest([brier, mean_error]) FROM fits)""")
 def _(spark, folder):
-    metrics = ranking.evaluate(two_models(spark, folder), ["model"], LABEL, "p")
-    return metrics.select(F.col("model").alias("run"), F.explode(F.create_map(*[x for c in ("auc", "ks", "recall_at_precision") for x in (F.lit(c), F.col(c))])).alias("metric", "value"))
+    """Parameters and ten metrics of a run, appended to the metrics table by date."""
+    rows = labelled(spark, folder)
+    ratio = rows.agg((F.avg(LABEL) / F.avg(SCORE)).alias("ratio"))
+    rows = rules.beside(_banded(rows), ratio).withColumn("calibrated", F.col(SCORE) * F.col("ratio"))
+    path = shared_dir(spark) + "/metrics"
+    tables.append_by_date(validation.run_metrics(rows, "validation", LABEL, SCORE, "calibrated", DIMENSIONS, F.current_timestamp()), path)
+    return tables.read_merged(spark, path).drop("run_at", "run_date")
 
 
 # Drift
@@ -631,6 +717,24 @@ def _(spark, folder):
     return drift.report(portfolio(spark, folder), FEATURES, known, ~known)
 
 
+@query("d5_severe_features", DRIFT.format(ref="num_times_30_59_days_late = 0", cur="num_times_30_59_days_late > 0") + "SELECT coalesce(string_agg(feature, ',' ORDER BY psi DESC, feature DESC), '') AS features, CAST(count(*) AS INT) AS n_severe FROM rp WHERE feature <> 'score' AND psi >= 0.25")
+def _(spark, folder):
+    late = F.col("num_times_30_59_days_late")
+    return drift.severe(drift.report(portfolio(spark, folder), FEATURES, late == 0, late > 0)).select(F.array_join("features", ",").alias("features"), "n_severe")
+
+
+_HISTORY = "SELECT feature, round(psi, 6) AS psi, psi_class, round(ks, 6) AS ks, round(p_value, 6) AS p_value, '{mode}' AS mode, n_ref AS n_reference, n_cur AS n_current FROM rp WHERE feature <> 'score'"
+
+
+@query("d7_drift_history", "SELECT * FROM (" + SCORING + _HISTORY.format(mode="scoring") + ") UNION ALL SELECT * FROM (" + SAMPLE + _HISTORY.format(mode="training_amostra") + ")")
+def _(spark, folder):
+    """Two runs append to one history."""
+    path = shared_dir(spark) + "/history"
+    for mode in ("scoring", "training_amostra"):
+        tables.append_by_date(drift.report_history(drift.mode_report(portfolio(spark, folder), FEATURES, mode, LABEL, star.hash_bucket()), mode, F.current_timestamp()), path)
+    return tables.read_merged(spark, path).drop("run_at", "run_date")
+
+
 for _mode, _sql, _ok in (("scoring", SCORING, "true"), ("training", SELF, "psi < 1e-9"), ("training_amostra", SAMPLE, "psi < 0.10")):
 
     @query(f"d6_mode_{_mode}", _sql + REPORT.format(more=f", '{_mode}' AS mode, {_ok} AS as_expected"))
@@ -654,6 +758,52 @@ def _(spark, folder):
     return drift.concept(labelled(spark, folder), LABEL, SCORE, star.hash_bucket() < 20)
 
 
+def _concept_sql(mode: str, reference: str, expected: str) -> str:
+    return f"SELECT '{mode}' AS mode, round(a, 6) AS auc_reference, round(b, 6) AS auc_current, round(k, 6) AS ks_current, round(a - b, 6) AS auc_drop, a - b >= 0.03 AS alert, {expected} AS as_expected FROM (SELECT {reference} AS a, max(auc) FILTER (grp = 'current') AS b, max(ks) FILTER (grp = 'current') AS k FROM ev)"
+
+
+def _parts(spark, folder):
+    rows = labelled(spark, folder)
+    return rows.where(star.hash_bucket() >= 20), rows.where(star.hash_bucket() < 20)
+
+
+@query("d10_training_sample", CONCEPT + _concept_sql("treino_amostra", "max(auc) FILTER (grp = 'reference')", "a - b < 0.03"))
+def _(spark, folder):
+    reference, current = _parts(spark, folder)
+    return drift.concept_report("treino_amostra", current, reference, LABEL, SCORE)
+
+
+@query("d10_realised_outcomes", CONCEPT + _concept_sql("resultados_realizados", "round(max(auc) FILTER (grp = 'reference'), 4)", "true"))
+def _(spark, folder):
+    """Late labels joined to predictions; the reference AUC is the recorded one, to four places."""
+    reference, late = _parts(spark, folder)
+    recorded = ranking.evaluate(reference.withColumn("model", F.lit("champion")), ["model"], LABEL, SCORE).first().auc
+    outcomes = late.select(KEY, LABEL)
+    current = drift.realised(models.predictions(portfolio(spark, folder), "champion", "1"), outcomes, LABEL, KEY)
+    return drift.concept_report("resultados_realizados", current, reference, LABEL, SCORE, round(recorded, 4))
+
+
+SIMULATED = LABELLED + f", pp AS (SELECT 'reference' AS population, y, score AS p FROM lab UNION ALL SELECT 'current', y, CASE WHEN {_BUCKET} < 50 THEN 1 - score ELSE score END FROM lab)" + EVALUATE.format(by="population", src="pp")
+
+
+@query("d10_no_outcomes_yet", SIMULATED + _concept_sql("simulacao", "max(auc) FILTER (grp = 'reference')", "a - b >= 0.03"))
+def _(spark, folder):
+    """Without late labels the mode switches to a simulated change."""
+    rows = labelled(spark, folder)
+    return drift.concept_report("resultados_realizados", drift.realised(models.predictions(rows, "champion", "1"), None, LABEL, KEY), rows, LABEL, SCORE, 0.8)
+
+
+@query("d12_concept_history", SCORING + CONCEPT[len(PORTFOLIO_SQL) :] + "SELECT false AS simulated, 'treino_amostra' AS mode, round(a, 6) AS auc_reference, round(b, 6) AS auc_current, round(a - b, 6) AS auc_drop, round(k, 6) AS ks_current, a - b >= 0.03 AS alert, round(psi, 6) AS prediction_psi, psi_class AS prediction_class, (SELECT CAST(count(*) AS BIGINT) FROM scored WHERE target_dlq_2yrs IS NULL) AS n_scoring FROM (SELECT max(auc) FILTER (grp = 'reference') AS a, max(auc) FILTER (grp = 'current') AS b, max(ks) FILTER (grp = 'current') AS k FROM ev), rp WHERE feature = 'score'")
+def _(spark, folder):
+    """A run of concept drift and of the score's own drift appends its row."""
+    reference, current = _parts(spark, folder)
+    rows, known = portfolio(spark, folder), F.col(LABEL).isNotNull()
+    predicted = drift.report(rows, [SCORE], known, ~known)
+    path = shared_dir(spark) + "/history"
+    tables.append_by_date(drift.concept_history(drift.concept_report("treino_amostra", current, reference, LABEL, SCORE), predicted, rows.where(~known).count(), F.current_timestamp()), path)
+    return tables.read_merged(spark, path).drop("run_at", "run_date")
+
+
 @query("d13_sensitivity", LABELLED + ", pp AS (SELECT CAST(o AS INT) AS intensity, y, CASE WHEN customer_id % 6 < o THEN 1 - score ELSE score END AS p FROM lab, generate_series(0, 5) AS g(o))" + EVALUATE.format(by="intensity", src="pp") + "SELECT grp AS intensity, round(auc, 6) AS auc, round(b - auc, 6) AS auc_drop, b - auc >= 0.03 AS alert FROM ev, (SELECT auc AS b FROM ev WHERE grp = 0)")
 def _(spark, folder):
     rows = labelled(spark, folder).withColumn("intensity", F.explode(F.sequence(F.lit(0), F.lit(5))))
@@ -669,11 +819,15 @@ def _(spark, folder):
     return streams.bronze(spark, folder)
 
 
-@query("t4_silver_stream", ORACLE_SQL["p1_clean_silver"])
+#: Every tenth row came again with a greater debt ratio.
+LATER = CLEAN.replace("debt_ratio, monthly_income,\n", "debt_ratio + CASE WHEN customer_id % 10 = 0 THEN 1 ELSE 0 END AS debt_ratio, monthly_income,\n")
+
+
+@query("t4_silver_stream", LATER + ORACLE_SQL["p1_clean_silver"][len(CLEAN) :])
 def _(spark, folder):
     return streams.silver(spark, folder)
 
 
-@query("t7_gold_stream", COMBINED + "SELECT customer_id, age, round(monthly_income, 6) AS monthly_income, num_times_30_59_days_late + num_times_60_89_days_late + num_times_90_days_late AS total_delinquency_events, target_default_2yrs AS target_dlq_2yrs FROM both_")
+@query("t7_gold_stream", LATER + COMBINED[len(CLEAN) :] + "SELECT customer_id, age, round(monthly_income, 6) AS monthly_income, round(debt_ratio, 6) AS debt_ratio, num_times_30_59_days_late + num_times_60_89_days_late + num_times_90_days_late AS total_delinquency_events, target_default_2yrs AS target_dlq_2yrs FROM both_")
 def _(spark, folder):
     return streams.gold(spark, folder)

@@ -17,7 +17,7 @@ def ensure_database(spark: SparkSession, name: str) -> None:
 
 def overwrite(df: DataFrame, name: str) -> None:
     """Replace a table, schema included."""
-    df.write.mode("overwrite").option("overwriteSchema", "true").saveAsTable(name)
+    df.write.mode("overwrite").saveAsTable(name)
 
 
 def ensure_columns(spark: SparkSession, name: str, columns: dict[str, str]) -> list[str]:

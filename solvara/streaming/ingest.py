@@ -13,7 +13,7 @@ from solvara.operators import clean, star
 from solvara.sources.landing import dataset_of
 from solvara.sources.tables import assert_rows
 
-#: The raw file's columns by position; its first header cell is empty.
+# The public raw file's columns by position; its first header cell is empty.
 RAW_SCHEMA = T.StructType([
     T.StructField("_c0", T.IntegerType()),
     T.StructField("SeriousDlqin2yrs", T.IntegerType()),

@@ -15,27 +15,30 @@ RAW = T.StructType([T.StructField("_c0", T.LongType()), *ingest.RAW_SCHEMA.field
 BRONZE = T.StructType([*RAW.fields, *ingest.BRONZE_SCHEMA.fields[len(RAW.fields) :]])
 
 
-def landing(spark: SparkSession, folder: str) -> str:
-    """The portfolio as raw CSV files: all rows, then some again with a later value."""
-    path = shared_dir(spark) + "/landing"
+def landing(spark: SparkSession, folder: str, path: str, again: bool = False) -> None:
+    """The portfolio as raw CSV files in ``path``; with ``again`` every tenth row once more, with a greater debt ratio."""
     rows = raw_profiles(spark, folder)
-    rows.select([f.name for f in RAW.fields]).write.option("header", True).option("nullValue", "NA").csv(path)
-    return path
+    if again:
+        rows = rows.where("_c0 % 10 = 0").withColumn("DebtRatio", F.col("DebtRatio") + 1)
+    rows.select([f.name for f in RAW.fields]).write.mode("append").option("header", True).option("nullValue", "NA").csv(path)
 
 
 def bronze(spark: SparkSession, folder: str) -> DataFrame:
     """Ingest, and ingest again without new files: the rows by label."""
-    path, out = landing(spark, folder), shared_dir(spark)
+    path, out = shared_dir(spark) + "/landing", shared_dir(spark)
+    landing(spark, folder, path)
     for _ in range(2):
         ingest.run_bronze(spark, path, f"{out}/bronze", f"{out}/checkpoint", schema=RAW)
     return spark.read.schema(BRONZE).parquet(f"{out}/bronze").groupBy("SeriousDlqin2yrs").agg(F.count("*").alias("n_rows"), F.count("MonthlyIncome").alias("n_income"))
 
 
 def silver(spark: SparkSession, folder: str) -> DataFrame:
-    """Both hops; the cleaned rows equal the batch form's."""
-    path, out = landing(spark, folder), shared_dir(spark)
-    ingest.run_bronze(spark, path, f"{out}/bronze", f"{out}/c1", schema=RAW)
-    rows = ingest.run_silver(spark, f"{out}/bronze", f"{out}/silver", f"{out}/c2", schema=BRONZE)
+    """Both hops, then again after changed rows have landed: of a key the row that came last stays."""
+    path, out = shared_dir(spark) + "/landing", shared_dir(spark)
+    for again in (False, True):
+        landing(spark, folder, path, again)
+        ingest.run_bronze(spark, path, f"{out}/bronze", f"{out}/c1", schema=RAW)
+        rows = ingest.run_silver(spark, f"{out}/bronze", f"{out}/silver", f"{out}/c2", schema=BRONZE)
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])
 
 
@@ -43,4 +46,4 @@ def gold(spark: SparkSession, folder: str) -> DataFrame:
     """The star schema of the streamed rows, joined."""
     rows = silver(spark, folder)
     dim, fct = ingest.run_gold(rows.where("target_default_2yrs is not null"), rows.where("target_default_2yrs is null").drop("target_default_2yrs"))
-    return fct.join(dim, "customer_id").select("customer_id", "age", "monthly_income", "total_delinquency_events", "target_dlq_2yrs")
+    return fct.join(dim, "customer_id").select("customer_id", "age", "monthly_income", "debt_ratio", "total_delinquency_events", "target_dlq_2yrs")
