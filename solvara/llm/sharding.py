@@ -110,3 +110,24 @@ def op3_feistel_shards(spark, sf_dir: str, shards: int = 16, seed: int = 20_240_
     placed = shard_rows(narrow, shards, seed, "doc_id", "text_crc32", "size")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
+
+
+def _sql(shards: int = 16, seed: int = 20_240_601) -> str:
+    """The same in SQL: CRC-32 byte by byte, the rounds written out, and the walk as a recursion."""
+    left, right = "(x >> bits)", "(x & mask)"
+    for key in round_keys(seed):
+        left, right = right, f"xor({left}, (({right} * {ROUND_MULTIPLIER} + {key}) >> 13) & mask)"
+    permuted_ = f"(({left} << bits) | {right})"
+    return f"""
+WITH RECURSIVE size_ AS (SELECT count(*) AS n, greatest(1, (CAST(floor(log2(greatest(count(*) - 1, 1))) AS BIGINT) + 2) // 2) AS bits FROM documents),
+dom AS (SELECT n, bits, (1::BIGINT << bits) - 1 AS mask FROM size_),
+crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_concat([b], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(size - 1), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, v: xor(c >> 8, t[xor(c & 255, v) + 1]))) AS text_crc32 FROM d, crc),
+r AS (SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, CAST(row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS BIGINT) AS i FROM b),
+walk(i, x) AS (SELECT i, {permuted_} FROM (SELECT i, i AS x, bits, mask FROM r, dom) UNION ALL SELECT i, {permuted_} FROM (SELECT walk.*, bits, mask FROM walk, dom WHERE x >= n))
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(x % {shards} AS INT) AS shard, x // {shards} AS slot, CAST(NULL AS INT) AS grown_shard FROM r JOIN walk USING (i), dom WHERE x < n
+"""
+
+
+OP3_SQL = _sql()
