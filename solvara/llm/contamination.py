@@ -20,7 +20,7 @@ SIMILARITY = Fraction(3, 4)
 #: Fingerprints of 64 bits are looked up by 4 blocks of 16 bits: of two that differ in RADIUS bits at most, one block
 #: differs in RADIUS // 4 at most. The radius is chosen by measured recall, see README.
 BLOCKS, RADIUS = 4, 15
-#: Item-sized windows start at every STEPS-th part of their size; sizes that differ less than GRID share their windows.
+#: Item-sized windows start at steps of a STEPS-th part of their size; sizes that differ less than GRID share their windows.
 STEPS, GRID = 6, 1.25
 #: Words on which windows are fingerprinted together.
 SLICE_WORDS = 1 << 14
@@ -71,18 +71,23 @@ def item_window(n: int) -> int:
     return round(GRID ** round(math.log(n) / math.log(GRID)))
 
 
-def bit_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running sums of each bit over the shingles' hashes, from 0."""
-    sums = np.zeros((max(len(hashes) - SHINGLE + 1, 0) + 1, 64), dtype=np.int32)
+def bit_sums(hashes: np.ndarray, most: int) -> np.ndarray:
+    """Running sums of each bit over the shingles' hashes, from 0, for windows of ``most`` words or fewer.
+
+    Only differences of sums are used, so the sums may wrap: one byte does for windows of up to 255 shingles.
+    """
+    kind = np.uint8 if most < 256 else np.uint16 if most < 65_536 else np.int64
+    sums = np.zeros((max(len(hashes) - SHINGLE + 1, 0) + 1, 64), dtype=kind)
     if len(sums) > 1:
-        np.cumsum(np.unpackbits(rolled(hashes, SHINGLE).view(np.uint8).reshape(-1, 8), axis=1), axis=0, out=sums[1:])
+        np.cumsum(np.unpackbits(rolled(hashes, SHINGLE).view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=kind, out=sums[1:])
     return sums
 
 
 def window_prints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """SimHash of windows of any sizes from SHINGLE words on: the majority of each bit over their shingles."""
     last = ends - SHINGLE + 1
-    return np.packbits(2 * (sums[last] - sums[starts]) > (last - starts)[:, None], axis=1).view(U64).reshape(-1)
+    half = ((last - starts) // 2).astype(sums.dtype)
+    return np.packbits(sums[last] - sums[starts] > half[:, None], axis=1).view(U64).reshape(-1)
 
 
 def windows_of(of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -150,7 +155,7 @@ class Items:
             own = hashes[words.of[i] : words.of[i + 1]]
             self.shingles.append(np.unique(rolled(own, min(SHINGLE, n)), return_counts=True) if n else (np.zeros(0, U64), np.zeros(0, int)))
             if n >= SHINGLE:
-                by_size.setdefault(item_window(int(n)), []).append((window_prints(bit_sums(own), np.array([0]), np.array([n]))[0], i))
+                by_size.setdefault(item_window(int(n)), []).append((window_prints(bit_sums(own, int(n)), np.array([0]), np.array([n]))[0], i))
             if n:
                 w = run_for(int(n))
                 prints, owners = by_run.setdefault(w, ([], []))
@@ -167,7 +172,7 @@ class Items:
         for low in range(0, len(hashes), SLICE_WORDS):
             parts = [(np.searchsorted(start, [low, low + SLICE_WORDS]), start, end, text, index) for (start, end, text), index in windows]
             high = max([int(end[b - 1]) for (a, b), _, end, _, _ in parts if b > a], default=low)
-            sums = bit_sums(hashes[low:high])
+            sums = bit_sums(hashes[low:high], max(self.windows, default=0))
             for (a, b), start, end, text, index in parts:
                 which, item = index.within(window_prints(sums, start[a:b] - low, end[a:b] - low))
                 pairs.append(np.unique(text[a:b][which] * len(self.ids) + item))

@@ -20,7 +20,7 @@ from solvara.storage import staged
 MINIMISER, RUN = 3, 64
 #: Bytes of packed strings that a bucket holds, about, before compression; a text's strings overlap, and take some
 #: EXPANSION times its bytes.
-BUCKET_BYTES, EXPANSION = 8 << 20, 4
+BUCKET_BYTES, EXPANSION = 6 << 20, 4
 #: A null doc_id comes after all others.
 LAST = np.iinfo(np.int64).max
 RUN_WEIGHTS = multipliers(8, RUN)
@@ -131,7 +131,7 @@ def hot_minimisers(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, size=6 << 20):
+        for batch in chunks(batches, size=4 << 20):
             if found := merged_strings(batch, k):
                 values, n = np.unique(found[4][~found[-1]], return_counts=True)
                 keep = n >= max(LEAST_SEEN, n.sum() / (2 * buckets))
@@ -155,7 +155,7 @@ def packed_strings(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, batch in enumerate(chunks(batches, size=6 << 20)):
+        for number, batch in enumerate(chunks(batches, size=4 << 20)):
             found = merged_strings(batch, k)
             if found is None:
                 continue
@@ -249,7 +249,7 @@ def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
     tagged = docs.select(F.col("doc_id").cast("long"), tag().alias("tag"), "text")
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = tagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = buckets or max(4 * least, -(-EXPANSION * size // BUCKET_BYTES))
+    buckets = buckets or max(6 * least, -(-EXPANSION * size // BUCKET_BYTES))
     strings = packed_strings(tagged, k, buckets, hot_minimisers(tagged, k, buckets))
     spans = strings.repartition(max(least, buckets // 8), "bucket").groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag long, start int, end int")
     lists = spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))

@@ -77,7 +77,7 @@ def others(df: DataFrame, *names: str) -> list[str]:
 
 
 #: Bytes of an Arrow batch that a text operator is handed, at most, or one row.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
