@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -45,10 +46,65 @@ SENTENCES = {
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4-notice",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4-notice",
     "all rights reserved": "all-rights",
+    "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl-2-1-grant",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl-warranty",
+    "see the gnu lesser general public license for more details": "lgpl-details",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl-3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl-3-grant",
+    "see the gnu affero general public license for more details": "agpl-details",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-2-copy",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl-2-terms",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd-liability",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software": "isc-liability",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-freedom",
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law": "cc0-deed",
 }
 
+# Licences and the names, normalised, by which notices call them.
+NAMES = {
+    "MIT": ["mit license", "mit licence"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache licence version 2 0"],
+    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license"],
+    "BSD-3-Clause": ["bsd 3 clause license", "new bsd license", "modified bsd license"],
+    "ISC": ["isc license", "isc licence"],
+    "GPL-2.0-only": ["gnu general public license version 2", "gnu general public license v2 0"],
+    "GPL-3.0-only": ["gnu general public license version 3", "gnu general public license v3 0"],
+    "LGPL-2.1-only": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1"],
+    "LGPL-3.0-only": ["gnu lesser general public license version 3", "gnu lesser general public license v3 0"],
+    "AGPL-3.0-only": ["gnu affero general public license version 3", "gnu affero general public license v3 0"],
+    "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0"],
+    "BSL-1.0": ["boost software license version 1 0"],
+    "Zlib": ["zlib license"],
+    "Unlicense": ["unlicense"],
+    "CC0-1.0": ["creative commons zero v1 0 universal", "cc0 1 0 universal"],
+}
+#: What notices say of a name; a name alone is a heading.
+NOTICES = ["{}", "released under the {}", "licensed under the {}", "distributed under the {}", "this project is licensed under the {}", "this work is licensed under the {}", "this software is licensed under the {}"]
+
+
+def plain(name: str) -> str:
+    """A name in lower case, with one space for each run of other characters than letters and digits."""
+    return re.sub("[^a-z0-9]+", " ", name.lower()).strip()
+
+
+def notice_of(licence: str) -> str:
+    return f"{plain(licence).replace(' ', '-')}-named"
+
+
+for _licence, _names in NAMES.items():
+    for _notice in [*(n.format(name) for n in NOTICES for name in _names), f"spdx license identifier {plain(_licence)}"]:
+        SENTENCES.setdefault(_notice, notice_of(_licence))
+
 # Licences and the sentence sequences that make them, in the order in which they are tried. A rule uses up
-# the sentences that it matches.
+# the sentences that it matches; those around them don't become neighbours.
 RULES = [
     ("MIT", ["mit-grant", "mit-condition", "mit-warranty", "mit-liability"]),
     ("MIT", ["mit-grant", "mit-condition"]),
@@ -72,7 +128,16 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-4-notice"]),
     ("public-domain", ["public-domain"]),
     ("all-rights-reserved", ["all-rights"]),
+    ("LGPL-2.1-or-later", ["lgpl-2-1-grant", "lgpl-warranty", "lgpl-details"]),
+    ("LGPL-2.1-or-later", ["lgpl-2-1-grant"]),
+    ("LGPL-3.0-or-later", ["lgpl-3-grant"]),
+    ("AGPL-3.0-or-later", ["agpl-3-grant", "gpl-warranty", "agpl-details"]),
+    ("AGPL-3.0-or-later", ["agpl-3-grant"]),
+    ("EPL-2.0", ["epl-2-terms"]),
+    ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
+    ("CC0-1.0", ["cc0-deed"]),
 ]
+RULES += [(licence, [notice_of(licence)]) for licence in NAMES]
 
 SPACE = "[ \\t\\n\\r]"
 
@@ -92,6 +157,20 @@ KNOWN = sorted(SENTENCES.items(), key=lambda pair: (-len(pair[0]), pair[0]))
 LINES = max(len(s.split(" ")) for s in SENTENCES)
 
 
+def branches(sentences: list[list[str]]) -> str:
+    """A pattern of all sentences that branches word by word, so that few words are compared at a place of a text."""
+    after: dict[str, list[list[str]]] = {}
+    for words in sentences:
+        if words:
+            after.setdefault(words[0], []).append(words[1:])
+    ways = []
+    for word, rest in after.items():
+        further = branches([r for r in rest if r])
+        tail = f"(?: {further})" if further else ""
+        ways.append(word + (f"{tail}?" if tail and [] in rest else tail))
+    return f"(?:{'|'.join(ways)})" if ways else ""
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
@@ -102,7 +181,7 @@ def sentence_ids(text: Column) -> Column:
     As in the SQL, what stands between two sentence ends or blank lines is looked up whole and, if it has a line break,
     line by line: a known line that is all of it but for line breaks or signs counts twice.
     """
-    anywhere = "(?:^| )(?:" + "|".join(s for s, _ in KNOWN) + ")(?: |$)"
+    anywhere = f"(?:^| ){branches([s.split(' ') for s in SENTENCES])}(?: |$)"
     parts = F.split(F.regexp_replace(text, f"([.!?]){SPACE}+", "$1\n\n"), f"\n{SPACE}*\n")
 
     def lines(part: Column) -> Column:
@@ -140,7 +219,7 @@ def licences(ids: Column) -> Column:
     def apply(state: Column, rule: Column) -> Column:
         return F.when(
             state.rest.contains(rule.seq),
-            F.struct(F.replace(state.rest, rule.seq, F.lit("")).alias("rest"), F.array_append(state.found, rule["name"]).alias("found")),
+            F.struct(F.replace(state.rest, rule.seq, F.lit("|")).alias("rest"), F.array_append(state.found, rule["name"]).alias("found")),
         ).otherwise(state)
 
     return F.array_distinct(F.aggregate(rules, start, apply, lambda s: s.found))
@@ -152,7 +231,8 @@ def licence_scan(docs: DataFrame) -> DataFrame:
     One pass without a shuffle, so hot sources or copies don't matter. Null, blank and empty texts, and empty tables,
     give no rows; repeated rows give equal rows; a null doc_id stays null; identifiers that no rule takes give no licence.
     """
-    found = docs.select("doc_id", sentence_ids(F.col("text")).alias("sentence_ids")).where(F.size("sentence_ids") > 0)
+    one = F.filter(F.array(sentence_ids(F.col("text"))), lambda ids: F.size(ids) > 0)  # as a list of at most one, so that it is computed once
+    found = docs.select("doc_id", F.explode(one).alias("sentence_ids"))
     return found.select("doc_id", "sentence_ids", licences(F.col("sentence_ids")).alias("licences"), F.size("sentence_ids").cast("long").alias("n_sentences"))
 
 
@@ -168,7 +248,7 @@ def _sql() -> str:
     steps = [f"z0 AS (SELECT doc_id, ids, {rest} AS rest, [] :: VARCHAR[] AS found FROM seq)"]
     for n, (name, seq) in enumerate(RULES, 1):
         pattern = ",,".join(seq)
-        steps.append(f"z{n} AS (SELECT doc_id, ids, replace(rest, ',{pattern},', '') AS rest, CASE WHEN contains(rest, ',{pattern},') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM z{n - 1})")
+        steps.append(f"z{n} AS (SELECT doc_id, ids, replace(rest, ',{pattern},', '|') AS rest, CASE WHEN contains(rest, ',{pattern},') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM z{n - 1})")
     return rf"""
 WITH k(s, id) AS (VALUES {known}),
 p AS (

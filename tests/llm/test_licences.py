@@ -94,7 +94,7 @@ def test_public_headers_after_copyright_lines_and_in_comments(spark):
         GPL: (["gpl-3-grant", "gpl-warranty", "gpl-details"], "GPL-3.0-or-later"),
         ISC: (["isc-grant"], "ISC"),
         MIT: (["mit-grant", "mit-condition", "mit-warranty", "mit-liability"], "MIT"),
-        MPL: (["mpl-2-notice"], "MPL-2.0"),
+        MPL: (["mpl-2-notice", "mpl-2-copy"], "MPL-2.0"),
     }
     texts, wanted = [], []
     for text, (ids, name) in whole.items():
@@ -110,3 +110,47 @@ def test_public_headers_after_copyright_lines_and_in_comments(spark):
 def test_runs_keep_to_whole_lines(spark):
     got = found(spark, ["not\nreleased under\n#\nthe MIT\nLicense\nat all", "It is released under\nthe MIT License", "released under\nthe MIT License of\nold", "All rights\nreserved"])
     assert got == {0: (["mit-notice"], ["MIT"]), 3: (["all-rights"], ["all-rights-reserved"])}
+
+
+def test_what_stands_around_a_match_is_not_neighbouring(spark):
+    grant = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."
+    source = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    binary = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions."
+    got = found(spark, [f"{grant} {source} {binary}", f"{grant} {mit} {source} {binary}", f"{mit} {grant} {source} {binary}"])
+    assert got[0] == (["bsd-grant", "bsd-source", "bsd-binary"], ["BSD-2-Clause"])
+    assert got[1] == (["bsd-grant", "mit-grant", "bsd-source", "bsd-binary"], ["MIT"])
+    assert sorted(got[2][1]) == ["BSD-2-Clause", "MIT"]
+
+
+def test_identifiers_names_and_headings(spark):
+    texts = {
+        "// SPDX-License-Identifier: MIT": "MIT",
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "Some code\nGNU Lesser General Public License, version 2.1\nmore": "LGPL-2.1-only",
+        "Released under the MIT licence.": "MIT",
+        "This software is licensed under the Eclipse Public License 2.0.": "EPL-2.0",
+        "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "CC0 1.0 Universal": "CC0-1.0",
+        "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3": "AGPL-3.0-only",
+    }
+    got = found(spark, list(texts))
+    assert {i: got[i][1] for i in got} == {i: [name] for i, name in enumerate(texts.values())}
+    assert not found(spark, ["We like the MIT License a lot.", "SPDX-License-Identifier: unknown", "mit licenses"])
+
+
+def test_pattern_of_all_sentences():
+    import re
+
+    pattern = re.compile(f"(?:^| ){licences.branches([s.split(' ') for s in licences.SENTENCES])}(?: |$)")
+    for s in licences.SENTENCES:
+        assert pattern.search(s) and pattern.search(f"a {s} b") and not pattern.search(f"x{s}x")
+    assert not pattern.search("this is free") and not pattern.search("permission is hereby")
+
+
+def test_a_very_long_text_and_one_evaluation(spark):
+    rows = [(1, "plain words " * 200_000 + "\nAll rights reserved.\n" + "more words " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert licences.licence_scan(df).collect()[0].licences == ["all-rights-reserved"]
+    plan = licences.licence_scan(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("permission is hereby granted free of charge") <= 2  # in the pattern's words, and once among the known
