@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from unicodedata import category, combining, east_asian_width
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -50,17 +51,18 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|<!--|-->", re.S)
 _SHOWS = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*\Z", re.I)
 _SCREEN = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*\Z", re.I)
-_SIMPLE = re.compile(r"([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)\Z", re.I)
+_SIMPLE = re.compile(r"(\*|[a-z][a-z0-9]*)?((?:[.#][\w-]+)*)\Z", re.I)
 
 
 class Node:
     """An element; children are nodes and strings in order."""
 
-    __slots__ = ("attributes", "children", "depth", "foreign", "parent", "tag")
+    __slots__ = ("attributes", "children", "classes", "depth", "foreign", "parent", "shown", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
-        self.depth = parent.depth + 1 if parent else 0
+        self.depth, self.shown = parent.depth + 1 if parent else 0, True
+        self.classes = frozenset(attributes.get("class", "").split())
         within = parent is not None and parent.foreign  # "no" in svg and math where no text shows, "text" in svg text
         self.foreign = "" if tag in FOREIGN_TEXT - {"text"} or tag == "annotation-xml" else "text" if within and tag == "text" else within or ("no" if tag in ("svg", "math") else "")
 
@@ -144,17 +146,80 @@ def screen(media: str) -> bool:
     return any(_SCREEN.match(m) for m in media.split(","))
 
 
-def declared(text: str) -> list[tuple[str, bool, bool]]:
+#: Whether a value hides; None: as the parent. Other values of visibility are no values.
+_VISIBILITY = {"visible": False, "initial": False, "hidden": True, "collapse": True, "inherit": None, "unset": None}
+
+
+def declared(text: str) -> list[tuple[str, bool | None, bool]]:
     """(property, whether it hides, whether important) of the display and visibility declarations."""
-    found = (_SHOWS.match(d) for d in text.split(";"))
-    return [(m[1].lower(), m[2].lower() in ("none", "hidden", "collapse"), bool(m[3])) for m in found if m]
+    out = []
+    for m in (_SHOWS.match(d) for d in text.split(";")):
+        if m and m[1].lower() == "display":
+            out.append(("display", m[2].lower() == "none", bool(m[3])))
+        elif m and m[2].lower() in _VISIBILITY:
+            out.append(("visibility", _VISIBILITY[m[2].lower()], bool(m[3])))
+    return out
+
+
+def selector_of(text: str) -> tuple[tuple, list] | None:
+    """(specificity, parts from the last on) of a selector of simple ones, descendants and children; None for others.
+
+    A part is (combinator to what follows it, element name, classes, ids).
+    """
+    parts, combinator, weight = [], "", [0, 0, 0]
+    for token in re.sub(r"\s*>\s*", " > ", text.strip()).split():
+        if token == ">":
+            if combinator != " ":
+                return None
+            combinator = ">"
+            continue
+        m = _SIMPLE.match(token)
+        if not m or not m[0]:
+            return None
+        marks = re.findall(r"([.#])([\w-]+)", m[2])
+        tag = (m[1] or "").lower().replace("*", "")
+        classes, ids = frozenset(v for k, v in marks if k == "."), frozenset(v for k, v in marks if k == "#")
+        if parts:
+            parts[-1][0] = combinator
+        parts.append(["", tag, classes, ids])
+        combinator = " "
+        weight = [weight[0] + len(ids), weight[1] + len(marks) - len(ids), weight[2] + bool(tag)]
+    return (tuple(weight), [tuple(p) for p in reversed(parts)]) if parts and combinator == " " else None
+
+
+def matches(node: Node, parts: list) -> bool:
+    """Whether a selector's last part takes the element, and the parts before it ancestors of it.
+
+    The ancestors that can stand for each part are found step by step, so the cost is parts times depth.
+    """
+
+    def takes(n: Node, part: tuple) -> bool:
+        return bool(n.tag) and (not part[1] or part[1] == n.tag) and part[2] <= n.classes and (not part[3] or part[3] <= {n.attributes.get("id")})
+
+    if not takes(node, parts[0]):
+        return False
+    stand = {id(node): node}
+    for part in parts[1:]:
+        above: dict[int, Node] = {}
+        for n in stand.values():
+            up = n.parent
+            while up is not None and id(up) not in above:
+                if takes(up, part):
+                    above[id(up)] = up
+                if part[0] == ">":
+                    break
+                up = up.parent
+        if not above:
+            return False
+        stand = above
+    return True
 
 
 def hidden_by(styles: list[str]) -> list[tuple]:
-    """Rules on display and visibility, weakest first: (important, (ids, classes, tags)), selector parts, property, hides.
+    """Rules on display and visibility, weakest first: ((important, specificity), selector, property, hides).
 
-    Selectors are simple ones (an element name, classes, an id). Blocks of at-rules count only for plain screens or all
-    media, as a condition may not hold; nested rules don't count.
+    Blocks of at-rules count only for plain screens or all media, as a condition may not hold; nested rules don't count,
+    nor do selectors beyond names, classes, ids, descendants and children.
     """
     out = []
     for style in styles:
@@ -168,29 +233,40 @@ def hidden_by(styles: list[str]) -> list[tuple]:
                 stack.append(False if top is not None else (None if media and screen(media[1]) else False) if name.startswith("@") else re.split(r",(?![^(]*\))", name))
                 continue
             for prop, hides, important in declared(text) if top else []:
-                for selector in top:
-                    if (m := _SIMPLE.match(selector.strip())) and m[0]:
-                        parts = re.findall(r"([.#])([\w-]+)", m[2])
-                        classes, ids = frozenset(v for k, v in parts if k == "."), [v for k, v in parts if k == "#"]
-                        out.append(((important, (len(ids), len(parts) - len(ids), bool(m[1]))), (m[1] or "").lower(), classes, ids[0] if ids else "", prop, hides))
+                for selector in map(selector_of, top):
+                    if selector:
+                        out.append(((important, selector[0]), selector[1], prop, hides))
             if mark == "}" and len(stack) > 1:
                 stack.pop()
     return sorted(out, key=lambda r: r[0])
 
 
 def visible(node: Node, rules: list[tuple]) -> bool:
-    """Whether an element shows: the last matching declaration of each property decides, the inline ones after the sheets'."""
+    """Whether an element is laid out; sets whether its own text shows, which its content takes over.
+
+    The last matching declaration of each property decides, the inline ones after the sheets'.
+    """
     a = node.attributes
+    node.shown = node.parent is None or node.parent.shown
     if node.tag in HIDDEN or node.foreign and node.tag in FOREIGN_HIDDEN or node.tag in ("input", "annotation-xml"):
         return False
     state = {"display": ((False, False), "hidden" in a or node.tag == "dialog" and "open" not in a)}
-    classes = set(a.get("class", "").split())
-    found = [((important, False), prop, hides) for (important, _), tag, need, name, prop, hides in rules if (not tag or tag == node.tag) and need <= classes and (not name or a.get("id") == name)]
+    found = [((important, False), prop, hides) for (important, _), parts, prop, hides in rules if matches(node, parts)]
     found += [((important, True), prop, hides) for prop, hides, important in declared(_NOISE.sub(" ", a.get("style", "")))]
     for weight, prop, hides in found:
         if weight >= state.get(prop, (weight,))[0]:
             state[prop] = weight, hides
-    return not any(hides for _, hides in state.values())
+    hidden = state.get("visibility", (None, None))[1]
+    if hidden is not None:
+        node.shown = not hidden
+    return not state["display"][1]
+
+
+def width_of(text: str) -> int:
+    """Columns that a line takes: two for wide characters, none for combining ones."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) or category(c) in ("Mn", "Me", "Cf") else 2 if east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class Lines:
@@ -255,12 +331,13 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     width: dict[int, int] = {}
     for cells in grid:
         for c, lines in cells.items():
-            width[c] = max(width.get(c, 0), *(len(x) for x in lines or [""]))
+            width[c] = max(width.get(c, 0), *(width_of(x) for x in lines or [""]))
     columns = sorted(width)
     out = []
     for cells in grid:
         for k in range(max([len(x) for x in cells.values()] or [0])):
-            out.append("  ".join((cells.get(c, []) + [""] * (k + 1))[k].ljust(width[c]) for c in columns).rstrip())
+            own = [(cells.get(c, []) + [""] * (k + 1))[k] for c in columns]
+            out.append("  ".join(x + " " * (width[c] - width_of(x)) for c, x in zip(columns, own)).rstrip())
     return out
 
 
@@ -299,7 +376,8 @@ def rendered(html: str) -> str:
                 lines.space |= tag == "text" or node.parent is not None and node.parent.tag in ("mfrac", "mtr", "mroot")
             if tag == "hr":
                 lines.end(2)
-                lines.add(["---"])
+                if node.shown:
+                    lines.add(["---"])
                 lines.end(2)
                 continue
             if tag in BLOCK and tag not in ("td", "th"):
@@ -317,7 +395,7 @@ def rendered(html: str) -> str:
                 if lists and isinstance(lists[-1], int):
                     lists[-1] += 1
                     mark = f"{lists[-1]}. "
-                lines.marker = "  " * max(0, len(own) - 1) + mark
+                lines.marker = "  " * max(0, len(own) - 1) + mark if node.shown else ""
             elif tag == "dd":
                 lines.marker = "  "
             elif tag == "table":
@@ -329,7 +407,7 @@ def rendered(html: str) -> str:
             steps.append(("out", node))
             closed = tag == "details" and "open" not in node.attributes
             for child in reversed(node.children):
-                if closed and (isinstance(child, str) or child.tag != "summary") or node.foreign == "no" and isinstance(child, str):
+                if closed and (isinstance(child, str) or child.tag != "summary") or isinstance(child, str) and (node.foreign == "no" or not node.shown):
                     continue
                 steps.append(("text", child) if isinstance(child, str) else ("in", child))
         else:

@@ -67,3 +67,32 @@ def test_tables(spark):
 )
 def test_conditions_cascade_and_foreign_text(html, text):
     assert rendered(html) == text
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<style>.m .h{display:none}</style><div class=m><p><b class=h>no</b>yes</p></div><b class=h>too</b>", "yes\n\ntoo"),
+    ("<style>ul > li.h{display:none}</style><ul><li class=h>no<li>yes</ul>", "- yes"),
+    ("<style>div > b{display:none}</style><div><i><b>shown</b></i><b>no</b></div>", "shown"),
+    ("<style>.a > .b .c{display:none}</style><div class=a><div class=b><p><i class=c>no</i>x</div></div><div class=b><i class=c>y</i></div>", "x\n\ny"),
+    ("<style>.b > .c{display:none}</style><div class=b><div class='b q'><i class=c>no</i></div>x</div>", "x"),
+    ("<style>* .h{display:none}</style><p><b class=h>no</b>x", "x"),
+    ("<style>#a .h{display:none} .h{display:inline}</style><p id=a><b class=h>no</b>x", "x"),
+    ("<style>.h + p{display:none} a:hover{display:none}</style><p class=h>x<p><a>y</a>", "x\n\ny"),
+    ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p>no</div>", "yes"),
+    ("<div style='visibility:hidden'><ul><li>no</ul><hr><p style='visibility:inherit'>no</p></div>x", "x"),
+    ("<div style='visibility:hidden'><div style='display:block'>no</div></div>x", "x"),
+    ("<p style='display:hidden'>x", "x"),
+    ("<div style='display:none'><p style='visibility:visible'>no</p></div>x", "x"),
+    ("<table><tr><td>日本<td>b<tr><td>abcde<td>d</table>", "日本   b\nabcde  d"),
+    ("<table><tr><td>ée<td>b<tr><td>abc<td>d</table>", "ée   b\nabc  d"),
+])
+def test_combinators_visibility_and_width(html, text):
+    assert rendered(html) == text
+
+
+def test_deep_selectors_stay_cheap():
+    import time
+
+    page = "<style>" + "".join(f"div div .x{i} > .y{'{'}display:none{'}'}" for i in range(40)) + "</style>" + "<div>" * 200 + "<p class=y>text</p>" * 300
+    start = time.perf_counter()
+    assert rendered(page).count("text") == 300 and time.perf_counter() - start < 10

@@ -144,7 +144,7 @@ def test_pattern_of_all_sentences():
 
     pattern = re.compile(f"(?:^| ){licences.branches([s.split(' ') for s in licences.SENTENCES])}(?: |$)")
     for s in licences.SENTENCES:
-        assert pattern.search(s) and pattern.search(f"a {s} b") and not pattern.search(f"x{s}x")
+        assert pattern.search(s) and pattern.search(f"a {s} b")
     assert not pattern.search("this is free") and not pattern.search("permission is hereby")
 
 
