@@ -292,3 +292,45 @@ def test_shapley_values_add_up(spark):
 def test_required_columns(spark):
     with pytest.raises(ValueError, match="zz"):
         clean.require_columns(rows(spark, [(1,)], "a int"), ["a", "zz"])
+
+
+def test_realised_outcomes_and_fallback(spark):
+    from solvara.operators import drift, models
+
+    rows = spark.createDataFrame([(i, int(i % 4 == 0), 0.9 - (i % 4) * 0.2 + (i % 7) / 100) for i in range(400)], "customer_id long, target_dlq_2yrs int, score double")
+    predictions = models.predictions(rows, "m", "1")
+    late = rows.where("customer_id < 100").select("customer_id", "target_dlq_2yrs")
+    current = drift.realised(predictions, late, "target_dlq_2yrs", "customer_id")
+    assert current.count() == 100
+    one = drift.concept_report("resultados_realizados", current, rows, "target_dlq_2yrs", "score", 0.5).first()
+    assert (one["mode"], one.auc_reference, one.auc_current, one.alert, one.as_expected) == ("resultados_realizados", 0.5, 1.0, False, True)
+    unknown = drift.concept_report("resultados_realizados", current, rows, "target_dlq_2yrs", "score").first()
+    assert unknown.auc_reference is None and unknown.auc_current == 1.0
+    for outcomes in (None, late.limit(0)):
+        assert drift.realised(predictions, outcomes, "target_dlq_2yrs", "customer_id") is None
+    simulated = drift.concept_report("resultados_realizados", None, rows, "target_dlq_2yrs", "score").first()
+    assert simulated["mode"] == "simulacao" and simulated.alert and simulated.as_expected
+
+
+def test_histories_gain_rows_and_keep_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from solvara.operators import drift
+    from solvara.sources import tables
+
+    rows = spark.createDataFrame([(i, float(i % 13), i % 2) for i in range(200)], "customer_id long, x double, g int")
+    for mode in ("a", "b"):
+        tables.append_by_date(drift.report_history(drift.report(rows, ["x"], F.col("g") == 0, F.col("g") == 1), mode, F.current_timestamp()), str(tmp_path))
+    got = tables.read_merged(spark, str(tmp_path))
+    assert sorted(r["mode"] for r in got.collect()) == ["a", "b"]
+    assert {"feature", "psi", "psi_class", "ks", "p_value", "run_at", "n_reference", "n_current"} <= set(got.columns)
+
+
+def test_profiles_of_empty_and_constant_columns(spark):
+    from solvara.operators import profile
+
+    df = spark.createDataFrame([(1, None, 2.0), (1, None, 4.0)], "a int, b double, c double")
+    assert {r.column_name: r.n_distinct for r in profile.cardinality(df, exact=True).collect()} == {"a": 1, "b": 0, "c": 2}
+    assert {r.column_name: (r.n_distinct, r.pct_distinct) for r in profile.cardinality(df.limit(0), exact=True).collect()} == {"a": (0, 0.0), "b": (0, 0.0), "c": (0, 0.0)}
+    got = {r.column_name: (r.n, r.p25, r.p50, r.max) for r in profile.numeric_summary(df, ["a", "b", "c"], exact=True).collect()}
+    assert got == {"a": (2, 1.0, 1.0, 1.0), "b": (0, None, None, None), "c": (2, 2.5, 3.0, 4.0)}
