@@ -13,7 +13,8 @@ from solvara.llm.quality import op9_quality
 from solvara.llm.sharding import OP3_SQL, op3_feistel_shards
 from solvara.llm.substrings import OP7_SQL, op7_substring_dedup
 from solvara.llm.token_files import op1_token_files
+from solvara.llm.whitening import op12_whitening
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_html_text, op3_feistel_shards, op4_licence_scan, op5_decontamination, op6_near_dups, op7_substring_dedup, op8_knn_join, op9_quality, op10_packing, op11_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_html_text, op3_feistel_shards, op4_licence_scan, op5_decontamination, op6_near_dups, op7_substring_dedup, op8_knn_join, op9_quality, op10_packing, op11_line_dedup, op12_whitening)}
 
 ORACLE_SQL: dict[str, str] = {"op3_feistel_shards": OP3_SQL, "op4_licence_scan": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_near_dups": OP6_SQL, "op7_substring_dedup": OP7_SQL, "op8_knn_join": OP8_SQL, "op11_line_dedup": OP11_SQL}
