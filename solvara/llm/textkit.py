@@ -126,11 +126,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 2
 
 
 class Words:
-    """The words of a batch of texts: byte range and hash of each, and each text's range of words."""
+    """The words of a batch of texts: byte range and hash of each, and each text's range of words.
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    ``values`` gives each byte a value, bytes of 0 separating words; else separators are as above.
+    """
+
+    def __init__(self, column: pa.Array, lower: bool = False, values: np.ndarray | None = None):
         self.data, offsets = utf8(column)
-        word = ~_SEPARATOR[self.data]
+        self.values = values if values is not None else _LOWER_VALUE if lower else _VALUE
+        word = (self.values != 0)[self.data]
         first, last = word.copy(), word.copy()
         if len(word):
             first[1:] &= ~word[:-1]
@@ -140,7 +144,6 @@ class Words:
             last[inner - 1] |= word[inner - 1]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.of = np.searchsorted(self.starts, offsets)  # text i has words of[i]:of[i + 1]
-        self.values = _LOWER_VALUE if lower else _VALUE
 
     def counts(self) -> np.ndarray:
         return np.diff(self.of)
