@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvara.llm.joins import with_small
-from solvara.llm.textkit import U64, Words, chunks, rolled, run_starts, small_batches
+from solvara.llm.textkit import U64, Words, chunks, rolled, run_starts, small_batches, unused
 from solvara.storage import staged
 
 SHINGLE = 5
@@ -220,16 +220,8 @@ class Items:
         return top
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each document and benchmark item it contains: doc_id, item_id, start, n_words, shared, union_size, similarity.
-
-    A document contains an item if a window of the item's number of words (or the whole of a shorter document) has a
-    weighted Jaccard similarity of 0.75 or more with it, over counted five-word shingles of lower-cased words; the row
-    names its most similar window, the first of equals. Items of fewer words are one shingle. Repeated rows of a
-    document or an item give one row. Null or blank texts contain nothing and are contained in nothing; empty tables
-    give no rows. A null doc_id is reported as null. Items are broadcast in blocks of at most ITEMS_A_PASS; documents are
-    never shuffled.
-    """
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item_id, start, n_words, shared, union_size): the most similar window of each text and item."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
     passes = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // PASS_BYTES))
@@ -244,18 +236,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 words = Words(batch.column("text"), lower=True)
                 hashes = words.hashes()
                 pairs = items.by_windows(words, hashes) + items.by_runs(words, hashes)
-                ids = batch.column("doc_id").to_pylist()
+                ids, marks = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
                 out = []
                 for pair in np.unique(np.concatenate(pairs)) if pairs else ():
                     t, i = divmod(int(pair), len(items.ids))
                     if top := items.best(i, hashes[words.of[t] : words.of[t + 1]]):
                         shared, union, start, n = top
-                        out.append((ids[t], items.ids[i], start, n, shared, union))
-                columns = list(zip(*out)) if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start", "n_words", "shared", "union_size"])
+                        out.append((ids[t], marks[t], items.ids[i], start, n, shared, union))
+                columns = list(zip(*out)) if out else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "text_hash", "item_id", "start", "n_words", "shared", "union_size"])
 
-        part = small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(run, "doc_id long, item_id long, start long, n_words long, shared long, union_size long")
+        part = small_batches(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")).mapInArrow(run, "doc_id long, text_hash long, item_id long, start long, n_words long, shared long, union_size long")
         found = part if found is None else found.union(part)
+    return found
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row for each document and benchmark item it contains: doc_id, item_id, start, n_words, shared, union_size, similarity.
+
+    A document contains an item if a window of the item's number of words (or the whole of a shorter document) has a
+    weighted Jaccard similarity of 0.75 or more with it, over counted five-word shingles of lower-cased words; the row
+    names its most similar window, the first of equals. Items of fewer words are one shingle. Repeated rows of a
+    document or an item give one row. Null or blank texts contain nothing and are contained in nothing; empty tables
+    give no rows. A null doc_id is reported as null. Items are broadcast in blocks of about PASS_BYTES; documents are
+    never shuffled.
+    """
+    found = matches(docs, benchmark)
     similarity = (F.col("shared") / F.col("union_size")).alias("similarity")
     best = F.max(F.struct(similarity, (-F.col("start")).alias("back"), "n_words", "shared", "union_size"))
     rows = found.groupBy("doc_id", "item_id").agg(best.alias("b"))
@@ -263,9 +268,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain an item."""
-    hit = staged(leaks(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
-    return with_small(docs, hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    """``docs`` without the rows whose text contains an item. Rows of one id, or without one, are judged by their own texts."""
+    own, mark = unused(docs, "leak_id"), unused(docs, "leak_hash")
+    hit = staged(matches(docs, benchmark).select(F.col("doc_id").alias(own), F.col("text_hash").alias(mark)).distinct())
+    return with_small(docs, hit, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(mark)), "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -153,9 +153,24 @@ def test_a_very_long_text(spark):
     assert [(r[1], r[2], r[5]) for r in got(spark, docs, items)] == [(0, 50_000, 1.0), (1, 60_015, 1.0)]
 
 
+def kept_by_row(docs, items):
+    """Each row judged by its own text."""
+    hit = {i for i, *_ in brute([(n, text) for n, (_, text) in enumerate(docs)], items)}
+    return sorted((row for n, row in enumerate(docs) if n not in hit), key=str)
+
+
 def test_filter_keeps_clean_documents(spark):
     docs, items = planted(2)
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    hit = {x[0] for x in brute(docs, items)}
     kept = contamination.without_leaks(d, spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((x for x, _ in docs if x not in hit), key=str)
+    assert sorted(map(tuple, kept.collect()), key=str) == kept_by_row(docs, items)
+
+
+def test_filter_judges_rows_of_one_id_by_their_texts(spark):
+    rng = random.Random(21)
+    item = " ".join(cases.words(rng, 30, 5000))
+    clean = [" ".join(cases.words(rng, 40, 5000)) for _ in range(3)]
+    docs = [(None, clean[0]), (None, clean[1]), (7, clean[2]), (None, item), (7, f"before {item} after"), (None, None), (7, ""), (7, clean[2])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = contamination.without_leaks(d, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == kept_by_row(docs, [(0, item)]) and kept.count() == 6
