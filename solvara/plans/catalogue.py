@@ -783,6 +783,15 @@ def _(spark, folder):
     return drift.concept_report("resultados_realizados", current, reference, LABEL, SCORE, round(recorded, 4))
 
 
+@query("d10_outcome_stream", ORACLE_SQL["d10_realised_outcomes"])
+def _(spark, folder):
+    """Late labels meet predictions in a stream join; the report equals that of the batch form."""
+    reference, late = _parts(spark, folder)
+    recorded = ranking.evaluate(reference.withColumn("model", F.lit("champion")), ["model"], LABEL, SCORE).first().auc
+    joined = streams.outcomes(spark, folder, models.predictions(portfolio(spark, folder), "champion", "1"), late)
+    return drift.concept_report("resultados_realizados", joined, reference, LABEL, SCORE, round(recorded, 4))
+
+
 SIMULATED = LABELLED + f", pp AS (SELECT 'reference' AS population, y, score AS p FROM lab UNION ALL SELECT 'current', y, CASE WHEN {_BUCKET} < 50 THEN 1 - score ELSE score END FROM lab)" + EVALUATE.format(by="population", src="pp")
 
 
@@ -828,6 +837,11 @@ def _(spark, folder):
     return streams.silver(spark, folder)
 
 
+@query("t5_newest_stream", PORTFOLIO_SQL + "SELECT customer_id, round(debt_ratio + CASE WHEN customer_id % 10 = 0 THEN 1 WHEN customer_id % 5 = 0 THEN 2 ELSE 0 END, 6) AS debt_ratio, CAST(CASE WHEN customer_id % 10 = 0 THEN 3 WHEN customer_id % 5 = 0 THEN 2 ELSE 1 END AS INT) AS day FROM scored")
+def _(spark, folder):
+    return streams.newest(spark, folder)
+
+
 @query("t7_gold_stream", LATER + COMBINED[len(CLEAN) :] + "SELECT customer_id, age, round(monthly_income, 6) AS monthly_income, round(debt_ratio, 6) AS debt_ratio, num_times_30_59_days_late + num_times_60_89_days_late + num_times_90_days_late AS total_delinquency_events, target_default_2yrs AS target_dlq_2yrs FROM both_")
 def _(spark, folder):
     return streams.gold(spark, folder)

@@ -35,3 +35,36 @@ def staged(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession) + "/t"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Files:
+    """A folder of any file system that Spark reads: names, existence and deletion below it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.folder = folder.rstrip("/")
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._path(f"{self.folder}/{name}" if name else self.folder)
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def names(self, name: str) -> list[str]:
+        """Names in a subfolder, in order; none if it isn't there."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(name))) if self.exists(name) else []
+
+    def files(self, name: str) -> dict[str, int]:
+        """All files below a subfolder with their time of change."""
+        found = {}
+        for status in self._fs.listStatus(self._at(name)) if self.exists(name) else []:
+            own = f"{name}/{status.getPath().getName()}"
+            found |= self.files(own) if status.isDirectory() else {own: status.getModificationTime()}
+        return found
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+    def rename(self, name: str, to: str) -> bool:
+        return self._fs.rename(self._at(name), self._at(to))

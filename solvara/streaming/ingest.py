@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from solvara.operators import clean, star
 from solvara.sources.landing import dataset_of
 from solvara.sources.tables import assert_rows
+from solvara.streaming.keyed import KeyedTable
 
 # The public raw file's columns by position; its first header cell is empty.
 RAW_SCHEMA = T.StructType([
@@ -79,31 +80,35 @@ class Snapshots:
             self._fs.delete(self._path(self._at(v)), True)
 
 
-def upsert_batch(snapshots: Snapshots, key: str = "customer_id", newer_only: bool = False) -> Callable[[DataFrame, int], None]:
+def upsert_batch(table: Snapshots | KeyedTable, key: str = "customer_id", newer_only: bool = False) -> Callable[[DataFrame, int], None]:
     """The function that merges a cleaned micro-batch.
 
     Of a batch's rows of one key the last to arrive stays, then the greatest file name, then the greatest row hash. It
-    replaces the stored row; with ``newer_only``, only if it arrived later.
+    replaces the stored row; with ``newer_only``, only if it arrived later. A keyed table rewrites the partitions that the
+    batch touches, snapshots all.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         content = [c for c in batch.columns if not c.startswith("_")]
         rows = clean.latest(batch, [key], [F.desc("_ingestion_timestamp"), F.desc("_source_file"), F.desc(F.xxhash64(*content))])
-        current = snapshots.read(before=batch_id + 1)
+        if isinstance(table, KeyedTable):
+            table.upsert(rows, batch_id, "_ingestion_timestamp" if newer_only else None)
+            return
+        current = table.read(before=batch_id + 1)
         if current is not None:
             if newer_only:
                 stored = current.select(key, F.col("_ingestion_timestamp").alias("__stored"))
                 rows = rows.join(stored, key, "left").where("__stored is null or _ingestion_timestamp > __stored").drop("__stored")
             rows = clean.upserted(current, rows, [key])
-        snapshots.write(rows, batch_id + 1)
+        table.write(rows, batch_id + 1)
 
     return merge
 
 
-def upsert_all(spark: SparkSession, bronze: str, snapshots: Snapshots, checkpoint: str, newer_only: bool = False, schema: T.StructType = BRONZE_SCHEMA) -> StreamingQuery:
+def upsert_all(spark: SparkSession, bronze: str, table: Snapshots | KeyedTable, checkpoint: str, newer_only: bool = False, schema: T.StructType = BRONZE_SCHEMA) -> StreamingQuery:
     """Clean the raw table's new rows and merge them batch by batch, then stop."""
     rows = clean.clean(spark.readStream.schema(schema).parquet(bronze)).withColumn("_silver_processed_at", F.current_timestamp())
-    return rows.writeStream.foreachBatch(upsert_batch(snapshots, newer_only=newer_only)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(upsert_batch(table, newer_only=newer_only)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_bronze(spark: SparkSession, landing: str, bronze: str, checkpoint: str, dataset: str | None = None, schema: T.StructType = RAW_SCHEMA) -> None:
@@ -112,15 +117,14 @@ def run_bronze(spark: SparkSession, landing: str, bronze: str, checkpoint: str,
     assert_rows(spark.read.schema(T.StructType([*schema.fields, *BRONZE_SCHEMA.fields[len(RAW_SCHEMA.fields) :]])).parquet(bronze), "the raw table")
 
 
-def run_silver(spark: SparkSession, bronze: str, silver: str, checkpoint: str, newer_only: bool = False, schema: T.StructType = BRONZE_SCHEMA) -> DataFrame:
+def run_silver(spark: SparkSession, bronze: str, silver: str, checkpoint: str, newer_only: bool = False, schema: T.StructType = BRONZE_SCHEMA, buckets: int = 32) -> DataFrame:
     """Merge what is new; an error if there was nothing to merge and no table yet (its checkpoint outlived it)."""
-    snapshots = Snapshots(spark, silver)
-    query = upsert_all(spark, bronze, snapshots, checkpoint, newer_only, schema)
+    query = upsert_all(spark, bronze, KeyedTable(spark, silver, buckets=buckets), checkpoint, newer_only, schema)
     query.awaitTermination()
-    rows = snapshots.read()
+    rows = KeyedTable(spark, silver).read()
     if rows is None:
         read = sum(p["numInputRows"] for p in query.recentProgress)
-        raise RuntimeError(f"no version of the cleaned table after {read} new rows: delete its checkpoint to read all again")
+        raise RuntimeError(f"no cleaned table after {read} new rows: delete its checkpoint to read all again")
     return rows
 
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from solvara.sources.portfolio import raw_profiles
+from solvara.sources.portfolio import portfolio, raw_profiles
 from solvara.storage import shared_dir
-from solvara.streaming import ingest
+from solvara.streaming import ingest, keyed
 
 #: Ids of the tables are long.
 RAW = T.StructType([T.StructField("_c0", T.LongType()), *ingest.RAW_SCHEMA.fields[1:]])
@@ -47,3 +47,38 @@ def gold(spark: SparkSession, folder: str) -> DataFrame:
     rows = silver(spark, folder)
     dim, fct = ingest.run_gold(rows.where("target_default_2yrs is not null"), rows.where("target_default_2yrs is null").drop("target_default_2yrs"))
     return fct.join(dim, "customer_id").select("customer_id", "age", "monthly_income", "debt_ratio", "total_delinquency_events", "target_dlq_2yrs")
+
+
+def newest(spark: SparkSession, folder: str) -> DataFrame:
+    """Three batches, a restart after each: all rows, later ones of every tenth customer, then older ones of every fifth."""
+    path, out = shared_dir(spark) + "/landing", shared_dir(spark)
+    rows = portfolio(spark, folder).select("customer_id", "debt_ratio")
+    rows.withColumn("updated_at", F.current_timestamp()).where("false").write.parquet(path)
+    stream = spark.readStream.schema("customer_id long, debt_ratio double, updated_at timestamp").parquet(path)
+    for add, every, day in ((0, 1, 1), (1, 10, 3), (2, 5, 2)):
+        rows.where(F.col("customer_id") % every == 0).select("customer_id", F.col("debt_ratio") + add, F.lit(f"2024-01-0{day}").cast("timestamp")).toDF("customer_id", "debt_ratio", "updated_at").write.mode("append").parquet(path)
+        keyed.keep_newest(stream, keyed.KeyedTable(spark, f"{out}/table"), "updated_at", f"{out}/checkpoint").awaitTermination()
+    return keyed.KeyedTable(spark, f"{out}/table").read().select("customer_id", "debt_ratio", F.dayofmonth("updated_at").alias("day"))
+
+
+def outcomes(spark: SparkSession, folder: str, predictions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Predictions (customer_id, probability) and labels (customer_id, target_dlq_2yrs) as two streams, joined as labels become known.
+
+    Labels come up to 60 days after the prediction, and a restart after it.
+    """
+    path, out = shared_dir(spark), shared_dir(spark)
+    start, key = F.lit("2024-01-01").cast("timestamp"), F.col("customer_id")
+    predicted = start + F.make_dt_interval(days=(key % 5).cast("int"))
+    known = predicted + F.make_dt_interval(days=(key % 61).cast("int"))
+    sides = [
+        (predictions.select("customer_id", F.col("probability").alias("score"), predicted.alias("predicted_at")), f"{path}/predictions", "customer_id long, score double, predicted_at timestamp"),
+        (labels.select("customer_id", "target_dlq_2yrs", known.alias("known_at")), f"{path}/outcomes", "customer_id long, target_dlq_2yrs int, known_at timestamp"),
+    ]
+    for rows, at, _ in sides:
+        rows.where("false").write.parquet(at)
+    p, o = (spark.readStream.schema(schema).parquet(at) for _, at, schema in sides)
+    joined = keyed.realised_stream(p, o, "customer_id", "predicted_at", "known_at", "90 DAYS", "10 days")
+    for rows, at, _ in sides:
+        rows.write.mode("append").parquet(at)
+        keyed.append_stream(joined, f"{out}/realised", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/realised")
