@@ -6,11 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvara.functions import rules
+from solvara.operators import isotonic, logit
 from solvara.operators.ranking import equal_approval, evaluate, lowest_fraction, quantiles, running_totals
 from solvara.storage import staged
 
@@ -66,8 +66,10 @@ def boosted_trees(train: DataFrame, features: list[str], label: str = LABEL, tre
     return Pipeline(stages=steps).fit(rows)
 
 
-def probabilities(model: PipelineModel, df: DataFrame, features: list[str], name: str = "score") -> DataFrame:
+def probabilities(model: PipelineModel | logit.Logistic, df: DataFrame, features: list[str], name: str = "score") -> DataFrame:
     """``df`` with the probability of label 1."""
+    if isinstance(model, logit.Logistic):
+        return model.scored(df, name)
     out = model.transform(as_doubles(df, features))
     return out.select(*[c for c in df.columns if c != name], vector_to_array("probability")[1].alias(name))
 
@@ -124,18 +126,20 @@ def relative_difference(ranked: DataFrame, a: str, b: str, least: float = 0.10)
     return one.withColumn("difference", diff).withColumn("status", F.when(F.col("difference") > least, "confirmada").otherwise("refutada"))
 
 
-def coefficients(model: PipelineModel, features: list[str]) -> DataFrame:
-    """Coefficients of a fitted logistic pipeline, greatest first; a row a feature."""
+def coefficients(model: PipelineModel | logit.Logistic, features: list[str]) -> DataFrame:
+    """Coefficients of a fitted logistic model on standardised features, greatest first; a row a feature."""
     from pyspark.sql import SparkSession
 
-    rows = list(zip(features, map(float, model.stages[-1].coefficients)))
+    values = model.coefficients if isinstance(model, logit.Logistic) else model.stages[-1].coefficients
+    rows = list(zip(features, map(float, values)))
     return SparkSession.active().createDataFrame(rows, "feature string, coefficient double").orderBy(F.desc("coefficient"))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, features: list[str], label: str = LABEL, seed: int = 1) -> DataFrame:
+def permutation_importance(model: PipelineModel | logit.Logistic, df: DataFrame, features: list[str], label: str = LABEL, seed: int = 1) -> DataFrame:
     """Drop of the AUC when a feature's values are dealt out anew, for all features in one long frame.
 
-    A feature's column is shuffled by joining rows on two hash orders numbered by running totals, so no task sorts all rows.
+    Each row gets one donor, by joining rows on two hash orders numbered by running totals, so no task sorts all rows. It
+    then stands once as it is and once for each feature with the donor's value of that.
     """
     base = staged(df.where(F.col(label).isNotNull()).select(KEY, label, *features))
 
@@ -144,22 +148,16 @@ def permutation_importance(model: PipelineModel, df: DataFrame, features: list[s
         frame = running_totals(keys.groupBy("__all", "__h").agg(F.min(KEY).alias(name), F.count("*").alias("n")), ["__all"], "__h", ["n"])
         return frame.select(F.col("before_n").alias("__rank"), name)
 
-    pairs = staged(ranked("to", seed).join(ranked("from", seed + 1), "__rank"))
-    frames = probabilities(model, base, features).select(F.lit("").alias("feature"), label, "score")
-    for f in features:
-        donor = base.select(F.col(KEY).alias("from"), F.col(f).alias("__new"))
-        dealt = base.join(pairs.withColumnRenamed("to", KEY), KEY).join(donor, "from").withColumn(f, F.col("__new"))
-        frames = frames.union(probabilities(model, dealt.select(base.columns), features).select(F.lit(f), label, "score"))
+    pairs = ranked("__to", seed).join(ranked("__from", seed + 1), "__rank").drop("__rank")
+    donors = base.select(F.col(KEY).alias("__from"), F.struct(*features).alias("__donor"))
+    dealt = base.join(pairs.withColumnRenamed("__to", KEY), KEY).join(donors, "__from")
+    variants = [F.struct(F.lit(f or "").alias("feature"), *[(F.col("__donor")[g] if g == f else F.col(g)).alias(g) for g in features]) for f in (None, *features)]
+    frames = probabilities(model, dealt.select(label, F.inline(F.array(*variants))), features).select("feature", label, "score")
     aucs = evaluate(frames, ["feature"], label, "score").select("feature", "auc")
     whole = F.max(F.when(F.col("feature") == "", F.col("auc"))).over(Window.partitionBy())
     return aucs.withColumn("auc_drop", whole - F.col("auc")).where("feature <> ''").select("feature", "auc_drop")
 
 
-def isotonic(df: DataFrame, label: str = LABEL, score: str = "score"):
-    """Isotonic calibration of scores; outside the fitted range the nearest value holds."""
-    return IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="calibrated").fit(df)
-
-
 def calibration(df: DataFrame, by: list[str], label: str = LABEL, score: str = "score", bins: int = 10) -> tuple[DataFrame, DataFrame]:
     """By group: (observed, mean_predicted, brier, mean_error) and the curve by quantile bin, closed on the right."""
     rows = df.where(F.col(label).isNotNull())
@@ -178,8 +176,7 @@ def calibration(df: DataFrame, by: list[str], label: str = LABEL, score: str = "
 def calibration_analysis(df: DataFrame, label: str = LABEL, score: str = "score", seed: int = 42) -> DataFrame:
     """Raw and isotonic scores on the half that the calibration wasn't fitted on."""
     halves = staged(stratified_split(df.select(KEY, label, score), label, KEY, 0.5, seed))
-    fitted = isotonic(halves.where("not is_test"), label, score)
-    kept = fitted.transform(halves.where("is_test"))
+    kept = isotonic.apply(halves.where("is_test"), isotonic.fit(halves.where("not is_test"), label, score), score)
     long = kept.select(KEY, label, F.inline(F.array(F.struct(F.lit("raw").alias("kind"), F.col(score).alias("p")), F.struct(F.lit("calibrated").alias("kind"), F.col("calibrated").alias("p")))))
     return calibration(long, ["kind"], label, "p")[0]
 
@@ -203,10 +200,10 @@ def ablation_figures(rows: DataFrame, rate: float, label: str = LABEL) -> tuple[
     return aucs.join(taken, "model").join(ratio, "model"), bands
 
 
-def without_feature(df: DataFrame, features: list[str], left_out: str = "age", rate: float = 0.75, label: str = LABEL, fit=logistic) -> tuple[DataFrame, DataFrame]:
+def without_feature(df: DataFrame, features: list[str], left_out: str = "age", rate: float = 0.75, label: str = LABEL, fit=logit.fit) -> tuple[DataFrame, DataFrame]:
     """Refit without a feature, with both models at equal approval: a summary row a model, and denied goods by age band.
 
-    ``fit`` is ``logistic`` or ``boosted_trees``. The variation is in percentage points.
+    ``fit`` is ``logit.fit``, ``logistic`` or ``boosted_trees``. The variation is in percentage points.
     """
     split = staged(stratified_split(df.select(KEY, label, *features), label))
     train, test = split.where("not is_test"), split.where("is_test")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvara.functions import rules
-from solvara.operators import clean, drift, fairness, hypotheses, models, profile, ranking, star, thresholds, validation
+from solvara.operators import clean, drift, fairness, hypotheses, logit, models, profile, ranking, star, thresholds, validation
 from solvara.sources import tables
 from solvara.sources.portfolio import FEATURES, PORTFOLIO_SQL, portfolio, raw_profiles, table
 from solvara.storage import shared_dir, staged
@@ -492,7 +492,21 @@ def _(spark, folder):
     return models.calibration(labelled(spark, folder).withColumn("kind", F.lit("all")), ["kind"], LABEL, SCORE)[1]
 
 
-@query("m27_isotonic")
+HALVES = LABELLED + ", hh AS (SELECT customer_id, y, score, (((customer_id::HUGEINT * 1103515245 + 42 * 12345) % 2147483648) * 69069 + 1) % 2147483648 AS h FROM lab), hr AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY h, customer_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM hh), hv AS (SELECT customer_id, y, score, r <= CAST(round_even({share} * n, 0) AS BIGINT) AS is_test FROM hr)\n"
+#: By the max-min formula: the fit at a point is the greatest, over starts up to it, of the least mean up to an end from it on.
+ISOTONIC = HALVES.format(share=0.5) + """, pt AS (SELECT score AS x, count(*) AS w, sum(y) AS s FROM hv WHERE NOT is_test GROUP BY score),
+cu AS (SELECT x, w, s, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs FROM pt),
+mn AS (SELECT b.i AS i, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v FROM cu a JOIN cu b ON b.i >= a.i),
+kn AS (SELECT x, f FROM cu JOIN (SELECT i, max(v) AS f FROM mn GROUP BY i) USING (i)),
+te AS (SELECT te.y, te.score, CASE WHEN l.x IS NULL THEN u.f WHEN u.x IS NULL OR u.x = l.x THEN l.f ELSE l.f + (u.f - l.f) * (te.score - l.x) / (u.x - l.x) END AS cal
+  FROM (SELECT * FROM hv WHERE is_test) te ASOF LEFT JOIN kn l ON te.score >= l.x ASOF LEFT JOIN kn u ON te.score <= u.x),
+lg AS (SELECT 'raw' AS kind, y, score AS p FROM te UNION ALL SELECT 'calibrated', y, cal FROM te),
+qq AS (SELECT kind, quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS inner_ FROM lg GROUP BY kind),
+cb AS (SELECT kind, len(list_filter(inner_, lambda e: e < p)) AS bin, avg(p) AS predicted, avg(y) AS observed FROM lg JOIN qq USING (kind) GROUP BY 1, 2)
+"""
+
+
+@query("m27_isotonic", ISOTONIC + "SELECT kind, round(avg(y), 6) AS observed, round(avg(p), 6) AS mean_predicted, round(avg((p - y) * (p - y)), 6) AS brier, (SELECT round(avg(abs(observed - predicted)), 6) FROM cb WHERE cb.kind = lg.kind) AS mean_error FROM lg GROUP BY kind")
 def _(spark, folder):
     """Raw against isotonic scores on the half that the fit didn't see."""
     return models.calibration_analysis(labelled(spark, folder))
@@ -553,15 +567,45 @@ def _(spark, folder):
     return hypotheses.summary(portfolio(spark, folder), _attributions(spark, folder), LABEL, SCORE, floor=0.4)
 
 
+def newton_sql(train: str, features: list[str] = FEATURES, steps: int = 16) -> str:
+    """Common table expressions after ``sp`` (rows with customer_id, y and the features): unrolled Newton steps of the logistic
+    fit to the rows of ``train``, each a matrix eliminated column by column; ``xs`` has rows standardised, ``b`` the coefficients."""
+    d = len(features) + 1
+    values = ", ".join(f"CAST({f} AS DOUBLE)" for f in features)
+    sql = f""", lf AS (SELECT customer_id, y, {train} AS tr, unnest([{values}]) AS v, unnest(range(1, {d})) AS i FROM sp),
+md AS (SELECT i, median(v) FILTER (tr) AS m FROM lf GROUP BY i),
+fl AS (SELECT customer_id, y, tr, i, coalesce(v, m) AS f FROM lf JOIN md USING (i)),
+st AS (SELECT i, avg(f) AS a, stddev_samp(f) AS d FROM fl WHERE tr GROUP BY i),
+xs AS (SELECT customer_id, any_value(y) AS y, any_value(tr) AS tr, list_prepend(1.0::DOUBLE, list((f - a) / d ORDER BY i)) AS x FROM fl JOIN st USING (i) GROUP BY customer_id),
+cw AS (SELECT count(*) / (2 * count(*) FILTER (y = 1)) AS w1, count(*) / (2 * count(*) FILTER (y = 0)) AS w0 FROM xs WHERE tr),
+tw AS (SELECT x, y, CASE WHEN y = 1 THEN w1 ELSE w0 END AS w FROM xs, cw WHERE tr),
+b0 AS (SELECT list_transform(range({d}), lambda e: 0.0::DOUBLE) AS b)
+"""
+    for k in range(steps):
+        sql += f""", p{k} AS (SELECT x, y, w, b, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM tw, b{k}),
+h{k} AS (SELECT i, j, sum(w * p * (1 - p) * x[i] * x[j]) + CASE WHEN i = j AND i > 1 THEN 1 ELSE 0 END AS v FROM p{k}, range(1, {d + 1}) AS r1(i), range(1, {d + 1}) AS r2(j) GROUP BY i, j
+  UNION ALL SELECT i, {d + 1}, sum(w * (y - p) * x[i]) - CASE WHEN i > 1 THEN any_value(b[i]) ELSE 0 END FROM p{k}, range(1, {d + 1}) AS r1(i) GROUP BY i),
+g{k}(s, m) AS (SELECT 1, list(row ORDER BY i) FROM (SELECT i, list(v ORDER BY j) AS row FROM h{k} GROUP BY i)
+  UNION ALL SELECT s + 1, list_transform(m, lambda row, i: CASE WHEN i = s THEN list_transform(row, lambda e: e / row[s]) ELSE list_transform(row, lambda e, j: e - row[s] / m[s][s] * m[s][j]) END) FROM g{k} WHERE s <= {d}),
+b{k + 1} AS (SELECT list_transform(b, lambda e, i: e + m[i][{d + 1}]) AS b FROM b{k}, g{k} WHERE s = {d + 1})
+"""
+    return sql + f", b AS (SELECT b FROM b{steps})\n"
+
+
+SPLIT = HALVES.format(share=0.25) + ", sp AS (SELECT lab.*, is_test FROM lab JOIN (SELECT customer_id, is_test FROM hv) USING (customer_id))\n"
+NEWTON = SPLIT + newton_sql("NOT is_test")
+NAMES = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
+
+
 def _fitted(spark, folder, fit):
     split = staged(models.stratified_split(portfolio(spark, folder).select(KEY, LABEL, *FEATURES)))
     return fit(split.where("not is_test")), split.where("is_test")
 
 
-@query("m5_logistic")
+@query("m5_logistic", NEWTON + ", ts AS (SELECT 'logistic' AS model, y, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM xs, b WHERE NOT tr)" + EVALUATE.format(by="model", src="ts") + "SELECT grp AS model, round(auc, 6) AS auc, round(ks, 6) AS ks, round(recall_at_precision, 6) AS recall_at_precision, n_pos, n_neg FROM ev")
 def _(spark, folder):
     """Evaluation of the logistic model on the test rows."""
-    model, test = _fitted(spark, folder, lambda train: models.logistic(train, FEATURES))
+    model, test = _fitted(spark, folder, lambda train: logit.fit(train, FEATURES, LABEL))
     return ranking.evaluate(models.probabilities(model, test, FEATURES).withColumn("model", F.lit("logistic")), ["model"], LABEL, SCORE)
 
 
@@ -572,30 +616,33 @@ def _(spark, folder):
     return ranking.evaluate(models.probabilities(model, test, FEATURES).withColumn("model", F.lit("trees")), ["model"], LABEL, SCORE)
 
 
-@query("m14_coefficients")
+@query("m14_coefficients", NEWTON + f"SELECT unnest({NAMES}) AS feature, round(unnest(b[2:]), 6) AS coefficient FROM b")
 def _(spark, folder):
     """Coefficients of the logistic model."""
-    return models.coefficients(_fitted(spark, folder, lambda train: models.logistic(train, FEATURES))[0], FEATURES)
+    return models.coefficients(_fitted(spark, folder, lambda train: logit.fit(train, FEATURES, LABEL))[0], FEATURES)
 
 
 @query("m13_permutation_importance")
 def _(spark, folder):
     """Drop of the AUC by shuffled feature."""
-    model, test = _fitted(spark, folder, lambda train: models.logistic(train, FEATURES))
+    model, test = _fitted(spark, folder, lambda train: logit.fit(train, FEATURES, LABEL))
     return models.permutation_importance(model, test, FEATURES)
 
 
 @query("m13_sampled_shapley")
 def _(spark, folder):
     """Mean absolute Shapley value by feature, on the operator's sample of test rows."""
-    model, test = _fitted(spark, folder, lambda train: models.logistic(train, FEATURES))
+    model, test = _fitted(spark, folder, lambda train: logit.fit(train, FEATURES, LABEL))
     return models.importance(models.sampled_shapley(model, test, FEATURES))
 
 
-@query("m13_logistic_attribution")
+@query("m13_logistic_attribution", NEWTON + f""", tl AS (SELECT unnest({NAMES}) AS feature, unnest(range(2, {len(FEATURES) + 2})) AS i, unnest([{", ".join(f"CAST({f} AS DOUBLE)" for f in FEATURES)}]) AS v FROM sp WHERE is_test),
+ts AS (SELECT feature, avg(v) AS a, stddev_samp(v) AS d FROM tl GROUP BY feature),
+ta AS (SELECT feature, avg(abs(coalesce(b[i] * (v - a) / nullif(d, 0), 0.0))) AS mean_abs FROM tl JOIN ts USING (feature), b GROUP BY feature)
+SELECT feature, round(mean_abs, 6) AS mean_abs, CAST(row_number() OVER (ORDER BY mean_abs DESC, feature) AS INT) AS rank FROM ta""")
 def _(spark, folder):
     """Mean absolute attribution by feature of the fitted logistic model, on the test rows."""
-    model, test = _fitted(spark, folder, lambda train: models.logistic(train, FEATURES))
+    model, test = _fitted(spark, folder, lambda train: logit.fit(train, FEATURES, LABEL))
     return models.importance(models.linear_attribution(test, models.coefficients(model, FEATURES).withColumnRenamed("coefficient", "weight"), FEATURES))
 
 
@@ -638,11 +685,11 @@ def _(spark, folder):
     return tables.read_merged(spark, path).drop("run_at", "run_date")
 
 
-@query("m31_model_scoring")
+@query("m31_model_scoring", LABELLED + ", sp AS (SELECT *, target_dlq_2yrs AS y FROM scored)\n" + newton_sql("y IS NOT NULL") + "SELECT customer_id, round(p, 6) AS probability, CASE WHEN p >= 0.45 THEN 'negado' ELSE 'aprovado' END AS decision, 'logistic' AS model_name, '1' AS model_version, 0.45::DOUBLE AS threshold FROM (SELECT customer_id, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM xs, b WHERE NOT tr)")
 def _(spark, folder):
     """The unlabelled rows scored by a logistic model of the labelled ones."""
     rows = portfolio(spark, folder)
-    model = models.logistic(rows.where(F.col(LABEL).isNotNull()), FEATURES)
+    model = logit.fit(rows, FEATURES, LABEL)
     return models.predictions(models.probabilities(model, rows.where(F.col(LABEL).isNull()), FEATURES), "logistic", "1").drop("run_at")
 
 
