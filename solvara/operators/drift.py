@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from solvara.functions import rules
 from solvara.operators.ranking import evaluate, quantiles, running_totals
 from solvara.operators.star import hash_bucket
+from solvara.storage import staged
 
 BINS, DISCRETE, LEAST = 10, 50, 1e-4
 
@@ -66,6 +67,38 @@ def psi(frame: DataFrame, edges: DataFrame) -> DataFrame:
     return totals.join(sums, "feature", "left").select("feature", value.alias("psi"), "n_ref", "n_cur")
 
 
+def stored_profile(reference: DataFrame, features: list[str], version: int, bins: int = BINS) -> DataFrame:
+    """What a batch is held against, without the reference itself: (version, feature, edges, counts by bin, n_ref), a row a feature."""
+    frame = long_frame(reference, features, F.lit(True), F.lit(False))
+    edges = staged(bin_edges(frame, bins))
+    cell = F.size(F.filter("edges", lambda e: e <= F.col("value")))
+    counts = frame.join(F.broadcast(edges), "feature").groupBy("feature", cell.alias("cell")).agg(F.sum("ref").alias("ref"))  # a row a feature
+    grid = edges.select("feature", "edges", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("cell")).join(counts, ["feature", "cell"], "left").fillna(0, ["ref"])
+    by = F.array_sort(F.collect_list(F.struct("cell", "ref")))
+    return grid.groupBy("feature").agg(F.first("edges").alias("edges"), F.transform(by, lambda x: x.ref).alias("counts"), F.sum("ref").alias("n_ref")).select(F.lit(version).alias("version"), "*")
+
+
+def psi_against(profile: DataFrame, batch: DataFrame) -> DataFrame:
+    """(version, feature, psi, n_ref, n_cur) of a batch against a stored profile of one version.
+
+    The batch is binned where it lies and counted by feature and bin; nulls and NaNs are left out, a feature without values
+    has a NaN. Shares are floored as in ``psi``.
+    """
+    features = [r.feature for r in profile.select("feature").collect()]  # a row a feature
+    items = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    rows = batch.select(F.inline(items)).where("value is not null and not isnan(value)")
+    cell = F.size(F.filter("edges", lambda e: e <= F.col("value")))
+    counts = rows.join(F.broadcast(profile.select("feature", "edges")), "feature").groupBy("feature", cell.alias("cell")).agg(F.count("*").alias("cur"))
+    grid = profile.select("version", "feature", "n_ref", F.size("edges").alias("cuts"), F.posexplode("counts").alias("cell", "ref"))
+    full = grid.join(counts, ["feature", "cell"], "left").fillna(0, ["cur"])
+    total = F.sum("cur").over(Window.partitionBy("feature"))
+    share = lambda c, n: F.greatest(F.try_divide(c, n), F.lit(LEAST))
+    sides = full.select("*", total.alias("n_cur")).withColumns({"r": share(F.col("ref"), F.col("n_ref")), "c": share(F.col("cur"), F.col("n_cur"))})
+    each = sides.groupBy("version", "feature").agg(F.max("cuts").alias("cuts"), F.sum((F.col("c") - F.col("r")) * F.ln(F.col("c") / F.col("r"))).alias("psi"), F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"))
+    value = F.when((F.col("n_ref") == 0) | (F.col("n_cur") == 0), float("nan")).when(F.col("cuts") == 0, 0.0).otherwise(F.col("psi"))
+    return each.select("version", "feature", value.alias("psi"), "n_ref", "n_cur")
+
+
 def kolmogorov_p(statistic: Column, n: Column, m: Column) -> Column:
     """Asymptotic two-sample p-value on the effective size."""
     root = F.sqrt(n * m / (n + m))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvara.operators import models, thresholds
+from solvara.sources import tables
 
 #: What each hypothesis says, and what its test leaves open.
 TEXTS = {
@@ -33,3 +34,11 @@ def summary(df: DataFrame, attributions: DataFrame, label: str, score: str, firs
     net = thresholds.net_impact(df, label, score, best)
     h4 = row(net, "H4", "net_impact", F.col("status"), "net", F.format_string("bads = %d, goods = %d", "bads_rejected", "goods_rejected"))
     return h1.union(h2).union(h3).union(h4)
+
+
+def persist(report: DataFrame, database: str, table: str = "hypotheses_summary", location: str | None = None) -> DataFrame:
+    """Write the report as a table of a database, in place of an earlier one, and return it as it reads there."""
+    tables.ensure_database(report.sparkSession, database, location)
+    tables.overwrite(report, f"{database}.{table}")
+    tables.assert_rows(report.sparkSession.table(f"{database}.{table}"), "the hypotheses report")
+    return report.sparkSession.table(f"{database}.{table}")

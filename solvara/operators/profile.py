@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from solvara.functions import rules
 from solvara.operators.ranking import quantiles, running_totals
+from solvara.storage import staged
+
+#: Repeated digests up to this number are broadcast; more are joined by shuffle.
+FEW_DIGESTS = 500_000
 
 
 def _melted(row: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
@@ -28,6 +33,40 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_duplicates"), F.coalesce(F.round(F.try_divide(100 * F.sum(F.col("__n") - 1), F.sum("__n")), 2), F.lit(0.0)).alias("pct_duplicates"))
 
 
+def row_digest(df: DataFrame) -> tuple[Column, Column]:
+    """128 bits of a whole row; rows that group together have equal ones, be zero signed or not."""
+    plain = [F.when(F.col(f"`{c}`") == 0, F.lit(0.0).cast(kind)).otherwise(F.col(f"`{c}`")) if kind in ("float", "double") else F.col(f"`{c}`") for c, kind in df.dtypes]
+    return F.xxhash64(F.lit(1), *plain), F.xxhash64(F.lit(2), *plain, *[c.isNull() for c in plain])
+
+
+def _suspects(df: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """``df`` with digests, the digests of several rows (staged), and whether these are few enough to be broadcast."""
+    one, two = row_digest(df)
+    rows = df.select("*", one.alias("__d1"), two.alias("__d2"))
+    several = staged(rows.groupBy("__d1", "__d2").agg(F.count("*").alias("__n")).where("__n > 1").select("__d1", "__d2"))
+    return rows, several, several.count() <= FEW_DIGESTS
+
+
+def duplicate_rows_by_digest(df: DataFrame) -> DataFrame:
+    """As ``duplicate_rows``, but whole rows are compared only where 128-bit digests repeat.
+
+    What is shuffled is sixteen bytes a row, however wide the table; rows that share a digest are then grouped in full.
+    """
+    rows, several, few = _suspects(df)
+    same = rows.join(F.broadcast(several) if few else several, ["__d1", "__d2"], "left_semi").select(df.columns)
+    extra = duplicate_rows(same).select("n_duplicates")
+    total = df.agg(F.count("*").alias("n"))
+    return rules.beside(extra, total).select("n_duplicates", F.coalesce(F.round(F.try_divide(100 * F.col("n_duplicates"), F.col("n")), 2), F.lit(0.0)).alias("pct_duplicates"))
+
+
+def distinct_rows_by_digest(df: DataFrame) -> DataFrame:
+    """As ``distinct``, but only rows whose digests repeat are shuffled in full; the others pass where they lie."""
+    rows, several, few = _suspects(df)
+    side = F.broadcast(several) if few else several
+    single = rows.join(side, ["__d1", "__d2"], "left_anti").select(df.columns)
+    return single.union(rows.join(side, ["__d1", "__d2"], "left_semi").select(df.columns).distinct())
+
+
 def duplicated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvara.functions import rules
-from solvara.operators import clean, drift, fairness, hypotheses, logit, models, profile, ranking, star, thresholds, validation
+from solvara.operators import clean, drift, fairness, hypotheses, logit, models, profile, ranking, sketches, star, thresholds, validation
 from solvara.sources import tables
 from solvara.sources.portfolio import FEATURES, PORTFOLIO_SQL, portfolio, raw_profiles, table
 from solvara.storage import shared_dir, staged
@@ -115,6 +116,11 @@ def _(spark, folder):
     return table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity").distinct()
 
 
+@query("u2_distinct_by_digest", "SELECT DISTINCT l_suppkey, l_returnflag, l_linestatus, CAST(l_shipdate AS VARCHAR) AS shipped FROM lineitem")
+def _(spark, folder):
+    return profile.distinct_rows_by_digest(table(spark, folder, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("string").alias("shipped")))
+
+
 @query("a8_duplicate_ids", "SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_rows FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
 def _(spark, folder):
     return star.duplicate_keys(table(spark, folder, "lineitem"), "l_orderkey")
@@ -135,6 +141,17 @@ def _(spark, folder):
     return star.cohort(*_star(spark, folder)).select(KEY, "age", "num_dependents", "monthly_income", LABEL)
 
 
+@query("k4_bucketed_cohort", ORACLE_SQL["j1_cohort"])
+def _(spark, folder):
+    """Dimension and fact as tables bucketed on the customer, replaced once, and joined without a shuffle."""
+    name = f"solvara_{uuid.uuid4().hex}"
+    tables.ensure_database(spark, name, shared_dir(spark))
+    for _ in range(2):
+        for part, df in zip(("fct", "dim"), _star(spark, folder)):
+            tables.write_bucketed(df, f"{name}.{part}", KEY, 8)
+    return star.cohort(spark.table(f"{name}.fct"), spark.table(f"{name}.dim")).select(KEY, "age", "num_dependents", "monthly_income", LABEL)
+
+
 @query("j2_unlabelled_cohort", COMBINED + "SELECT customer_id, age, round(debt_ratio, 6) AS debt_ratio FROM both_ WHERE target_default_2yrs IS NULL")
 def _(spark, folder):
     return star.cohort(*_star(spark, folder), labelled=False).select(KEY, "age", "debt_ratio")
@@ -207,6 +224,11 @@ def _(spark, folder):
     return profile.duplicate_rows(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber"))
 
 
+@query("a2_duplicates_by_digest", "SELECT CAST(sum(n - 1) AS BIGINT) AS n_duplicates, round(100.0 * sum(n - 1) / sum(n), 2) AS pct_duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)")
+def _(spark, folder):
+    return profile.duplicate_rows_by_digest(table(spark, folder, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
+
+
 @query("a3_duplicate_keys", "SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def _(spark, folder):
     return profile.duplicated_keys(table(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -231,6 +253,26 @@ def _(spark, folder):
     return profile.numeric_summary(portfolio(spark, folder), [*NUMERIC, "not_there"], exact=True)
 
 
+SKETCHED = ["customer_id", "age", "monthly_income", "debt_ratio"]
+
+
+@query("a5_sketched_profile", PORTFOLIO_SQL + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(count({c}) AS BIGINT) AS n, CAST(count(*) - count({c}) AS BIGINT) AS n_null, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(CAST(min({c}) AS DOUBLE), 6) AS min, round(CAST(max({c}) AS DOUBLE), 6) AS max, true AS distinct_is_near, true AS median_is_near FROM scored" for c in SKETCHED))
+def _(spark, folder):
+    """Five parts of the portfolio stored as days, one of them twice, and merged: exact figures, and whether the estimates are near.
+
+    Near is 5 % for distinct values, and a share of 0.5 +- 0.03 of values up to the median.
+    """
+    rows, path = portfolio(spark, folder).select(SKETCHED), shared_dir(spark) + "/sketches"
+    for day in (0, 1, 2, 2, 3, 4):
+        sketches.store_day(rows.where(F.col(KEY) % 5 == day), path, f"2024-01-0{day + 1}")
+    found = staged(sketches.merged(spark, path))
+    medians = {r.column_name: r.p50 for r in found.collect()}  # a row a column
+    checks = [F.struct(F.lit(c).alias("column_name"), F.count_distinct(c).alias("d"), (F.count_if(F.col(c) < medians[c]) / F.count(c)).alias("under"), (F.count_if(F.col(c) <= medians[c]) / F.count(c)).alias("up")) for c in SKETCHED]
+    near = rows.agg(F.array(*checks).alias("c")).select(F.inline("c"))
+    both = found.join(F.broadcast(near), "column_name")
+    return both.select("column_name", "n", "n_null", "mean", "std", "min", "max", (F.abs(F.col("n_distinct") - F.col("d")) <= 0.05 * F.col("d")).alias("distinct_is_near"), ((F.col("under") <= 0.53) & (F.col("up") >= 0.47)).alias("median_is_near"))
+
+
 @query("a6_label_distribution", PORTFOLIO_SQL + "SELECT target_dlq_2yrs, CAST(count(*) AS BIGINT) AS n_rows, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM scored GROUP BY 1")
 def _(spark, folder):
     return profile.distribution(portfolio(spark, folder), LABEL)
@@ -597,6 +639,15 @@ NEWTON = SPLIT + newton_sql("NOT is_test")
 NAMES = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
 
 
+@query("k8_persisted_hypotheses", ORACLE_SQL["m19_hypotheses"])
+def _(spark, folder):
+    """The report as a table, written twice and read back."""
+    name, at = f"solvara_{uuid.uuid4().hex}", shared_dir(spark)
+    report = staged(hypotheses.summary(portfolio(spark, folder), _attributions(spark, folder), LABEL, SCORE, floor=0.4))
+    hypotheses.persist(report, name, location=at)
+    return hypotheses.persist(report, name, location=at)
+
+
 def _fitted(spark, folder, fit):
     split = staged(models.stratified_split(portfolio(spark, folder).select(KEY, LABEL, *FEATURES)))
     return fit(split.where("not is_test")), split.where("is_test")
@@ -685,6 +736,17 @@ def _(spark, folder):
     return tables.read_merged(spark, path).drop("run_at", "run_date")
 
 
+@query("k6_predictions_once", SCORECARDS + "SELECT customer_id, round(p, 6) AS probability, run FROM sc JOIN scored USING (customer_id), (SELECT unnest(['monday', 'tuesday']) AS run) WHERE version = 1 AND target_dlq_2yrs IS NULL")
+def _(spark, folder):
+    """Two runs' predictions, one of the runs repeated: each is there once."""
+    rows = portfolio(spark, folder)
+    batch = models.scorecard(rows, _weights(rows), ATTRIBUTED).join(rows.where(F.col(LABEL).isNull()).select(KEY), KEY)
+    path = shared_dir(spark) + "/predictions"
+    for run in ("monday", "tuesday", "monday"):
+        tables.append_once(models.predictions(batch, "scorecard", "1").withColumn("run", F.lit(run)), path, run)
+    return tables.read_merged(spark, path).select(KEY, "probability", "run")
+
+
 @query("m31_model_scoring", LABELLED + ", sp AS (SELECT *, target_dlq_2yrs AS y FROM scored)\n" + newton_sql("y IS NOT NULL") + "SELECT customer_id, round(p, 6) AS probability, CASE WHEN p >= 0.45 THEN 'negado' ELSE 'aprovado' END AS decision, 'logistic' AS model_name, '1' AS model_version, 0.45::DOUBLE AS threshold FROM (SELECT customer_id, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM xs, b WHERE NOT tr)")
 def _(spark, folder):
     """The unlabelled rows scored by a logistic model of the labelled ones."""
@@ -782,6 +844,33 @@ def _(spark, folder):
     return tables.read_merged(spark, path).drop("run_at", "run_date")
 
 
+@query("d2_stored_profile", SCORING + "SELECT 1 AS version, feature, round(psi, 6) AS psi, n_ref, n_cur FROM rp WHERE feature <> 'score'")
+def _(spark, folder):
+    """Unlabelled rows held against the labelled rows' stored profile, of which the second version is another."""
+    rows, path = portfolio(spark, folder), shared_dir(spark) + "/profiles"
+    known = F.col(LABEL).isNotNull()
+    tables.append_once(drift.stored_profile(rows.where(known), FEATURES, 1), path, "1")
+    tables.append_once(drift.stored_profile(rows.where(known & (F.col(KEY) % 2 == 0)), FEATURES, 2), path, "2")
+    return drift.psi_against(spark.read.parquet(path).where("version = 1"), rows.where(~known))
+
+
+@query("d2_drift_stream", SCORING + "SELECT CAST(0 AS BIGINT) AS batch, feature, round(psi, 6) AS psi, psi_class, n_ref, n_cur FROM rp WHERE feature <> 'score'")
+def _(spark, folder):
+    """The unlabelled rows as a stream's batch, held against the stored profile."""
+    rows = portfolio(spark, folder)
+    return streams.drifted(spark, drift.stored_profile(rows.where(F.col(LABEL).isNotNull()), FEATURES, 1), rows.where(F.col(LABEL).isNull()).select(KEY, *FEATURES))
+
+
+@query("k5_drift_history_once", SCORING + _HISTORY.format(mode="scoring"))
+def _(spark, folder):
+    """One run appends its report twice; the history has it once."""
+    path = shared_dir(spark) + "/history"
+    report = staged(drift.report_history(drift.mode_report(portfolio(spark, folder), FEATURES, "scoring", LABEL, star.hash_bucket()), "scoring", F.current_timestamp()))
+    for _ in range(2):
+        tables.append_once(report, path, "2024-01-01-scoring")
+    return tables.read_merged(spark, path).drop("run_at", "run_id")
+
+
 for _mode, _sql, _ok in (("scoring", SCORING, "true"), ("training", SELF, "psi < 1e-9"), ("training_amostra", SAMPLE, "psi < 0.10")):
 
     @query(f"d6_mode_{_mode}", _sql + REPORT.format(more=f", '{_mode}' AS mode, {_ok} AS as_expected"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from solvara.storage import Files
+
 
 def optional_table(spark: SparkSession, name: str) -> DataFrame | None:
     """The table, or None if there is none. The catalogue is asked first: a lazy read would fail only later."""
     return spark.table(name) if spark.catalog.tableExists(name) else None
 
 
-def ensure_database(spark: SparkSession, name: str) -> None:
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}")
+def ensure_database(spark: SparkSession, name: str, location: str | None = None) -> None:
+    """Create a database unless it is there, in a folder of one's own if given."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {name}" + (f" LOCATION '{location}'" if location else ""))
 
 
 def overwrite(df: DataFrame, name: str) -> None:
@@ -20,6 +25,11 @@ def overwrite(df: DataFrame, name: str) -> None:
     df.write.mode("overwrite").saveAsTable(name)
 
 
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
+    """Replace a table by one bucketed and sorted by ``key``, a file a bucket: tables of as many buckets join on it without a shuffle."""
+    df.repartition(buckets, F.col(key)).write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+
+
 def ensure_columns(spark: SparkSession, name: str, columns: dict[str, str]) -> list[str]:
     """Add the columns (name -> type) that a table lacks, comparing names without case; nothing without the table."""
     if not spark.catalog.tableExists(name):
@@ -49,6 +59,30 @@ def append_by_date(df: DataFrame, path: str, run_at: str = "run_at") -> None:
     df.withColumn("run_date", F.to_date(run_at)).write.mode("append").partitionBy("run_date").parquet(path)
 
 
+def append_once(df: DataFrame, path: str, run: str) -> bool:
+    """Append a run's rows, in a folder of the run: one that is complete stays, so a repeated job adds nothing.
+
+    Rows are written aside and swapped in whole by one renaming; what a failed job left is written anew. True if added.
+    The folder's name becomes the column ``run_id`` for readers. Run names have letters, digits, dots, dashes, underscores.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", run):
+        raise ValueError(f"not a run name: {run!r}")
+    files, own = Files(df.sparkSession, path), f"run_id=r-{run}"
+    if files.exists(f"{own}/_SUCCESS"):
+        return False
+    aside = f"_pending/{run}"
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{aside}")
+    if not files.rename(aside, own):
+        raise OSError(f"run {run} could not be put in place")
+    return True
+
+
+def runs(spark: SparkSession, path: str) -> list[str]:
+    """Complete runs, by name."""
+    files = Files(spark, path)
+    return [n.removeprefix("run_id=r-") for n in files.names("") if n.startswith("run_id=r-") and files.exists(f"{n}/_SUCCESS")]
+
+
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 

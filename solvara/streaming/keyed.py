@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from solvara.operators import clean
+from solvara.functions import rules
+from solvara.operators import drift
+from solvara.sources import tables
 from solvara.storage import Files, staged
 
 BUCKET = "key_bucket"
@@ -104,3 +106,13 @@ def realised_stream(predictions: DataFrame, outcomes: DataFrame, key: str, predi
 def append_stream(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Append what has arrived to a Parquet folder and stop."""
     return rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(folder)
+
+
+def drift_stream(rows: DataFrame, profile: DataFrame, history: str, checkpoint: str) -> StreamingQuery:
+    """Hold each batch that has arrived against a stored profile and append its figures once, with the batch's number; then stop."""
+
+    def measure(batch: DataFrame, number: int) -> None:
+        figures = drift.psi_against(profile, batch).select(F.lit(number).cast("long").alias("batch"), "*", rules.psi_class(F.col("psi")).alias("psi_class"))
+        tables.append_once(figures, history, f"{number:012d}")
+
+    return rows.writeStream.foreachBatch(measure).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from solvara.sources.portfolio import portfolio, raw_profiles
-from solvara.storage import shared_dir
+from solvara.storage import shared_dir, staged
 from solvara.streaming import ingest, keyed
 
 #: Ids of the tables are long.
@@ -82,3 +82,13 @@ def outcomes(spark: SparkSession, folder: str, predictions: DataFrame, labels: D
         rows.write.mode("append").parquet(at)
         keyed.append_stream(joined, f"{out}/realised", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/realised")
+
+
+def drifted(spark: SparkSession, profile: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows as the one batch of a stream, held against a profile; a second run finds nothing new."""
+    out, held = shared_dir(spark), staged(profile)
+    rows.write.parquet(f"{out}/rows")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{out}/rows")
+    for _ in range(2):
+        keyed.drift_stream(stream, held, f"{out}/history", f"{out}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{out}/history").select("batch", "feature", "psi", "psi_class", "n_ref", "n_cur")
