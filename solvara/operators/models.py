@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from solvara.functions import rules
-from solvara.operators import isotonic, logit
+from solvara.operators import boosting, isotonic, logit
 from solvara.operators.ranking import equal_approval, evaluate, lowest_fraction, quantiles, running_totals
 from solvara.storage import staged
 
@@ -66,9 +66,9 @@ def boosted_trees(train: DataFrame, features: list[str], label: str = LABEL, tre
     return Pipeline(stages=steps).fit(rows)
 
 
-def probabilities(model: PipelineModel | logit.Logistic, df: DataFrame, features: list[str], name: str = "score") -> DataFrame:
+def probabilities(model: PipelineModel | logit.Logistic | boosting.Boosted, df: DataFrame, features: list[str], name: str = "score") -> DataFrame:
     """``df`` with the probability of label 1."""
-    if isinstance(model, logit.Logistic):
+    if isinstance(model, (logit.Logistic, boosting.Boosted)):
         return model.scored(df, name)
     out = model.transform(as_doubles(df, features))
     return out.select(*[c for c in df.columns if c != name], vector_to_array("probability")[1].alias(name))
@@ -203,7 +203,7 @@ def ablation_figures(rows: DataFrame, rate: float, label: str = LABEL) -> tuple[
 def without_feature(df: DataFrame, features: list[str], left_out: str = "age", rate: float = 0.75, label: str = LABEL, fit=logit.fit) -> tuple[DataFrame, DataFrame]:
     """Refit without a feature, with both models at equal approval: a summary row a model, and denied goods by age band.
 
-    ``fit`` is ``logit.fit``, ``logistic`` or ``boosted_trees``. The variation is in percentage points.
+    ``fit`` is ``logit.fit``, ``boosting.fit``, ``logistic`` or ``boosted_trees``. The variation is in percentage points.
     """
     split = staged(stratified_split(df.select(KEY, label, *features), label))
     train, test = split.where("not is_test"), split.where("is_test")

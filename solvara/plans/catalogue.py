@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from solvara.functions import rules
-from solvara.operators import clean, drift, fairness, hypotheses, logit, models, profile, ranking, sketches, star, thresholds, validation
+from solvara.operators import boosting, clean, drift, fairness, hypotheses, logit, models, profile, ranking, sketches, star, thresholds, validation
 from solvara.sources import tables
 from solvara.sources.portfolio import FEATURES, PORTFOLIO_SQL, portfolio, raw_profiles, table
 from solvara.storage import shared_dir, staged
@@ -663,7 +663,7 @@ def _(spark, folder):
 @query("m4_boosted_trees")
 def _(spark, folder):
     """Evaluation of boosted trees on the test rows."""
-    model, test = _fitted(spark, folder, lambda train: models.boosted_trees(train, FEATURES))
+    model, test = _fitted(spark, folder, lambda train: boosting.fit(train, FEATURES, LABEL))
     return ranking.evaluate(models.probabilities(model, test, FEATURES).withColumn("model", F.lit("trees")), ["model"], LABEL, SCORE)
 
 

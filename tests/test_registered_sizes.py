@@ -12,8 +12,8 @@ def test_model_queries_take_the_operators_sizes(monkeypatch):
         raise Asked(options)
 
     monkeypatch.setattr(catalogue, "_fitted", lambda spark, folder, fit: (fit(None), None))
-    monkeypatch.setattr(catalogue.models, "boosted_trees", stop)
-    monkeypatch.setattr(catalogue.models, "logistic", lambda *_: None)
+    monkeypatch.setattr(catalogue.boosting, "fit", stop)
+    monkeypatch.setattr(catalogue.logit, "fit", lambda *_: None)
     monkeypatch.setattr(catalogue.models, "sampled_shapley", stop)
     for name in ("m4_boosted_trees", "m13_sampled_shapley"):
         with pytest.raises(Asked) as asked:
