@@ -100,7 +100,7 @@ def linear_attribution(df: DataFrame, weights: DataFrame, features: list[str]) -
 def importance(attributions: DataFrame) -> DataFrame:
     """Mean absolute attribution by feature and its rank, ties by name. The ranking is over a row a feature."""
     mean = attributions.groupBy("feature").agg(F.avg(F.abs("attribution")).alias("mean_abs"))
-    return mean.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature")))
+    return mean.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature"))).orderBy("rank")
 
 
 def scorecard(df: DataFrame, weights: DataFrame, features: list[str], name: str = "score") -> DataFrame:

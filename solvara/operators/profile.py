@@ -11,6 +11,8 @@ from solvara.storage import staged
 
 #: Repeated digests up to this number are broadcast; more are joined by shuffle.
 FEW_DIGESTS = 500_000
+#: Rows that a full profile shows.
+SAMPLE = 5
 
 
 def _melted(row: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
@@ -128,7 +130,12 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 
 def full_profile(df: DataFrame, numeric: list[str], keys: list[str]) -> DataFrame:
-    """All reports as (section, item, measure, value); a column's place is the value of its type. ``preview`` shows rows."""
+    """All reports as (section, item, measure, value); a column's place is the value of its type.
+
+    The section ``sample`` has the numbers of the five rows of least keys, the item being the row's place. The input is
+    evaluated once and staged; reports read their columns of that. ``preview`` shows any rows.
+    """
+    df = staged(df)
 
     def rows(part: DataFrame, section: str, item: Column) -> DataFrame:
         values = [c for c, kind in part.dtypes if kind in ("bigint", "int", "double") and c not in keys]
@@ -136,7 +143,11 @@ def full_profile(df: DataFrame, numeric: list[str], keys: list[str]) -> DataFram
 
     types = df.sparkSession.createDataFrame([(c, kind, float(i)) for i, (c, kind) in enumerate(df.dtypes, 1)], "item string, measure string, value double")
     table = df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"))
+    first = df.orderBy(*keys).limit(SAMPLE).withColumn("__at", F.row_number().over(Window.orderBy(*keys)).cast("string"))
+    numbers = [c for c, kind in df.dtypes if kind in ("bigint", "int", "double")]
+    values = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in numbers])
     parts = [
+        first.select(F.lit("sample").alias("section"), F.col("__at").alias("item"), F.inline(values)),
         rows(table, "table", F.lit("")),
         types.select(F.lit("schema").alias("section"), "item", "measure", "value"),
         rows(completeness(df), "nulls", F.col("column_name")),

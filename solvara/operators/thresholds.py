@@ -46,8 +46,8 @@ def sweep(df: DataFrame, label: str, score: str, grid: list[float]) -> DataFrame
 
 
 def cost_sweep(df: DataFrame, label: str, score: str, margin: float = rules.MARGIN, loss: float = rules.LOSS) -> DataFrame:
-    """Cost and approval rate at 0.01 to 0.99."""
-    return with_cost(sweep(df, label, score, COST_GRID), margin, loss)
+    """Cost and approval rate at 0.01 to 0.99, in order of threshold."""
+    return with_cost(sweep(df, label, score, COST_GRID), margin, loss).orderBy("threshold")
 
 
 def cheapest(costs: DataFrame) -> DataFrame:

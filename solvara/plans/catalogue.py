@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from solvara.functions import rules
 from solvara.operators import boosting, clean, drift, fairness, hypotheses, logit, models, profile, ranking, sketches, star, thresholds, validation
-from solvara.sources import tables
+from solvara.sources import dictionary, tables
 from solvara.sources.portfolio import FEATURES, PORTFOLIO_SQL, portfolio, raw_profiles, table
 from solvara.storage import shared_dir, staged
 from solvara.streaming import queries as streams
@@ -203,6 +203,47 @@ def _(spark, folder):
     return table(spark, folder, "part").groupBy(dataset_of(name).alias("dataset")).agg(F.count("*").alias("n"))
 
 
+@query("s7_optional_tables", "SELECT r_name AS name, 'there' AS found FROM region UNION ALL SELECT 'absent', 'not there'")
+def _(spark, folder):
+    """A table of the catalogue that is there, and one that isn't."""
+    name = f"solvara_{uuid.uuid4().hex}"
+    tables.ensure_database(spark, name, shared_dir(spark))
+    tables.overwrite(table(spark, folder, "region").select(F.col("r_name").alias("name")), f"{name}.region")
+    there, absent = (tables.optional_table(spark, f"{name}.{t}") for t in ("region", "absent"))
+    gone = spark.createDataFrame([("absent", "not there")] if absent is None else [], "name string, found string")
+    return there.select("name", F.lit("there").alias("found")).union(gone)
+
+
+@query("k7_history_gains_columns", "SELECT o_orderkey, o_custkey, NULL::VARCHAR AS o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderkey % 2 = 1")
+def _(spark, folder):
+    """A history whose second append lacks a column and brings a new one."""
+    name = f"solvara_{uuid.uuid4().hex}"
+    tables.ensure_database(spark, name, shared_dir(spark))
+    orders = table(spark, folder, "orders")
+    tables.append_history(orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey"), f"{name}.history")
+    tables.append_history(orders.where("o_orderkey % 2 = 1").select("o_orderpriority", "o_orderkey"), f"{name}.history")
+    return spark.table(f"{name}.history")
+
+
+_DOCUMENTED = [("nation", "n_nationkey", False), ("nation", "n_name", False), ("nation", "n_flag", False), ("nation", "n_anthem", True), ("region", "r_regionkey", False), ("region", "r_name", False), ("absent", "x", False)]
+
+
+@query("c1_dictionary_audit", "WITH d AS (SELECT unnest([" + ", ".join(f"{{'t': '{t}', 'c': '{c}', 'o': {str(o).lower()}}}" for t, c, o in _DOCUMENTED) + """], recursive := true)),
+k AS (SELECT table_name AS t, column_name AS c FROM information_schema.columns WHERE table_name IN ('nation', 'region') AND column_name <> 'r_comment')
+SELECT t AS table_name, c AS column_name, 'undocumented' AS finding FROM k ANTI JOIN d USING (t, c)
+UNION ALL SELECT t, c, 'missing' FROM d WHERE NOT o AND t IN (SELECT t FROM k) AND NOT EXISTS (SELECT 1 FROM k WHERE k.t = d.t AND k.c = d.c)""")
+def _(spark, folder):
+    """The dictionary's audit over two given tables of the catalogue and one that isn't there."""
+    name = f"solvara_{uuid.uuid4().hex}"
+    tables.ensure_database(spark, name, shared_dir(spark))
+    for t in ("nation", "region"):
+        tables.overwrite(table(spark, folder, t), f"{name}.{t}")
+    known = spark.createDataFrame([(f"{name}.{t}", c, f"{c} of {t}", "given", o) for t, c, o in _DOCUMENTED], dictionary.DICTIONARY)
+    dictionary.apply_all(spark, known, {f"{name}.{t}": f"the table {t}" for t in ("nation", "region", "absent")})
+    found = dictionary.coverage(known, dictionary.table_columns(spark, [f"{name}.{t}" for t in ("nation", "region", "absent")]), hidden=("r_comment",))
+    return found.withColumn("table_name", F.element_at(F.split("table_name", r"\."), -1))
+
+
 # Profiles
 
 
@@ -312,7 +353,10 @@ _COL = " UNION ALL ".join(f"SELECT unnest(['nulls','nulls','cardinality','cardin
 _SCH = " UNION ALL ".join(f"SELECT 'schema', '{c}', '{TYPES.get(c, 'double')}', {i}" for i, c in enumerate(PROFILED, 1))
 
 
-@query("a12_full_profile", PORTFOLIO_SQL + f"SELECT section, item, measure, round(CAST(value AS DOUBLE), 6) AS value FROM (SELECT 'table' AS section, '' AS item, unnest(['n_rows','n_columns']) AS measure, unnest([count(*), {len(PROFILED)}]) AS value FROM scored UNION ALL {_SCH} UNION ALL {_COL} UNION ALL {_NUM} UNION ALL SELECT 'duplicate_keys', 'customer_id', 'n_keys', 0)")
+_SAMPLE = "SELECT 'sample', CAST(place AS VARCHAR), unnest([" + ", ".join(f"'{c}'" for c in PROFILED) + "]), unnest([" + ", ".join(f"CAST({c} AS DOUBLE)" for c in PROFILED) + "]) FROM (SELECT *, row_number() OVER (ORDER BY customer_id) AS place FROM scored) WHERE place <= 5"
+
+
+@query("a12_full_profile", PORTFOLIO_SQL + f"SELECT section, item, measure, round(CAST(value AS DOUBLE), 6) AS value FROM (SELECT 'table' AS section, '' AS item, unnest(['n_rows','n_columns']) AS measure, unnest([count(*), {len(PROFILED)}]) AS value FROM scored UNION ALL {_SCH} UNION ALL {_COL} UNION ALL {_NUM} UNION ALL SELECT 'duplicate_keys', 'customer_id', 'n_keys', 0 UNION ALL {_SAMPLE})")
 def _(spark, folder):
     return profile.full_profile(portfolio(spark, folder).select(PROFILED), NUMERIC, [KEY])
 
