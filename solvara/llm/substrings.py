@@ -177,13 +177,12 @@ def packed_strings(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> Da
             begin, count = np.append(at[first[go]], at[alone]), np.append(count[go], np.ones(len(alone), np.int64))
             g_order = np.argsort(bucket, kind="stable")
             doc, tag, start, begin, count = doc[g_order], tag[g_order], start[g_order], begin[g_order], count[g_order]
-            edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+            occupied, edges = np.unique(bucket[g_order], return_index=True)  # a chunk's work follows its strings, not the number of buckets
             low, high = words.starts[begin], words.ends[begin + count + k - 2]
-            for b in range(buckets):
-                part = slice(edges[b], edges[b + 1])
-                if edges[b] < edges[b + 1]:
-                    out_bucket.append(b)
-                    out_blob.append(pack([doc[part], tag[part].astype("<i8").view("<u2"), start[part], count[part].astype(np.uint8), (high - low)[part].astype(np.int32), words.data[ragged(low[part], (high - low)[part])]]))
+            for b, begin_, end_ in zip(occupied.tolist(), edges, np.append(edges[1:], len(bucket))):
+                part = slice(begin_, end_)
+                out_bucket.append(b)
+                out_blob.append(pack([doc[part], tag[part].astype("<i8").view("<u2"), start[part], count[part].astype(np.uint8), (high - low)[part].astype(np.int32), words.data[ragged(low[part], (high - low)[part])]]))
             yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
 
     return small_batches(docs).mapInArrow(run, "bucket int, blob binary")
