@@ -741,24 +741,34 @@ def _(spark, folder):
     return models.importance(models.linear_attribution(test, models.coefficients(model, FEATURES).withColumnRenamed("coefficient", "weight"), FEATURES))
 
 
-@query("m29_without_age")
+AGE_BAND = "CASE WHEN age IS NULL OR age < 18 THEN 'não informada' WHEN age <= 30 THEN '18-30' WHEN age <= 40 THEN '31-40' WHEN age <= 50 THEN '41-50' WHEN age <= 60 THEN '51-60' ELSE '60+' END"
+
+
+def _ablated(name: str, features: list[str]) -> str:
+    return f"SELECT * FROM (WITH RECURSIVE sp AS (SELECT * FROM halved){newton_sql('NOT is_test', features)} SELECT '{name}' AS model, customer_id, y, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM xs, b WHERE NOT tr)"
+
+
+_BANDED = f", ab AS (SELECT ap.*, {AGE_BAND} AS band FROM ap JOIN scored USING (customer_id)), br AS (SELECT model, band, avg(CASE WHEN y = 0 THEN CASE WHEN approved THEN 0.0 ELSE 1.0 END END) AS gd, CAST(count(*) FILTER (NOT approved) AS BIGINT) AS nd FROM ab GROUP BY 1, 2)"
+_ABLATION = """
+SELECT model, round(any_value(auc), 6) AS auc, round(avg(CASE WHEN approved THEN y END), 6) AS default_approved, CAST(count(*) FILTER (NOT approved AND y = 1) AS BIGINT) AS bads_rejected, CAST(count(*) FILTER (NOT approved AND y = 0) AS BIGINT) AS goods_rejected,
+  (SELECT round(max(gd) FILTER (band = '18-30') / max(gd) FILTER (band = '60+'), 6) FROM br WHERE br.model = ab.model) AS young_to_old FROM ab JOIN ev ON grp = model GROUP BY model"""
+ABLATED = SPLIT.replace(", sp AS (", ", halved AS (") + ", m AS (" + _ablated("all", FEATURES) + " UNION ALL " + _ablated("without_age", [f for f in FEATURES if f != "age"]) + "), k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p, customer_id) AS r, count(*) OVER (PARTITION BY model) AS n FROM m), ap AS (SELECT *, r <= CAST(round_even(0.75 * n, 0) AS BIGINT) AS approved FROM k)" + EVALUATE.format(by="model", src="m") + _BANDED
+
+
+@query("m29_without_age", ABLATED + """, w AS (SELECT band, max(gd) FILTER (model = 'all') AS g1, max(nd) FILTER (model = 'all') AS n1, max(gd) FILTER (model = 'without_age') AS g2, max(nd) FILTER (model = 'without_age') AS n2 FROM br GROUP BY band)
+SELECT band, round(g1, 6) AS all_goods_denied, n1 AS all_n_denied, round(g2, 6) AS without_age_goods_denied, n2 AS without_age_n_denied, round(100 * (g2 - g1), 6) AS variation_pp FROM w""")
 def _(spark, folder):
     """Denied goods by age band with and without age in the model, at equal approval."""
     return models.without_feature(portfolio(spark, folder), FEATURES)[1]
 
 
-@query("m29_summary_without_age")
+@query("m29_summary_without_age", ABLATED + _ABLATION)
 def _(spark, folder):
     """The two models' AUC, portfolio figures and young-to-old ratio at equal approval."""
     return models.without_feature(portfolio(spark, folder), FEATURES)[0]
 
 
-AGE_BAND = "CASE WHEN age IS NULL OR age < 18 THEN 'não informada' WHEN age <= 30 THEN '18-30' WHEN age <= 40 THEN '31-40' WHEN age <= 50 THEN '41-50' WHEN age <= 60 THEN '51-60' ELSE '60+' END"
-
-
-@query("m29_ablation_figures", TAKEN + EVALUATE.format(by="model", src="m") + f", ab AS (SELECT ap.*, {AGE_BAND} AS band FROM ap JOIN scored USING (customer_id)), br AS (SELECT model, band, avg(CASE WHEN y = 0 THEN CASE WHEN approved THEN 0.0 ELSE 1.0 END END) AS gd FROM ab GROUP BY 1, 2)" + """
-SELECT model, round(any_value(auc), 6) AS auc, round(avg(CASE WHEN approved THEN y END), 6) AS default_approved, CAST(count(*) FILTER (NOT approved AND y = 1) AS BIGINT) AS bads_rejected, CAST(count(*) FILTER (NOT approved AND y = 0) AS BIGINT) AS goods_rejected,
-  (SELECT round(max(gd) FILTER (band = '18-30') / max(gd) FILTER (band = '60+'), 6) FROM br WHERE br.model = ab.model) AS young_to_old FROM ab JOIN ev ON grp = model GROUP BY model""")
+@query("m29_ablation_figures", TAKEN + EVALUATE.format(by="model", src="m") + _BANDED + _ABLATION)
 def _(spark, folder):
     ages = portfolio(spark, folder).select(KEY, "age")
     return models.ablation_figures(two_models(spark, folder).withColumnRenamed("p", SCORE).join(ages, KEY), 0.731)[0]
