@@ -22,12 +22,13 @@ FOREIGN_TEXT = frozenset("text foreignobject mi mo mn ms mtext".split())
 #: HTML elements that end svg and math.
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table ul search select".split())
+LISTS = frozenset("ul ol menu dir".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir pre blockquote table figure hr fieldset".split())
 #: What an opening tag closes, up to the nearest of the scope's elements.
 CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
+    "li": ({"li"}, {"ul", "ol", "menu", "dir", "table", "td", "th"}),
+    "dt": ({"dt", "dd"}, {"dl", "table", "td", "th"}),
+    "dd": ({"dt", "dd"}, {"dl", "table", "td", "th"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
@@ -43,25 +44,34 @@ CLOSES = {
 ENDS_P = BLOCK - {"body", "html", "legend", "option", "optgroup", "select", "li", "dd", "dt"} | {"li", "dd", "dt"}
 #: An end tag looks no further up than these.
 BARRIERS = frozenset("table td th caption html".split())
-#: Elements below this depth don't nest further: their content joins the element at this depth.
-DEPTH = 256
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NOISE = re.compile(r"/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|<!--|-->", re.S)
+#: Elements whose end tag doesn't end a block that was opened inside them.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+#: Lists and other blocks are indented by so many levels at most; deeper ones show at that level.
+LEVELS = 40
+
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|</(?=[^a-zA-Z])[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)"
+    r"((?:[\s/]++|=?[^\s/<>=]++(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s<>\"'][^\s<>]*+)?+)?+)*+)>|[^<]+|<",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"(=?[^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)))?")
+_STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+_NOISE = re.compile(rf"/\*.*?(?:\*/|\Z)|{_STRING}|<!--|-->", re.S)
+_PIECE = re.compile(rf"(?:{_STRING}|[^{{}};])*+(?:[{{}};]|\Z)", re.S)
+_COMMAS = re.compile(rf"(?:{_STRING}|\([^()]*\)|[^,])++")
 _SHOWS = re.compile(r"\s*(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*\Z", re.I)
 _SCREEN = re.compile(r"\s*(?:(?:only\s+)?(?:all|screen))?\s*\Z", re.I)
-_SIMPLE = re.compile(r"(\*|[a-z][a-z0-9]*)?((?:[.#][\w-]+)*)\Z", re.I)
+_SELECTOR = re.compile(r"\s*([>+~]|\s)\s*|([a-z][\w-]*|\*)|([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?)=\s*(?:\"([^\"]*)\"|'([^']*)'|([\w-]+))\s*(i?)\s*)?\]", re.I)
 
 
 class Node:
     """An element; children are nodes and strings in order."""
 
-    __slots__ = ("attributes", "children", "classes", "depth", "foreign", "parent", "shown", "tag")
+    __slots__ = ("attributes", "children", "classes", "declared", "depth", "foreign", "parent", "shown", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
-        self.depth, self.shown = parent.depth + 1 if parent else 0, True
+        self.depth, self.shown, self.declared = parent.depth + 1 if parent else 0, True, []
         self.classes = frozenset(attributes.get("class", "").split())
         within = parent is not None and parent.foreign  # "no" in svg and math where no text shows, "text" in svg text
         self.foreign = "" if tag in FOREIGN_TEXT - {"text"} or tag == "annotation-xml" else "text" if within and tag == "text" else within or ("no" if tag in ("svg", "math") else "")
@@ -74,59 +84,132 @@ def attributes_of(text: str) -> dict[str, str]:
     return out
 
 
-def tree(html: str) -> tuple[Node, list[str]]:
-    """The page's elements below a root, end tags and containers implied, and the text of its style sheets."""
-    root = node = Node("", {}, None)
-    styles: list[str] = []
-    at = 0
+class Builder:
+    """The tree in progress. ``node`` and its ancestors are open; ``at`` has them by name, outermost first.
 
-    def close(names: set[str], scope: frozenset[str] | set[str]) -> None:
+    Looking for an open element costs the same at any depth, so pages nested however deep take linear time.
+    """
+
+    def __init__(self) -> None:
+        self.root = self.node = Node("", {}, None)
+        self.at: dict[str, list[Node]] = {}
+
+    def add(self, tag: str, attributes: dict[str, str]) -> Node:
+        new = Node(tag, attributes, self.node)
+        self.node.children.append(new)
+        return new
+
+    def open(self, node: Node) -> None:
+        self.node = node
+        self.at.setdefault(node.tag, []).append(node)
+
+    def leave(self, until: Node) -> None:
+        """Close the open elements up to ``until``, itself included."""
+        while True:
+            last = self.node
+            self.at[last.tag].pop()
+            self.node = last.parent
+            if last is until:
+                return
+
+    def inner(self, names) -> int:
+        """Depth of the innermost open element of ``names``; 0: none."""
+        return max((self.at[n][-1].depth for n in names if self.at.get(n)), default=0)
+
+    def close(self, names, scope) -> None:
         """Close the outermost open element of ``names`` that lies within ``scope``."""
-        nonlocal node
-        walk, found = node, None
-        while walk.parent is not None and walk.tag not in scope:
-            if walk.tag in names:
-                found = walk
-            walk = walk.parent
+        found, floor = None, None
+        for name in names:
+            for node in reversed(self.at.get(name, ())):
+                floor = self.inner(scope) if floor is None else floor
+                if node.depth <= floor:
+                    break
+                if found is None or node.depth < found.depth:
+                    found = node
         if found is not None:
-            node = found.parent
+            self.leave(found)
+
+    def end(self, name: str) -> None:
+        """An end tag: closes the innermost element of its name, unless a table or cell stands between."""
+        free = name in BARRIERS or name in ("tr", "tbody", "thead", "tfoot", "body")
+        for _ in range(8):  # fixed by the HTML standard: so many blocks are taken out of a formatting element
+            if not self.at.get(name) or not free and self.at[name][-1].depth < self.inner(BARRIERS):
+                return
+            found = self.at[name][-1]
+            if name not in FORMATTING or not self.take_out(found):
+                self.leave(found)
+                return
+
+    def take_out(self, formatting: Node) -> bool:
+        """Move the outermost open block inside a formatting element out behind it; whether there is one.
+
+        The block stays open and its content so far keeps the formatting in a copy, what follows doesn't. Of the formatting
+        elements between the two, the three next to the block are copied around it (fixed by the HTML standard).
+        """
+        between: list[Node] = []
+        block, node = None, self.node
+        while node is not formatting:
+            if node.tag in BLOCK or node.tag in BARRIERS:
+                block, between = node, []
+            elif block is not None:
+                between.append(node)
+            node = node.parent
+        if block is None:
+            return False
+        block.parent.children.pop()  # an open element is its parent's last child
+        parent = formatting.parent
+        kept = [n for n in between[:3] if n.tag in FORMATTING]
+        for old in between:
+            if old not in kept:
+                self.at[old.tag].remove(old)
+        for old in reversed(kept):
+            copy = Node(old.tag, old.attributes, parent)
+            parent.children.append(copy)
+            self.at[old.tag][self.at[old.tag].index(old)] = parent = copy
+        block.parent, block.depth = parent, parent.depth + 1
+        parent.children.append(block)
+        copy = Node(formatting.tag, formatting.attributes, block)
+        copy.children, block.children = block.children, [copy]
+        for child in copy.children:
+            if isinstance(child, Node):
+                child.parent = copy
+        self.at[formatting.tag][-1] = copy
+        if self.node is block:
+            self.node = copy
+        return True
 
+
+def tree(html: str) -> tuple[Node, list[str]]:
+    """The page's elements below a root, end tags and containers implied, and the text of its style sheets."""
+    build = Builder()
+    styles: list[str] = []
+    at = 0
     while at < len(html):
         m = _TOKEN.match(html, at)
         at = m.end()
         end, name = m[1], m[2]
         if name is None:
-            if not m[0].startswith(("<!", "<?")):
-                node.children.append(unescape(m[0]))
+            if not m[0].startswith(("<!", "<?", "</")) or m[0] == "</":
+                build.node.children.append(unescape(m[0]))
             continue
         name = name.lower()
         if end:
-            if name in ("p", "br"):  # </p> alone makes an empty paragraph, </br> a break
-                walk = node
-                while walk.parent is not None and walk.tag not in BARRIERS and walk.tag != name:
-                    walk = walk.parent
-                if walk.tag != name:
-                    node.children.append(Node(name, {}, node))
-                    continue
-            walk = node
-            while walk.parent is not None and walk.tag != name and not (walk.tag in BARRIERS and name not in BARRIERS and name not in ("tr", "tbody", "thead", "tfoot", "body")):
-                walk = walk.parent
-            if walk.tag == name and walk.parent is not None:
-                node = walk.parent
+            if name in ("p", "br") and build.inner([name]) <= build.inner(BARRIERS):  # </p> alone makes an empty paragraph, </br> a break
+                build.add(name, {})
+            else:
+                build.end(name)
             continue
-        if node.foreign and name in BREAKOUT:
-            while node.foreign:
-                node = node.parent
+        if build.node.foreign and name in BREAKOUT:
+            while build.node.foreign:
+                build.leave(build.node)
         if name in ENDS_P:
-            close({"p"}, {"table", "td", "th", "button"})
+            build.close({"p"}, {"table", "td", "th", "button"})
         if name in CLOSES:
-            close(*CLOSES[name])
-        if name in ("td", "th") and node.tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr", {}, node)
-            node.children.append(row)
-            node = row
-        new = Node(name, attributes_of(m[3]) if m[3] else {}, node)
-        node.children.append(new)
+            build.close(*CLOSES[name])
+        if name in ("td", "th") and build.node.tag in ("table", "tbody", "thead", "tfoot"):
+            build.open(build.add("tr", {}))
+        within = build.node.foreign
+        new = build.add(name, attributes_of(m[3]) if m[3] else {})
         if name in RAW or name in RCDATA:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             text = html[at : stop.start() if stop else len(html)]
@@ -136,9 +219,9 @@ def tree(html: str) -> tuple[Node, list[str]]:
                     styles.append(text)
             elif name in RCDATA:
                 new.children.append(unescape(text))
-        elif name not in VOID and new.depth < DEPTH and not ((node.foreign or new.foreign) and m[3].endswith("/")):
-            node = new
-    return root, styles
+        elif name not in VOID and not ((within or new.foreign) and m[3].endswith("/")):
+            build.open(new)
+    return build.root, styles
 
 
 def screen(media: str) -> bool:
@@ -153,7 +236,7 @@ _VISIBILITY = {"visible": False, "initial": False, "hidden": True, "collapse": T
 def declared(text: str) -> list[tuple[str, bool | None, bool]]:
     """(property, whether it hides, whether important) of the display and visibility declarations."""
     out = []
-    for m in (_SHOWS.match(d) for d in text.split(";")):
+    for m in (_SHOWS.match(d) for d in _NOISE.sub(" ", text).split(";")):
         if m and m[1].lower() == "display":
             out.append(("display", m[2].lower() == "none", bool(m[3])))
         elif m and m[2].lower() in _VISIBILITY:
@@ -162,75 +245,101 @@ def declared(text: str) -> list[tuple[str, bool | None, bool]]:
 
 
 def selector_of(text: str) -> tuple[tuple, list] | None:
-    """(specificity, parts from the last on) of a selector of simple ones, descendants and children; None for others.
+    """(specificity, parts in order) of a selector; None where it has pseudo-classes or other things that aren't known.
 
-    A part is (combinator to what follows it, element name, classes, ids).
+    A part is (combinator to the part before it, element name, classes, ids, attributes).
     """
-    parts, combinator, weight = [], "", [0, 0, 0]
-    for token in re.sub(r"\s*>\s*", " > ", text.strip()).split():
-        if token == ">":
-            if combinator != " ":
-                return None
-            combinator = ">"
-            continue
-        m = _SIMPLE.match(token)
-        if not m or not m[0]:
+    parts: list[list] = [["", "", set(), set(), []]]
+    text, at, ids, marks, tags = text.strip(), 0, 0, 0, 0
+    while at < len(text):
+        m = _SELECTOR.match(text, at)
+        if not m:
             return None
-        marks = re.findall(r"([.#])([\w-]+)", m[2])
-        tag = (m[1] or "").lower().replace("*", "")
-        classes, ids = frozenset(v for k, v in marks if k == "."), frozenset(v for k, v in marks if k == "#")
-        if parts:
-            parts[-1][0] = combinator
-        parts.append(["", tag, classes, ids])
-        combinator = " "
-        weight = [weight[0] + len(ids), weight[1] + len(marks) - len(ids), weight[2] + bool(tag)]
-    return (tuple(weight), [tuple(p) for p in reversed(parts)]) if parts and combinator == " " else None
+        at = m.end()
+        part = parts[-1]
+        if m[1]:
+            if part[1:] == ["", set(), set(), []]:
+                return None
+            parts.append([m[1] if m[1] in ">+~" else " ", "", set(), set(), []])
+        elif m[2]:
+            part[1], tags = m[2].lower(), tags + (m[2] != "*")
+        elif m[3]:
+            part[2 if m[3] == "." else 3].add(m[4])
+            ids, marks = ids + (m[3] == "#"), marks + (m[3] == ".")
+        else:
+            part[4].append((m[5].lower(), m[6], next((x for x in m.group(7, 8, 9) if x is not None), None), bool(m[10])))
+            marks += 1
+    return ((ids, marks, tags), parts) if parts[-1][1:] != ["", set(), set(), []] else None
+
+
+def holds(attributes: dict[str, str], name: str, how: str, value: str | None, fold: bool) -> bool:
+    """Whether an attribute condition of a selector holds."""
+    has = attributes.get(name)
+    if has is None or value is None:
+        return has is not None
+    if fold:
+        has, value = has.lower(), value.lower()
+    if how in ("^", "$", "*", "~") and not value:
+        return False
+    return {"": has == value, "~": value in has.split(), "|": has == value or has.startswith(value + "-"), "^": has.startswith(value), "$": has.endswith(value), "*": value in has}[how]
 
 
-def matches(node: Node, parts: list) -> bool:
-    """Whether a selector's last part takes the element, and the parts before it ancestors of it.
+def declare(root: Node, rules: list[tuple]) -> None:
+    """Give each element the declarations of the rules that match it, weakest first.
 
-    The ancestors that can stand for each part are found step by step, so the cost is parts times depth.
+    One walk in document order. Bit n of a mask stands for the n-th part of all selectors: an element has it if the part
+    takes it and the parts before it match as their combinators ask. So the cost doesn't depend on the depth.
     """
-
-    def takes(n: Node, part: tuple) -> bool:
-        return bool(n.tag) and (not part[1] or part[1] == n.tag) and part[2] <= n.classes and (not part[3] or part[3] <= {n.attributes.get("id")})
-
-    if not takes(node, parts[0]):
-        return False
-    stand = {id(node): node}
-    for part in parts[1:]:
-        above: dict[int, Node] = {}
-        for n in stand.values():
-            up = n.parent
-            while up is not None and id(up) not in above:
-                if takes(up, part):
-                    above[id(up)] = up
-                if part[0] == ">":
-                    break
-                up = up.parent
-        if not above:
-            return False
-        stand = above
-    return True
+    parts: list[tuple] = []
+    last: dict[int, tuple] = {}
+    for order, (weight, selector, prop, hides) in enumerate(rules):
+        parts += [(part, len(parts) + i) for i, part in enumerate(selector)]
+        last[len(parts) - 1] = (order, weight, prop, hides)
+    wanted: dict[tuple[str, str], list] = {}
+    for part, n in parts:
+        key = ("#", min(part[3])) if part[3] else (".", min(part[2])) if part[2] else ("", part[1] if part[1] != "*" else "")
+        wanted.setdefault(key, []).append((part, n))
+    masks: dict[int, tuple[int, int]] = {id(root): (0, 0)}  # of an element: its own parts, and those of it and all above
+    walk: list[tuple[Node, list]] = [(root, [0, 0, iter(root.children)])]  # with the parts of the child before, and of all before
+    while walk and parts:
+        node, state = walk[-1]
+        child = next((c for c in state[2] if isinstance(c, Node)), None)
+        if child is None:
+            walk.pop()
+            continue
+        own, above = masks[id(node)]
+        bits, found = 0, []
+        keys = [("", ""), ("", child.tag), ("#", child.attributes.get("id", "")), *((".", c) for c in child.classes)]
+        for (combinator, tag, classes, ids, conditions), n in (x for key in dict.fromkeys(keys) for x in wanted.get(key, ())):
+            before = {"": -1, " ": above, ">": own, "+": state[0], "~": state[1]}[combinator]
+            if combinator and not before >> (n - 1) & 1 or tag not in ("", "*", child.tag) or not classes <= child.classes or not ids <= {child.attributes.get("id")}:
+                continue
+            if all(holds(child.attributes, *c) for c in conditions):
+                bits |= 1 << n
+                if n in last:
+                    found.append(last[n])
+        child.declared = [f[1:] for f in sorted(found)]
+        masks[id(child)] = bits, above | bits
+        state[0], state[1] = bits, state[1] | bits
+        walk.append((child, [0, 0, iter(child.children)]))
 
 
 def hidden_by(styles: list[str]) -> list[tuple]:
     """Rules on display and visibility, weakest first: ((important, specificity), selector, property, hides).
 
     Blocks of at-rules count only for plain screens or all media, as a condition may not hold; nested rules don't count,
-    nor do selectors beyond names, classes, ids, descendants and children.
+    nor do selectors with pseudo-classes or pseudo-elements.
     """
     out = []
     for style in styles:
         stack: list = [None]  # None: rules count here; False: nothing does; else the selectors of the rule
-        for piece in re.findall(r"[^{};]*(?:[{};]|\Z)", _NOISE.sub(" ", style)):
+        for piece in _PIECE.findall(_NOISE.sub(lambda m: m[0] if m[0][0] in "\"'" else " ", style)):
             text, mark = (piece[:-1], piece[-1]) if piece[-1:] in ("{", "}", ";") and piece else (piece, "")
             top = stack[-1]
             if mark == "{":
                 name = text.strip()
                 media = re.match(r"@media(?![\w-])(.*)\Z", name, re.I | re.S)
-                stack.append(False if top is not None else (None if media and screen(media[1]) else False) if name.startswith("@") else re.split(r",(?![^(]*\))", name))
+                stack.append(False if top is not None else (None if media and screen(media[1]) else False) if name.startswith("@") else _COMMAS.findall(name))
                 continue
             for prop, hides, important in declared(text) if top else []:
                 for selector in map(selector_of, top):
@@ -241,18 +350,18 @@ def hidden_by(styles: list[str]) -> list[tuple]:
     return sorted(out, key=lambda r: r[0])
 
 
-def visible(node: Node, rules: list[tuple]) -> bool:
+def visible(node: Node) -> bool:
     """Whether an element is laid out; sets whether its own text shows, which its content takes over.
 
     The last matching declaration of each property decides, the inline ones after the sheets'.
     """
     a = node.attributes
     node.shown = node.parent is None or node.parent.shown
-    if node.tag in HIDDEN or node.foreign and node.tag in FOREIGN_HIDDEN or node.tag in ("input", "annotation-xml"):
+    if node.tag in HIDDEN or node.foreign and node.tag in FOREIGN_HIDDEN or node.tag == "annotation-xml" or node.tag == "input" and not label(node):
         return False
     state = {"display": ((False, False), "hidden" in a or node.tag == "dialog" and "open" not in a)}
-    found = [((important, False), prop, hides) for (important, _), parts, prop, hides in rules if matches(node, parts)]
-    found += [((important, True), prop, hides) for prop, hides, important in declared(_NOISE.sub(" ", a.get("style", "")))]
+    found = [((important, False), prop, hides) for (important, _), prop, hides in node.declared]
+    found += [((important, True), prop, hides) for prop, hides, important in declared(a.get("style", ""))]
     for weight, prop, hides in found:
         if weight >= state.get(prop, (weight,))[0]:
             state[prop] = weight, hides
@@ -262,6 +371,12 @@ def visible(node: Node, rules: list[tuple]) -> bool:
     return not state["display"][1]
 
 
+def label(node: Node) -> str:
+    """What a button made by an input element says."""
+    kind = node.attributes.get("type", "").strip().lower()
+    return node.attributes.get("value", {"submit": "Submit", "reset": "Reset"}.get(kind, "")) if kind in ("submit", "reset", "button") else ""
+
+
 def width_of(text: str) -> int:
     """Columns that a line takes: two for wide characters, none for combining ones."""
     if text.isascii():
@@ -313,6 +428,19 @@ def span(value: str | None, most: int) -> int:
     return min(most, max(1, int(value))) if value and value.isascii() and value.isdigit() else 1
 
 
+def whole(value: str | None, otherwise: int) -> int:
+    """An attribute as a whole number."""
+    return int(value) if value and re.fullmatch(r"\s*[+-]?[0-9]{1,9}\s*", value, re.A) else otherwise
+
+
+def first(node: Node) -> list[int]:
+    """Number before the first item of an ordered list, and the step."""
+    if "reversed" not in node.attributes:
+        return [whole(node.attributes.get("start"), 1) - 1, 1]
+    items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+    return [whole(node.attributes.get("start"), items) + 1, -1]
+
+
 def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Cells (lines, columns, rows they take) as text columns of equal width, two spaces apart."""
     grid: list[dict[int, list[str]]] = []
@@ -344,15 +472,16 @@ def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
 def rendered(html: str) -> str:
     """All visible text of a page."""
     root, styles = tree(html)
-    rules = hidden_by(styles)
+    declare(root, hidden_by(styles))
     contexts: list[tuple[Lines, list]] = [(Lines(), [])]  # the lines in progress, and a table's rows
-    lists: list[int | None] = []
+    lists: list = []  # open lists and preformatted blocks: None, "pre", or [last number, step]
+    depth = 0  # of the lists among them
     steps: list[tuple[str, object]] = [("in", root)]
     while steps:
         step, item = steps.pop()
         lines = contexts[-1][0]
         if step == "text":
-            if "pre" in lists:
+            if len(lists) > depth:
                 parts = item.replace("\r\n", "\n").split("\n")
                 for i, part in enumerate(parts):
                     if i:
@@ -365,12 +494,16 @@ def rendered(html: str) -> str:
             continue
         node: Node = item
         tag = node.tag
-        gap = 2 if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and any(x != "pre" for x in lists[: -1 if step == "out" else None])) else 1
+        gap = 2 if tag in SPACED and not (tag in LISTS and depth > (step == "out")) else 1
         if step == "in":
             if tag == "br":
                 lines.end() if lines.line else lines.add([""])
                 continue
-            if tag and not visible(node, rules):
+            if tag and not visible(node):
+                continue
+            if tag == "input":
+                if node.shown:
+                    lines.text(label(node))
                 continue
             if node.foreign or tag in FOREIGN_TEXT:
                 lines.space |= tag == "text" or node.parent is not None and node.parent.tag in ("mfrac", "mtr", "mroot")
@@ -382,20 +515,17 @@ def rendered(html: str) -> str:
                 continue
             if tag in BLOCK and tag not in ("td", "th"):
                 lines.end(gap)
-            if tag in ("ul", "menu", "dir"):
-                lists.append(None)
-            elif tag == "ol":
-                start = node.attributes.get("start", "1")
-                lists.append(int(start) - 1 if re.fullmatch(r"-?[0-9]{1,9}", start) else 0)
+            if tag in LISTS:
+                lists.append(first(node) if tag == "ol" else None)
+                depth += 1
             elif tag == "pre":
                 lists.append("pre")
             elif tag == "li":
-                own = [x for x in lists if x != "pre"]
                 mark = "- "
-                if lists and isinstance(lists[-1], int):
-                    lists[-1] += 1
-                    mark = f"{lists[-1]}. "
-                lines.marker = "  " * max(0, len(own) - 1) + mark if node.shown else ""
+                if lists and isinstance(lists[-1], list):
+                    lists[-1][0] = whole(node.attributes.get("value"), lists[-1][0] + lists[-1][1])
+                    mark = f"{lists[-1][0]}. "
+                lines.marker = "  " * min(LEVELS, max(0, depth - 1)) + mark if node.shown else ""
             elif tag == "dd":
                 lines.marker = "  "
             elif tag == "table":
@@ -423,8 +553,9 @@ def rendered(html: str) -> str:
                 lines.end(2)
                 lines.add(loose.done())  # captions, and text that stood between cells
                 lines.add(table_lines(rows))
-            if tag in ("ul", "ol", "menu", "dir", "pre") and lists:
+            if (tag in LISTS or tag == "pre") and lists:
                 lists.pop()
+                depth -= tag in LISTS
             if tag == "li":
                 lines.marker = ""
             if tag in BLOCK:
@@ -436,7 +567,9 @@ def html_text(pages: DataFrame, html: str = "html", text: str = "text") -> DataF
     """``pages`` with the visible text of ``html`` in ``text``.
 
     Pages are independent, so there is no shuffle. A null page has null text; an empty one, or one with nothing visible,
-    an empty text; broken markup is read as far as it goes, and what isn't a tag is text. Other columns pass through,
+    an empty text; broken markup is read as far as it goes, at any depth, and what isn't a tag is text. An end tag of
+    bold, links and the like leaves blocks that opened inside them open; such elements aren't opened anew after a block that
+    ended them. Lists are indented by ``LEVELS`` levels at most. Other columns pass through,
     one named ``text`` before is replaced; repeated rows give equal rows.
     """
 
