@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -67,27 +68,71 @@ SENTENCES = {
     "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law": "cc0-deed",
 }
 
+# Further sentences of public licence texts, from their heads and first sections.
+SENTENCES |= {
+    "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document": "apache-2-definition",
+    "licensor shall mean the copyright owner or entity authorized by the copyright owner that is granting the license": "apache-2-licensor",
+    "terms and conditions for use reproduction and distribution": "apache-2-terms",
+    "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed": "gnu-verbatim",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "gpl-3-preamble",
+    "the licenses for most software and other practical works are designed to take away your freedom to share and change the works": "gnu-3-freedom",
+    "the licenses for most software are designed to take away your freedom to share and change it": "gnu-2-freedom",
+    "by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users": "gpl-2-freedom",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software": "agpl-3-preamble",
+    "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below": "lgpl-3-preamble",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl-1-grant",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advertising",
+    "you just do what the fuck you want to": "wtfpl-terms",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl-2-only-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl-3-only-grant",
+}
+
 # Licences and the names, normalised, by which notices call them.
 NAMES = {
     "MIT": ["mit license", "mit licence"],
-    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache licence version 2 0"],
+    "Apache-2.0": ["apache license version 2 0", "apache license 2 0", "apache licence version 2 0", "apache license version 2 0 january 2004", "apache license version 2 0 january 2004 http www apache org licenses"],
     "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license"],
     "BSD-3-Clause": ["bsd 3 clause license", "new bsd license", "modified bsd license"],
     "ISC": ["isc license", "isc licence"],
-    "GPL-2.0-only": ["gnu general public license version 2", "gnu general public license v2 0"],
-    "GPL-3.0-only": ["gnu general public license version 3", "gnu general public license v3 0"],
-    "LGPL-2.1-only": ["gnu lesser general public license version 2 1", "gnu lesser general public license v2 1"],
-    "LGPL-3.0-only": ["gnu lesser general public license version 3", "gnu lesser general public license v3 0"],
-    "AGPL-3.0-only": ["gnu affero general public license version 3", "gnu affero general public license v3 0"],
     "MPL-2.0": ["mozilla public license version 2 0", "mozilla public license 2 0"],
-    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0"],
-    "BSL-1.0": ["boost software license version 1 0"],
+    "MPL-1.1": ["mozilla public license version 1 1", "mozilla public license 1 1"],
+    "EPL-1.0": ["eclipse public license version 1 0", "eclipse public license v 1 0"],
+    "EPL-2.0": ["eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v 2 0"],
+    "BSL-1.0": ["boost software license version 1 0", "boost software license version 1 0 august 17th 2003"],
     "Zlib": ["zlib license"],
     "Unlicense": ["unlicense"],
     "CC0-1.0": ["creative commons zero v1 0 universal", "cc0 1 0 universal"],
+    "Artistic-2.0": ["artistic license 2 0", "artistic license version 2 0"],
+    "EUPL-1.2": ["european union public licence v 1 2", "european union public licence 1 2"],
+    "OFL-1.1": ["sil open font license version 1 1", "sil open font license version 1 1 26 february 2007"],
+    "CDDL-1.0": ["common development and distribution license version 1 0"],
+    "WTFPL": ["do what the fuck you want to public license"],
+    "MS-PL": ["microsoft public license"],
+    "NCSA": ["university of illinois ncsa open source license"],
+}
+# GNU licences, their versions and the dates of their texts.
+GNU = {
+    "GPL": ("gnu general public license", {"2.0": "june 1991", "3.0": "29 june 2007"}),
+    "LGPL": ("gnu lesser general public license", {"2.1": "february 1999", "3.0": "29 june 2007"}),
+    "AGPL": ("gnu affero general public license", {"3.0": "19 november 2007"}),
 }
+for _short, (_name, _versions) in GNU.items():
+    for _version, _date in _versions.items():
+        _number = _version.replace(".", " ")
+        _called = [f"{_name} {v}" for v in dict.fromkeys([f"version {_number.removesuffix(' 0')}", f"version {_number}", f"v{_number}", f"v{_number.removesuffix(' 0')}"])]
+        NAMES[f"{_short}-{_version}-only"] = [*_called, f"{_called[0]} {_date}", f"{_called[0]} only"]
+        NAMES[f"{_short}-{_version}-or-later"] = [f"{c} or {later}" for c in _called for later in ("later", "any later version", "at your option any later version")]
+# The terms of Creative Commons licences.
+COMMONS = {"BY": "attribution", "BY-SA": "attribution sharealike", "BY-NC": "attribution noncommercial", "BY-ND": "attribution noderivatives", "BY-NC-SA": "attribution noncommercial sharealike", "BY-NC-ND": "attribution noncommercial noderivatives"}
+for _short, _name in COMMONS.items():
+    for _version, _kind in (("3.0", "unported"), ("4.0", "international")):
+        _number, _letters = _version.replace(".", " "), _short.lower().replace("-", " ")
+        NAMES[f"CC-{_short}-{_version}"] = [f"creative commons {_name} {_number} {_kind} license", f"creative commons {_name} {_number} license", f"cc {_letters} {_number}", f"cc {_letters} {_number} license"]
 #: What notices say of a name; a name alone is a heading.
-NOTICES = ["{}", "released under the {}", "licensed under the {}", "distributed under the {}", "this project is licensed under the {}", "this work is licensed under the {}", "this software is licensed under the {}"]
+NOTICES = ["{}", "released under the {}", "licensed under the {}", "distributed under the {}", "this project is licensed under the {}", "this work is licensed under the {}", "this software is licensed under the {}", "licensed under {}", "this work is licensed under a {}", "licensed under a {}"]
+# Identifiers of expressions besides those above; older ones of GNU licences mean the version alone.
+FURTHER = ["0BSD", "MIT-0", "BSD-4-Clause", "PostgreSQL", "Python-2.0", "Ruby", "OSL-3.0", "AFL-3.0", "CECILL-2.1", "LGPL-2.0-only", "LGPL-2.0-or-later", "X11", "Vim", "curl", "OpenSSL", "PHP-3.01", "W3C", "ODbL-1.0"]
 
 
 def plain(name: str) -> str:
@@ -100,9 +145,16 @@ def notice_of(licence: str) -> str:
 
 
 for _licence, _names in NAMES.items():
-    for _notice in [*(n.format(name) for n in NOTICES for name in _names), f"spdx license identifier {plain(_licence)}"]:
+    for _notice in [n.format(name) for n in NOTICES for name in _names]:
         SENTENCES.setdefault(_notice, notice_of(_licence))
 
+#: Terms of identifier expressions, as cut there, and their sentence identifiers.
+TERMS = {plain(i).replace(" or later", "-or-later"): notice_of(i) for i in [*NAMES, *FURTHER]}
+TERMS |= {t.removesuffix(" only"): i for t, i in TERMS.items() if t.endswith(" only")}
+EXPRESSION = "spdx license identifier "
+for _term, _id in TERMS.items():  # for one that runs over two lines
+    SENTENCES.setdefault(EXPRESSION + plain(_term), _id)
+
 # Licences and the sentence sequences that make them, in the order in which they are tried. A rule uses up
 # the sentences that it matches; those around them don't become neighbours.
 RULES = [
@@ -137,13 +189,28 @@ RULES = [
     ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
     ("CC0-1.0", ["cc0-deed"]),
 ]
-RULES += [(licence, [notice_of(licence)]) for licence in NAMES]
+RULES += [
+    ("Apache-2.0", ["apache-2-definition"]),
+    ("AGPL-3.0-only", ["agpl-3-preamble"]),
+    ("LGPL-3.0-only", ["lgpl-3-preamble"]),
+    ("GPL-3.0-only", ["gpl-3-preamble"]),
+    ("GPL-3.0-only", ["gpl-3-only-grant"]),
+    ("GPL-2.0-only", ["gpl-2-only-grant"]),
+    ("GPL-2.0-only", ["gnu-2-freedom", "gpl-2-freedom"]),
+    ("BSL-1.0", ["bsl-1-grant"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("WTFPL", ["wtfpl-terms"]),
+]
+_BSD = next(i for i, (licence, _) in enumerate(RULES) if licence == "BSD-3-Clause")
+RULES.insert(_BSD, ("BSD-4-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising"]))
+RULES += [(licence, [notice_of(licence)]) for licence in [*NAMES, *FURTHER]]
 
 SPACE = "[ \\t\\n\\r]"
 
 
 def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
+    """Lower case, one space for each run of other characters than a-z and 0-9; a plus after a digit reads "or later"."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, r"([0-9])\+", "$1 or later")), "[^a-z0-9]+", " "))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -151,6 +218,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def constant(value: object, schema: str) -> Column:
+    """A table as one constant of the plan, which Spark reads from its text once."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 #: Longest first, so that of those that start on one line the whole stands before its parts.
 KNOWN = sorted(SENTENCES.items(), key=lambda pair: (-len(pair[0]), pair[0]))
 #: Words of the longest, the lines over which one can run at most.
@@ -175,45 +247,48 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
     A text is cut into lines, and after a full stop, question or exclamation mark before white space. Any run of
-    neighbouring pieces that reads as a known sentence counts. Pieces without letters or digits, as blank lines and those
-    of comment signs, don't stand between neighbours. Only texts that hold a known sentence at all are cut.
-
-    As in the SQL, what stands between two sentence ends or blank lines is looked up whole and, if it has a line break,
-    line by line: a known line that is all of it but for line breaks or signs counts twice.
+    neighbouring pieces that reads as a known sentence counts, once; of those that start at one piece the longest comes
+    first. Pieces without letters or digits, as blank lines and those of comment signs, don't stand between neighbours.
+    A piece that starts as an identifier line gives the identifiers of its expression, joined by "or", "and" and "with",
+    in order; unknown ones give none. Only texts that hold a known sentence or such a line at all are cut.
     """
-    anywhere = f"(?:^| ){branches([s.split(' ') for s in SENTENCES])}(?: |$)"
-    parts = F.split(F.regexp_replace(text, f"([.!?]){SPACE}+", "$1\n\n"), f"\n{SPACE}*\n")
-
-    def lines(part: Column) -> Column:
-        def pairs(whole: Column) -> Column:
-            return F.transform(F.transform(F.split(part, "\n"), normalised), lambda s: F.struct(s.alias("s"), (part.contains("\n") & (s == whole)).alias("twice")))
-
-        return let(normalised(part), pairs)
-
-    pieces = F.filter(F.flatten(F.transform(parts, lines)), lambda x: x.s != "")
-    known = F.array(*[F.struct(F.lit(f"{s} ").alias("s"), F.lit(i).alias("id"), F.lit(len(s) + 1).alias("end")) for s, i in KNOWN])
+    anywhere = f"(?:^| )(?:{EXPRESSION.strip()}|{branches([s.split(' ') for s in SENTENCES])})(?: |$)"
+    pieces = F.filter(F.transform(F.split(F.regexp_replace(text, f"([.!?]){SPACE}+", "$1\n"), "\n"), normalised), lambda s: s != "")
+    by_word: dict[str, list[dict]] = {}
+    for s, i in KNOWN:
+        by_word.setdefault(s.split(" ")[0], []).append({"s": f"{s} ", "id": i, "end": len(s) + 1})
+    known = constant(by_word, "map<string, array<struct<s: string, id: string, end: int>>>")
+    terms = constant(TERMS, "map<string, string>")
+    none = F.array().cast("array<string>")
+
+    def expression(piece: Column) -> Column:
+        rest = F.replace(F.substring(piece, len(EXPRESSION) + 1, 2**30), F.lit(" or later"), F.lit("-or-later"))
+        return F.filter(F.transform(F.split(rest, " (?:or|and|with) "), lambda t: F.try_element_at(terms, t)), lambda i: i.isNotNull())
 
     def starting(all_: Column, at: Column) -> Column:
         piece = F.element_at(all_, at)
-        first = F.concat(piece.s, F.lit(" "))
+        first = F.concat(piece, F.lit(" "))
+
+        def near(group: Column) -> Column:
+            def found(run: Column) -> Column:
+                words = F.translate(run, "\n", " ")
+                here = F.filter(group, lambda k: words.startswith(k.s) & (F.substring(run, k.end, F.lit(1)) == "\n"))
+                return F.transform(here, lambda k: k.id)
 
-        def found(run: Column) -> Column:
-            words = F.translate(run, "\n", " ")
-            here = F.filter(known, lambda k: words.startswith(k.s) & (F.substring(run, k.end, F.lit(1)) == "\n"))
-            return F.flatten(F.transform(here, lambda k: F.array_repeat(k.id, F.when(piece.twice & (k.s == first), 2).otherwise(1))))
+            begins = F.exists(group, lambda k: k.s.startswith(first))
+            return F.when(begins, let(F.concat(F.array_join(F.slice(all_, at, F.lit(LINES)), "\n"), F.lit("\n")), found)).otherwise(none)
 
-        begins = F.exists(known, lambda k: k.s.startswith(first))
-        return F.when(begins, let(F.concat(F.array_join(F.transform(F.slice(all_, at, F.lit(LINES)), lambda x: x.s), "\n"), F.lit("\n")), found)).otherwise(F.array().cast("array<string>"))
+        return F.when(piece.startswith(EXPRESSION), expression(piece)).otherwise(let(F.try_element_at(known, F.substring_index(piece, " ", 1)), near))
 
     def runs(all_: Column) -> Column:
         return F.flatten(F.transform(F.sequence(F.lit(1), F.size(all_)), lambda at: starting(all_, at)))
 
-    return F.when(normalised(text).rlike(anywhere), let(pieces, runs)).otherwise(F.array().cast("array<string>"))
+    return F.when(normalised(text).rlike(anywhere), let(pieces, runs)).otherwise(none)
 
 
 def licences(ids: Column) -> Column:
     """Licences of an identifier sequence, by the first rule first, each once; rules match neighbouring identifiers."""
-    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f",{i}," for i in seq)).alias("seq")) for name, seq in RULES])
+    rules = constant([{"name": name, "seq": "".join(f",{i}," for i in seq)} for name, seq in RULES], "array<struct<name: string, seq: string>>")
     start = F.struct(F.array_join(F.transform(ids, lambda i: F.concat(F.lit(","), i, F.lit(","))), "").alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def apply(state: Column, rule: Column) -> Column:
@@ -243,23 +318,32 @@ def op4_licence_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    known = ", ".join(f"('{s}', '{s.split(' ')[0]}', '{i}')" for s, i in SENTENCES.items())
+    terms = ", ".join(f"('{t}', '{i}')" for t, i in TERMS.items())
     rest = "',' || array_to_string(ids, ',,') || ','"
     steps = [f"z0 AS (SELECT doc_id, ids, {rest} AS rest, [] :: VARCHAR[] AS found FROM seq)"]
     for n, (name, seq) in enumerate(RULES, 1):
         pattern = ",,".join(seq)
         steps.append(f"z{n} AS (SELECT doc_id, ids, replace(rest, ',{pattern},', '|') AS rest, CASE WHEN contains(rest, ',{pattern},') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM z{n - 1})")
     return rf"""
-WITH k(s, id) AS (VALUES {known}),
+WITH k(s, w, id) AS (VALUES {known}), x(term, id) AS (VALUES {terms}),
 p AS (
-  SELECT row, doc_id, unnest(ps) AS piece, generate_subscripts(ps, 1) AS a
-  FROM (SELECT row_number() OVER () AS row, doc_id, string_split_regex(regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(10) || chr(10), 'g'), '\n[ \t\n\r]*\n') AS ps FROM documents)),
-c AS (
-  SELECT row, doc_id, a, unnest(ls) AS s, generate_subscripts(ls, 1) AS b
-  FROM (SELECT row, doc_id, a, CASE WHEN contains(piece, chr(10)) THEN list_concat([piece], string_split(piece, chr(10))) ELSE [piece] END AS ls FROM p)),
-seq AS (
-  SELECT row, doc_id, list(k.id ORDER BY a, b) AS ids
-  FROM c JOIN k ON k.s = trim(regexp_replace(lower(c.s), '[^a-z0-9]+', ' ', 'g')) GROUP BY row, doc_id),
+  SELECT row_number() OVER () AS row, doc_id, list_filter(list_transform(
+    string_split(regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(10), 'g'), chr(10)),
+    lambda l: trim(regexp_replace(lower(regexp_replace(l, '([0-9])\+', '\1 or later', 'g')), '[^a-z0-9]+', ' ', 'g'))), lambda s: s <> '') AS ps
+  FROM documents),
+c AS (SELECT row, doc_id, ps, unnest(ps) AS s, generate_subscripts(ps, 1) AS n FROM p),
+r AS (
+  SELECT row, doc_id, n, k.s AS known, k.id, array_to_string(ps[n : n + {LINES - 1}], chr(10)) || chr(10) AS run
+  FROM c JOIN k ON k.w = split_part(c.s, ' ', 1) AND starts_with(k.s || ' ', c.s || ' ') AND NOT starts_with(c.s, '{EXPRESSION}')),
+e AS (
+  SELECT row, doc_id, n, unnest(ts) AS term, generate_subscripts(ts, 1) AS i
+  FROM (SELECT row, doc_id, n, string_split_regex(replace(substr(s, {len(EXPRESSION) + 1}), ' or later', '-or-later'), ' (?:or|and|with) ') AS ts FROM c WHERE starts_with(s, '{EXPRESSION}'))),
+hit AS (
+  SELECT row, doc_id, n, -length(known) AS i, known, id FROM r
+  WHERE starts_with(replace(run, chr(10), ' '), known || ' ') AND substr(run, length(known) + 1, 1) = chr(10)
+  UNION ALL SELECT row, doc_id, n, i, '', x.id FROM e JOIN x ON e.term = x.term),
+seq AS (SELECT row, doc_id, list(id ORDER BY n, i, known) AS ids FROM hit GROUP BY row, doc_id),
 {", ".join(steps)}
 SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(found, ',') AS licences, CAST(len(ids) AS BIGINT) AS n_sentences FROM z{len(RULES)}
 """

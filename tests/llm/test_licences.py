@@ -1,3 +1,5 @@
+import re
+
 from solvara.llm import licences
 
 MIT = """Copyright (c) someone
@@ -43,7 +45,8 @@ def test_sequences_and_single_sentences(spark):
 
 def test_no_python_and_no_shuffle_in_the_plan(spark):
     plan = licences.licence_scan(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+    nodes = re.findall(r"^[\s:*+()0-9-]*([A-Za-z]+)", plan, re.M)  # a licence is called Python-2.0, so names of nodes only
+    assert nodes and not [n for n in nodes if re.search("Python|Pandas|Arrow|Exchange", n)] and "pythonUDF" not in plan
 
 
 def test_empty_and_repeated(spark):
@@ -140,8 +143,6 @@ def test_identifiers_names_and_headings(spark):
 
 
 def test_pattern_of_all_sentences():
-    import re
-
     pattern = re.compile(f"(?:^| ){licences.branches([s.split(' ') for s in licences.SENTENCES])}(?: |$)")
     for s in licences.SENTENCES:
         assert pattern.search(s) and pattern.search(f"a {s} b")
@@ -154,3 +155,75 @@ def test_a_very_long_text_and_one_evaluation(spark):
     assert licences.licence_scan(df).collect()[0].licences == ["all-rights-reserved"]
     plan = licences.licence_scan(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("permission is hereby granted free of charge") <= 2  # in the pattern's words, and once among the known
+
+
+def recognised(text):
+    """The plain way: every run of lines against every known sentence."""
+    def plain(line):
+        return re.sub("[^a-z0-9]+", " ", re.sub(r"([0-9])\+", r"\1 or later", line).lower()).strip()
+
+    pieces = [p for p in map(plain, re.sub(r"([.!?])[ \t\n\r]+", r"\1\n", text).split("\n")) if p]
+    ids = []
+    for at, piece in enumerate(pieces):
+        if piece.startswith("spdx license identifier "):
+            terms = re.split(" (?:or(?! later)|and|with) ", piece.removeprefix("spdx license identifier "))
+            ids += [licences.TERMS[t] for t in (t.replace(" or later", "-or-later") for t in terms) if t in licences.TERMS]
+            continue
+        for end in range(len(pieces), at, -1):
+            ids += [licences.SENTENCES[s] for s in [" ".join(pieces[at:end])] if s in licences.SENTENCES]
+    found = []
+    rest = "".join(f",{i}," for i in ids)
+    for name, seq in licences.RULES:
+        pattern = "".join(f",{i}," for i in seq)
+        if pattern in rest:
+            rest = rest.replace(pattern, "|")
+            found += [] if name in found else [name]
+    return ids, found
+
+
+def test_equals_the_plain_recogniser_and_the_sql(spark):
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(4)
+    whole = [*(s for s in licences.SENTENCES if len(s) < 400), *(f"SPDX-License-Identifier: {i}" for i in ("MIT", "GPL-2.0+", "Apache-2.0 OR MIT", "(GPL-3.0-or-later WITH x) AND ISC", "none"))]
+    texts = [MIT, APACHE, GPL, ISC, MPL, "", None]
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            words = rng.choice([*rng.sample(whole, 3), "other words", "the"]).split(" ")
+            if rng.random() < 0.4 and len(words) > 2:
+                words[rng.randrange(1, len(words))] = "\n" + rng.choice(["", "// ", "\n", "#\n"]) + words[-1]
+            parts.append(rng.choice(["", "// ", " * "]) + " ".join(words) + rng.choice([".", "", "!", ". "]))
+        texts.append(rng.choice(["\n", "\n\n", " ", "\n//\n"]).join(parts))
+    wanted = {i: recognised(t) for i, t in enumerate(texts) if t}
+    got = found(spark, texts)
+    assert got == {i: w for i, w in wanted.items() if w[0]} and len(got) > 60
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    assert {r[0]: (r[1].split(","), r[2].split(",") if r[2] else []) for r in duckdb.query_df(documents, "documents", licences.OP4_SQL).fetchall()} == got
+
+
+def test_comment_signs_count_nothing_twice(spark):
+    lines = ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+             "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+             "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."]
+    got = found(spark, ["\n".join(f"//\n{x}" for x in lines), "\n".join(lines), "//\nLicensed under the MIT license."])
+    assert got[0] == got[1] == (["bsd-grant", "bsd-source", "bsd-binary"], ["BSD-2-Clause"]) and got[2] == (["mit-notice"], ["MIT"])
+
+
+def test_expressions_and_heads_of_whole_texts(spark):
+    texts = {
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+        "# SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0": ["GPL-2.0-or-later"],
+        "/* SPDX-License-Identifier: GPL-2.0+ */": ["GPL-2.0-or-later"],
+        "SPDX-License-Identifier: GPL-2.0": ["GPL-2.0-only"],
+        "SPDX-License-Identifier: (LGPL-2.1-only AND BSD-3-Clause)": ["BSD-3-Clause", "LGPL-2.1-only"],
+        "Licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": ["CC-BY-SA-3.0"],
+        "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright (C) 2007\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.": ["GPL-3.0-only"],
+        "   Apache License\n   Version 2.0, January 2004\n  http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION": ["Apache-2.0"],
+        "Licensed under the GNU General Public License v3 or later.": ["GPL-3.0-or-later"],
+    }
+    got = found(spark, list(texts))
+    assert [got[i][1] for i in range(len(texts))] == list(texts.values())
