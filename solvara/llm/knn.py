@@ -14,10 +14,14 @@ BLOCK_ROWS, PIVOTS, SCORED = 8192, 256, 256
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """(vec_id, v): components as floor(scale * x). Null ids, null vectors and null or non-finite components take no part."""
+    """(vec_id, v): components as floor(scale * x). Null ids, null vectors and null or non-finite components take no part.
+
+    A component that doesn't fit a long (2**62 or more in size after scaling) raises an error.
+    """
+    large = F.raise_error(F.lit("a scaled component doesn't fit a long")).cast("long")
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-    return rows.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("v"))
+    return rows.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.when(F.abs(scale * x.cast("double")) < 2.0**62, F.floor(scale * x.cast("double")).cast("long")).otherwise(large)).alias("v"))
 
 
 def matrix(column) -> np.ndarray:
@@ -27,9 +31,16 @@ def matrix(column) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: by floating point while sums stay below 2**53, else by integers."""
-    top = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(float) @ b.astype(float).T).astype(np.int64) if top < 2**53 else a @ b.T
+    """Exact inner products: by floating point while sums stay below 2**53, else by integers; an error where one doesn't fit a long."""
+    top = max(int(a.max(initial=0)), -int(a.min(initial=0))) * max(int(b.max(initial=0)), -int(b.min(initial=0))) * a.shape[1]
+    if top < 2**53:
+        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
+    if top < 2**63:
+        return a @ b.T
+    exact = a.astype(object) @ b.astype(object).T
+    if exact.size and (exact.max() >= 2**63 or exact.min() < -(2**63)):
+        raise OverflowError("an inner product doesn't fit a long")
+    return exact.astype(np.int64)
 
 
 def best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -54,7 +65,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     A query doesn't meet rows of its own id. Vectors of another length than the query's don't meet it. Ties go to the
     smaller vec_id; repeated rows of one id and vector can each be in a result. Too few rows give all there are; empty
-    tables give no rows.
+    tables give no rows. A product of compared rows that doesn't fit a long raises an error.
     """
     spark = vectors.sparkSession
     alike = Window.partitionBy("v").orderBy("vec_id")
@@ -63,9 +74,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     n = rows.count()
     want = int(min(PIVOTS, max(1, n**0.5 / 8)))
     pivot_rows = rows.select("d", "v").distinct().withColumn("h", F.xxhash64("v")).orderBy("h", "v").limit(want).collect()
-    for d in [r.d for r in rows.select("d").distinct().collect()]:  # lengths without a pivot get one
-        if all(p.d != d for p in pivot_rows):
-            pivot_rows += rows.where(F.col("d") == d).select("d", "v").orderBy("v").limit(1).collect()
+    met = [p.d for p in pivot_rows]
+    pivot_rows += rows.where(~F.col("d").isin(met)).groupBy("d").agg(F.min("v").alias("v")).collect()  # a row for each length without a pivot
     if not pivot_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     pivots = {d: (np.array([i for i, p in enumerate(pivot_rows) if p.d == d]), np.array([p.v for p in pivot_rows if p.d == d], dtype=float)) for d in {p.d for p in pivot_rows}}
@@ -133,7 +143,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def op8_knn_join(spark, sf_dir: str) -> DataFrame:
-    """The 5 best of all vectors for each whose id is divisible by 50."""
+    """The 5 best of all vectors for each whose id is divisible by 50; of rows with one such id, the least vector asks."""
     vectors = quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     queries = vectors.where("vec_id % 50 = 0").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     return top_k(vectors, queries, 5)

@@ -61,3 +61,34 @@ def test_repeated_query_rows_and_equal_vectors(spark, monkeypatch, times):
     alike = [(1000 * q + i, rows[q][1]) for q in (0, 50, 100) for i in range(1, 9)]
     rows += alike + [rows[q] for q in range(0, 600, 50) for _ in range(times - 1)] + [alike[0]] * (times - 1) + [rows[7]] * 3
     assert got(spark, rows) == brute(rows)
+
+
+def test_repeated_query_ids_and_many_lengths(spark):
+    rows = [*vectors(4, 200), (50, vectors(5, 1)[0][1]), (100, [9.0] * 8), (100, [-9.0] * 8)]
+    rows += [(1000 + 50 * n + i, [float(i + j) for j in range(n)]) for n in range(9, 40) for i in (0, 1, 2)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_products_up_to_the_longs_range():
+    import numpy as np
+
+    big = np.array([[2**31, -(2**31)], [2**31, 2**31 - 1]], dtype=np.int64)
+    assert knn.products(big, big[1:]).tolist() == [[2**31], [2**62 + (2**31 - 1) ** 2]]
+    low = np.array([[-(2**62), 2]], dtype=np.int64)
+    assert knn.products(low, np.array([[2, 0]])).tolist() == [[-(2**63)]]
+    with pytest.raises(OverflowError):
+        knn.products(low, np.array([[-2, 0]]))
+
+
+def test_components_and_products_beyond_a_long_are_errors(spark):
+    for rows in ([(50, [1e30]), (1, [1.0])], [(50, [3e9, 3e9]), (1, [3e9, 3e9])]):
+        with pytest.raises(Exception, match="fit a long"):
+            got(spark, rows)
+
+
+def test_clashing_columns(spark):
+    rows = [(i, v, "x", i, -i, 3, 0.5) for i, v in vectors(6, 120)]
+    wide = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, d long, cell long, rank int, score double")
+    v = knn.quantised(wide)
+    q = v.where("vec_id % 50 = 0").groupBy("vec_id").agg({"v": "min"}).toDF("query_id", "v")
+    assert sorted(map(tuple, knn.top_k(v, q).collect())) == brute([r[:2] for r in rows])
