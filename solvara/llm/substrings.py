@@ -21,7 +21,13 @@ MINIMISER, RUN = 3, 64
 #: Bytes of packed strings that a bucket holds, about, before compression; a text's strings overlap, and take some
 #: EXPANSION times its bytes.
 BUCKET_BYTES, EXPANSION = 6 << 20, 4
-#: A null doc_id comes after all others.
+#: Frames that a chunk's strings go to at most, and bytes of frames that are cut into finer ones at once.
+FAN, CUT_BYTES = 512, 4 << 20
+#: A minimiser of fewer strings is never hot.
+LEAST_HOT = 4
+#: Bits of the filter of hot minimisers at most (8 MB), and for each of them.
+FILTER_BITS, BITS_EACH = 1 << 26, 16
+#: A null doc_id comes after all others; a real id of this value is taken for one.
 LAST = np.iinfo(np.int64).max
 RUN_WEIGHTS = multipliers(8, RUN)
 
@@ -60,8 +66,9 @@ def pack(arrays: list[np.ndarray]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(len(b := np.ascontiguousarray(a).tobytes()).to_bytes(8, "little") + b for a in arrays))
 
 
-#: Types of a packed string's arrays: doc_id, tag in 16-bit parts, first window's word, windows, bytes of text, text.
-PACKED = (np.int64, np.uint16, np.int32, np.uint8, np.int32, np.uint8)
+#: Types of a packed string's arrays: doc_id, tag in 16-bit parts, first window's word, windows, bytes of text, text, and,
+#: in frames of several buckets, bucket.
+PACKED = (np.int64, np.uint16, np.int32, np.uint8, np.int32, np.uint8, np.int32)
 #: Types of a list of spans: doc_id, tag, first word, end.
 SPANS = (np.int64, np.int64, np.int32, np.int32)
 
@@ -69,6 +76,8 @@ SPANS = (np.int64, np.int64, np.int32, np.int32)
 def unpack(blob: bytes, types: tuple) -> list[np.ndarray]:
     plain, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     for kind in types:
+        if at == len(plain):  # the last array isn't in every frame
+            break
         size = int.from_bytes(plain[at : at + 8], "little")
         out.append(np.frombuffer(plain, kind, size // np.dtype(kind).itemsize, at + 8))
         at += 8 + size
@@ -95,10 +104,6 @@ def later(doc: np.ndarray, *content: np.ndarray) -> np.ndarray:
     return out
 
 
-#: A minimiser is looked at in a chunk where it leads so many strings at least.
-LEAST_SEEN = 4
-
-
 def merged_strings(batch: pa.RecordBatch, k: int):
     """The super-k-mers of a batch, and which of them only repeat an equal one of a lesser document of the batch.
 
@@ -122,36 +127,76 @@ def merged_strings(batch: pa.RecordBatch, k: int):
     return words, at, first, count, minimiser, windows, place, doc, tag, start, repeats
 
 
-def hot_minimisers(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
-    """Minimisers that lead more strings than a mean bucket holds, from counts over all documents, sorted.
+class Filter:
+    """A set of minimisers as bits, two for each: members are always found, a few others too."""
+
+    def __init__(self, size: int, words: np.ndarray, masks: np.ndarray):
+        self.size, self.bits = size, np.zeros(size >> 6, dtype=U64)
+        self.bits[words] = masks
+
+    def has(self, minimiser: np.ndarray) -> np.ndarray:
+        out = np.ones(len(minimiser), dtype=bool)
+        for shift in (0, 26):
+            place = (minimiser >> U64(shift)) & U64(self.size - 1)
+            out &= (self.bits[place >> U64(6)] >> (place & U64(63))) & U64(1) != 0
+        return out
 
-    A chunk reports those above half a bucket's share of its strings, so at most 2 * buckets of them; there are at most
-    2 * buckets hot ones in all, 16 bytes for BUCKET_BYTES. Text beside a passage that very many documents have would
-    else meet in one bucket.
+
+def hot_minimisers(docs: DataFrame, k: int, buckets: int) -> Filter:
+    """Minimisers that lead more strings than half a mean bucket holds, from counts of all strings of all documents.
+
+    Text beside a passage that very many documents have would else meet in one bucket. Counts are added up by the shuffle;
+    the driver gets the hot ones as bits of a filter of FILTER_BITS at most. What the filter takes for hot beside these is
+    cut into windows too, which gives equal results.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, size=4 << 20):
             if found := merged_strings(batch, k):
                 values, n = np.unique(found[4][~found[-1]], return_counts=True)
-                keep = n >= max(LEAST_SEEN, n.sum() / (2 * buckets))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(values[keep].view(np.int64), 0)), pa.array(np.append(n[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), n.sum()))], ["minimiser", "n", "all_"])
-
-    seen = small_batches(docs).mapInArrow(run, "minimiser long, n long, all_ long").groupBy("minimiser").agg(F.sum("n").alias("n"), F.sum("all_").alias("all_"))
-    seen = staged(seen)
-    total = seen.agg(F.sum("all_")).first()[0] or 0
-    rows = seen.where(F.col("n") >= max(LEAST_SEEN, total / (2 * buckets))).select("minimiser").collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(U64))
-
-
-def packed_strings(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> DataFrame:
-    """(bucket, blob): super-k-mers by bucket of their minimiser, and spans already known to repeat (bucket below 0).
+                yield pa.RecordBatch.from_arrays([pa.array([*values.view(np.int64).tolist(), None], pa.int64()), pa.array(np.append(n, n.sum()))], ["minimiser", "n"])  # a null has all
+
+    counts = small_batches(docs).mapInArrow(run, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
+    counts = staged(counts.where(F.col("minimiser").isNull() | (F.col("n") >= LEAST_HOT)))
+    total = counts.where("minimiser is null").agg(F.sum("n")).first()[0] or 0
+    counts = counts.where("minimiser is not null")
+    hot = staged(counts.where(F.col("n") >= total / (2 * buckets)).select("minimiser"))
+    size = min(FILTER_BITS, max(1 << 10, 1 << (BITS_EACH * hot.count()).bit_length()))
+    places = hot.select(F.explode(F.array(*[F.shiftrightunsigned("minimiser", shift).bitwiseAND(F.lit(size - 1)) for shift in (0, 26)])).alias("place"))
+    masks = places.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask")).toArrow()  # FILTER_BITS / 64 rows at most
+    return Filter(size, masks["word"].to_numpy(), masks["mask"].to_numpy().view(U64))
+
+
+def framed(width: int, bucket: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Strings (bytes ``low`` to ``high`` of ``data``) in one frame for each range of ``width`` buckets: ranges and frames."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, doc, tag, start, count, low, high = (x[order] for x in (bucket, doc, tag, start, count, low, high))
+    ranges, edges = np.unique(bucket // width, return_index=True)
+    blobs = []
+    for begin, end in zip(edges, np.append(edges[1:], len(bucket))):
+        part = slice(begin, end)
+        size = high[part] - low[part]
+        arrays = [doc[part], tag[part].astype("<i8").view("<u2"), start[part], count[part], size, data[ragged(low[part], size)]]
+        arrays += [bucket[part]] if width > 1 else []
+        blobs.append(pack([a.astype(t, copy=False) for a, t in zip(arrays, PACKED)]))
+    return ranges.tolist(), blobs
+
+
+def unframed(blobs: list[bytes]) -> list[np.ndarray]:
+    """The arrays of several frames, one after the other, tags whole."""
+    parts = [unpack(b, PACKED) for b in blobs]
+    return [np.concatenate(x) for x in zip(*([p[0], whole_tags(p[1], len(p[0])), *p[2:]] for p in parts))]
+
+
+def packed_strings(docs: DataFrame, k: int, buckets: int, hot: Filter, width: int = 1) -> DataFrame:
+    """(bucket, salt, blob): super-k-mers by range of ``width`` buckets of their minimiser, and spans already known to repeat (bucket below 0).
 
     Before anything is sent, equal super-k-mers of a chunk are merged: only the least document's go on, the others'
     windows are known to repeat; these need no comparison, so each chunk's go whole to a bucket that task and number of the
     chunk choose, as many to one as to another. So copies and common passages cost one string a chunk, not one a document. Strings of
     a hot minimiser are cut into single windows, merged likewise, which spread over all buckets by their own hash.
     """
+    held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -161,7 +206,8 @@ def packed_strings(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> Da
                 continue
             words, at, first, count, minimiser, windows, place, doc, tag, start, repeats = found
             out_bucket, out_blob = [], []
-            single = ~repeats & np.isin(minimiser, hot)
+            salt = int(mixed(np.array([task << 32 | number], U64))[0] >> U64(33))
+            single = ~repeats & held.value.has(minimiser)
             go = np.flatnonzero(~repeats & ~single)
             alone = np.flatnonzero(np.repeat(single, count))  # windows of the hot strings
             of = np.repeat(np.arange(len(first)), count)[alone]
@@ -169,23 +215,51 @@ def packed_strings(docs: DataFrame, k: int, buckets: int, hot: np.ndarray) -> Da
             known = [np.append(doc[repeats], doc[of][again]), np.append(tag[repeats], tag[of][again])]
             known += [np.append(start[repeats], start[of][again] + place[alone][again]).astype(np.int32), np.append(start[repeats] + count[repeats] + k - 1, start[of][again] + place[alone][again] + k).astype(np.int32)]
             if len(known[0]):
-                out_bucket.append(-1 - int(mixed(np.array([task << 32 | number], U64))[0] % U64(buckets)))
+                out_bucket.append(-1 - salt % buckets)
                 out_blob.append(pack(known))
             alone, of = alone[~again], of[~again]
             bucket = (np.concatenate([mixed(minimiser[go]), mixed(windows[alone])]) % U64(buckets)).astype(np.int64)
-            doc, tag, start = np.append(doc[go], doc[of]), np.append(tag[go], tag[of]), np.append(start[go], start[of] + place[alone]).astype(np.int32)
             begin, count = np.append(at[first[go]], at[alone]), np.append(count[go], np.ones(len(alone), np.int64))
-            g_order = np.argsort(bucket, kind="stable")
-            doc, tag, start, begin, count = doc[g_order], tag[g_order], start[g_order], begin[g_order], count[g_order]
-            occupied, edges = np.unique(bucket[g_order], return_index=True)  # a chunk's work follows its strings, not the number of buckets
-            low, high = words.starts[begin], words.ends[begin + count + k - 2]
-            for b, begin_, end_ in zip(occupied.tolist(), edges, np.append(edges[1:], len(bucket))):
-                part = slice(begin_, end_)
-                out_bucket.append(b)
-                out_blob.append(pack([doc[part], tag[part].astype("<i8").view("<u2"), start[part], count[part].astype(np.uint8), (high - low)[part].astype(np.int32), words.data[ragged(low[part], (high - low)[part])]]))
-            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
+            ranges, blobs = framed(width, bucket, np.append(doc[go], doc[of]), np.append(tag[go], tag[of]), np.append(start[go], start[of] + place[alone]), count, words.starts[begin], words.ends[begin + count + k - 2], words.data)
+            out_bucket, out_blob = out_bucket + ranges, out_blob + blobs
+            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array([salt] * len(out_bucket), pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "salt", "blob"])
+
+    return small_batches(docs).mapInArrow(run, "bucket int, salt int, blob binary")
+
+
+def cut_finer(strings: DataFrame, width: int, partitions: int) -> DataFrame:
+    """Frames of FAN * ``width`` buckets as frames of ``width`` buckets.
 
-    return small_batches(docs).mapInArrow(run, "bucket int, blob binary")
+    A range's frames are dealt to several tasks by their chunks' salts; a task sorts them by range and cuts CUT_BYTES of
+    them at once, so neither its memory nor a chunk's frames grow with the number of buckets. Known spans pass through.
+    """
+    salts = -(-partitions // FAN)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size, salt = None, [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            if at < 0:
+                ranges, blobs = [at] * len(held), held
+            else:
+                doc, tag, start, count, length, data, bucket = unframed(held)
+                ends = np.cumsum(length, dtype=np.int64)
+                ranges, blobs = framed(width, bucket.astype(np.int64), doc, tag, start, count, ends - length, ends, data)
+            return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([salt] * len(ranges), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "salt", "blob"])
+
+        for batch in batches:
+            for bucket, salt_, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "salt", "blob"))):
+                if held and (bucket != at or size > CUT_BYTES):
+                    yield out()
+                    held, size = [], 0
+                at, salt, size = bucket, salt_, size + len(blob)
+                held.append(blob)
+        if held:
+            yield out()
+        release()
+
+    dealt = strings.repartition(partitions, "bucket", F.pmod("salt", F.lit(salts))).sortWithinPartitions("bucket")
+    return small_batches(dealt).mapInArrow(run, "bucket int, salt int, blob binary")
 
 
 def spans_in(table: pa.Table, k: int) -> pa.Table:
@@ -198,9 +272,7 @@ def spans_in(table: pa.Table, k: int) -> pa.Table:
     if table.column("bucket")[0].as_py() < 0:
         out = [unpack(b, SPANS) for b in blobs]
     else:
-        parts = [unpack(b, PACKED) for b in blobs]
-        parts = [[p[0], whole_tags(p[1], len(p[0])), *p[2:]] for p in parts]
-        doc, tag, start, count, size, data = (np.concatenate(x) for x in zip(*parts))
+        doc, tag, start, count, size, data = unframed(blobs)
         count = count.astype(np.int64)
         strings = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]).tobytes()), pa.py_buffer(data))
         words = Words(strings)
@@ -242,15 +314,22 @@ def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
     """Per document with repeats: __doc (doc_id, a null as the greatest number), __tag, spans of words [start, end).
 
     The number of buckets follows from the bytes of all texts, so that a bucket doesn't grow with the corpus; the same
-    for the number of partitions that buckets are dealt to. Equal strings of a chunk are merged by two 64-bit sums of
+    for the number of partitions that buckets are dealt to. A chunk sends one frame to each of FAN ranges of buckets at most;
+    with more than FAN buckets, ranges are cut finer by a further shuffle for each power of FAN. Equal strings of a chunk are merged by two 64-bit sums of
     their windows' hashes.
     """
     tagged = docs.select(F.col("doc_id").cast("long"), tag().alias("tag"), "text")
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = tagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets or max(6 * least, -(-EXPANSION * size // BUCKET_BYTES))
-    strings = packed_strings(tagged, k, buckets, hot_minimisers(tagged, k, buckets))
-    spans = strings.repartition(max(least, buckets // 8), "bucket").groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag long, start int, end int")
+    partitions, width = max(least, buckets // 8), 1
+    while buckets > FAN * width:
+        width *= FAN
+    strings = packed_strings(tagged, k, buckets, hot_minimisers(tagged, k, buckets), width)
+    while width > 1:
+        width //= FAN
+        strings = cut_finer(strings, width, partitions)
+    spans = strings.drop("salt").repartition(partitions, "bucket").groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag long, start int, end int")
     lists = spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return lists.mapInArrow(merged, "__doc long, __tag long, spans array<struct<start: int, end: int>>")
 
