@@ -21,8 +21,6 @@ MINIMISER, RUN = 3, 64
 #: Bytes of packed strings that a bucket holds, about, before compression; a text's strings overlap, and take some
 #: EXPANSION times its bytes.
 BUCKET_BYTES, EXPANSION = 6 << 20, 4
-#: Frames that a chunk's strings go to at most, and bytes of frames that are cut into finer ones at once.
-FAN, CUT_BYTES = 512, 4 << 20
 #: A minimiser of fewer strings is never hot.
 LEAST_HOT = 4
 #: Bits of the filter of hot minimisers at most (8 MB), and for each of them.
@@ -66,9 +64,8 @@ def pack(arrays: list[np.ndarray]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(b"".join(len(b := np.ascontiguousarray(a).tobytes()).to_bytes(8, "little") + b for a in arrays))
 
 
-#: Types of a packed string's arrays: doc_id, tag in 16-bit parts, first window's word, windows, bytes of text, text, and,
-#: in frames of several buckets, bucket.
-PACKED = (np.int64, np.uint16, np.int32, np.uint8, np.int32, np.uint8, np.int32)
+#: Types of a packed string's arrays: doc_id, tag in 16-bit parts, first window's word, windows, bytes of text, text.
+PACKED = (np.int64, np.uint16, np.int32, np.uint8, np.int32, np.uint8)
 #: Types of a list of spans: doc_id, tag, first word, end.
 SPANS = (np.int64, np.int64, np.int32, np.int32)
 
@@ -76,8 +73,6 @@ SPANS = (np.int64, np.int64, np.int32, np.int32)
 def unpack(blob: bytes, types: tuple) -> list[np.ndarray]:
     plain, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
     for kind in types:
-        if at == len(plain):  # the last array isn't in every frame
-            break
         size = int.from_bytes(plain[at : at + 8], "little")
         out.append(np.frombuffer(plain, kind, size // np.dtype(kind).itemsize, at + 8))
         at += 8 + size
@@ -167,19 +162,18 @@ def hot_minimisers(docs: DataFrame, k: int, buckets: int) -> Filter:
     return Filter(size, masks["word"].to_numpy(), masks["mask"].to_numpy().view(U64))
 
 
-def framed(width: int, bucket: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Strings (bytes ``low`` to ``high`` of ``data``) in one frame for each range of ``width`` buckets: ranges and frames."""
+def framed(bucket: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray, data: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Strings (bytes ``low`` to ``high`` of ``data``) in one frame for each bucket that has any: buckets and frames."""
     order = np.argsort(bucket, kind="stable")
     bucket, doc, tag, start, count, low, high = (x[order] for x in (bucket, doc, tag, start, count, low, high))
-    ranges, edges = np.unique(bucket // width, return_index=True)
+    occupied, edges = np.unique(bucket, return_index=True)  # a chunk's work follows its strings, not the number of buckets
     blobs = []
     for begin, end in zip(edges, np.append(edges[1:], len(bucket))):
         part = slice(begin, end)
         size = high[part] - low[part]
         arrays = [doc[part], tag[part].astype("<i8").view("<u2"), start[part], count[part], size, data[ragged(low[part], size)]]
-        arrays += [bucket[part]] if width > 1 else []
         blobs.append(pack([a.astype(t, copy=False) for a, t in zip(arrays, PACKED)]))
-    return ranges.tolist(), blobs
+    return occupied.tolist(), blobs
 
 
 def unframed(blobs: list[bytes]) -> list[np.ndarray]:
@@ -188,8 +182,8 @@ def unframed(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*([p[0], whole_tags(p[1], len(p[0])), *p[2:]] for p in parts))]
 
 
-def packed_strings(docs: DataFrame, k: int, buckets: int, hot: Filter, width: int = 1) -> DataFrame:
-    """(bucket, salt, blob): super-k-mers by range of ``width`` buckets of their minimiser, and spans already known to repeat (bucket below 0).
+def packed_strings(docs: DataFrame, k: int, buckets: int, hot: Filter) -> DataFrame:
+    """(bucket, blob): super-k-mers by bucket of their minimiser, and spans already known to repeat (bucket below 0).
 
     Before anything is sent, equal super-k-mers of a chunk are merged: only the least document's go on, the others'
     windows are known to repeat; these need no comparison, so each chunk's go whole to a bucket that task and number of the
@@ -220,46 +214,11 @@ def packed_strings(docs: DataFrame, k: int, buckets: int, hot: Filter, width: in
             alone, of = alone[~again], of[~again]
             bucket = (np.concatenate([mixed(minimiser[go]), mixed(windows[alone])]) % U64(buckets)).astype(np.int64)
             begin, count = np.append(at[first[go]], at[alone]), np.append(count[go], np.ones(len(alone), np.int64))
-            ranges, blobs = framed(width, bucket, np.append(doc[go], doc[of]), np.append(tag[go], tag[of]), np.append(start[go], start[of] + place[alone]), count, words.starts[begin], words.ends[begin + count + k - 2], words.data)
-            out_bucket, out_blob = out_bucket + ranges, out_blob + blobs
-            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array([salt] * len(out_bucket), pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "salt", "blob"])
+            occupied, blobs = framed(bucket, np.append(doc[go], doc[of]), np.append(tag[go], tag[of]), np.append(start[go], start[of] + place[alone]), count, words.starts[begin], words.ends[begin + count + k - 2], words.data)
+            out_bucket, out_blob = out_bucket + occupied, out_blob + blobs
+            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
 
-    return small_batches(docs).mapInArrow(run, "bucket int, salt int, blob binary")
-
-
-def cut_finer(strings: DataFrame, width: int, partitions: int) -> DataFrame:
-    """Frames of FAN * ``width`` buckets as frames of ``width`` buckets.
-
-    A range's frames are dealt to several tasks by their chunks' salts; a task sorts them by range and cuts CUT_BYTES of
-    them at once, so neither its memory nor a chunk's frames grow with the number of buckets. Known spans pass through.
-    """
-    salts = -(-partitions // FAN)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, size, salt = None, [], 0, 0
-
-        def out() -> pa.RecordBatch:
-            if at < 0:
-                ranges, blobs = [at] * len(held), held
-            else:
-                doc, tag, start, count, length, data, bucket = unframed(held)
-                ends = np.cumsum(length, dtype=np.int64)
-                ranges, blobs = framed(width, bucket.astype(np.int64), doc, tag, start, count, ends - length, ends, data)
-            return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array([salt] * len(ranges), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "salt", "blob"])
-
-        for batch in batches:
-            for bucket, salt_, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "salt", "blob"))):
-                if held and (bucket != at or size > CUT_BYTES):
-                    yield out()
-                    held, size = [], 0
-                at, salt, size = bucket, salt_, size + len(blob)
-                held.append(blob)
-        if held:
-            yield out()
-        release()
-
-    dealt = strings.repartition(partitions, "bucket", F.pmod("salt", F.lit(salts))).sortWithinPartitions("bucket")
-    return small_batches(dealt).mapInArrow(run, "bucket int, salt int, blob binary")
+    return small_batches(docs).mapInArrow(run, "bucket int, blob binary")
 
 
 def spans_in(table: pa.Table, k: int) -> pa.Table:
@@ -314,22 +273,16 @@ def repeated_spans(docs: DataFrame, k: int = 13, buckets: int | None = None) ->
     """Per document with repeats: __doc (doc_id, a null as the greatest number), __tag, spans of words [start, end).
 
     The number of buckets follows from the bytes of all texts, so that a bucket doesn't grow with the corpus; the same
-    for the number of partitions that buckets are dealt to. A chunk sends one frame to each of FAN ranges of buckets at most;
-    with more than FAN buckets, ranges are cut finer by a further shuffle for each power of FAN. Equal strings of a chunk are merged by two 64-bit sums of
+    for the number of partitions that buckets are dealt to. A chunk sends a frame to each bucket that it has
+    strings for, so at most as many as it has strings. Equal strings of a chunk are merged by two 64-bit sums of
     their windows' hashes.
     """
     tagged = docs.select(F.col("doc_id").cast("long"), tag().alias("tag"), "text")
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = tagged.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets or max(6 * least, -(-EXPANSION * size // BUCKET_BYTES))
-    partitions, width = max(least, buckets // 8), 1
-    while buckets > FAN * width:
-        width *= FAN
-    strings = packed_strings(tagged, k, buckets, hot_minimisers(tagged, k, buckets), width)
-    while width > 1:
-        width //= FAN
-        strings = cut_finer(strings, width, partitions)
-    spans = strings.drop("salt").repartition(partitions, "bucket").groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag long, start int, end int")
+    strings = packed_strings(tagged, k, buckets, hot_minimisers(tagged, k, buckets))
+    spans = strings.repartition(max(least, buckets // 8), "bucket").groupBy("bucket").applyInArrow(lambda t: spans_in(t, k), "__doc long, __tag long, start int, end int")
     lists = spans.groupBy("__doc", "__tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return lists.mapInArrow(merged, "__doc long, __tag long, spans array<struct<start: int, end: int>>")
 
