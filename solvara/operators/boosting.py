@@ -8,14 +8,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from solvara.operators.ranking import quantiles, running_totals
-from solvara.storage import staged
+from solvara.storage import Files, shared_dir
 
 #: Bins of a feature's values at most (one more is for missing ones), and trees after which the rows' margins are written anew.
-BINS, WRITTEN = 64, 10
+BINS, WRITTEN = 64, 20
+#: Rows of a block of arrays, and of a partition of blocks at most (a partition a core where that is less).
+BLOCK, PARTITION = 16_384, 10_000_000
 PENALTY, LEAST_WEIGHT = 1.0, 1.0
 
 
@@ -30,12 +33,15 @@ class Tree:
 
     def leaves(self, bins: np.ndarray, levels: int | None = None) -> np.ndarray:
         """The node that each row of binned features (0 for missing) ends in, after so many levels."""
-        node = np.zeros(len(bins), np.int64)
-        for _ in range(int(np.log2(len(self.feature) + 1)) - 1 if levels is None else levels):
-            f = self.feature[node]
-            own = bins[np.arange(len(bins)), np.maximum(f, 0)]
-            left = np.where(own == 0, self.missing_left[node], own <= self.cut[node])
-            node = np.where(f < 0, node, 2 * node + 2 - left)
+        n, d = bins.shape
+        size = len(self.feature)
+        at, bin_ = np.arange(size)[:, None], np.arange(256)
+        left = np.where(bin_ == 0, self.missing_left[:, None], bin_ <= self.cut[:, None])
+        following = np.where(self.feature[:, None] < 0, at, 2 * at + 2 - left).ravel()  # by node and bin
+        feature, flat, first = np.maximum(self.feature, 0), bins.ravel(), np.arange(n) * d
+        node = np.zeros(n, np.int64)
+        for _ in range(int(np.log2(size + 1)) - 1 if levels is None else levels):
+            node = following.take(node * 256 + flat.take(first + feature.take(node)))
         return node
 
 
@@ -52,8 +58,8 @@ class Boosted:
         """Values (NaN for missing) as bins from 1, missing ones as 0."""
         return np.stack([np.where(np.isnan(x), 0, np.searchsorted(e, x, side="left") + 1) for x, e in zip(columns, self.edges)], axis=1)
 
-    def margins(self, bins: np.ndarray, first: int = 0) -> np.ndarray:
-        return sum((t.value[t.leaves(bins)] for t in self.trees[first:]), np.zeros(len(bins)))
+    def margins(self, bins: np.ndarray) -> np.ndarray:
+        return sum((t.value[t.leaves(bins)] for t in self.trees), np.zeros(len(bins)))
 
     def scored(self, df: DataFrame, name: str = "score") -> DataFrame:
         """``df`` with the probability of label 1."""
@@ -107,32 +113,49 @@ def best_split(g: np.ndarray, h: np.ndarray) -> tuple[float, int, int, bool] | N
 def fit(train: DataFrame, features: list[str], label: str, trees: int = 300, depth: int = 4, step: float = 0.05, row_share: float = 0.8, feature_share: float = 0.8, seed: int = 42) -> Boosted:
     """Boosted trees of a logistic loss; positives weigh (1 - p) / p. Rows without a label take no part, one class alone is an error.
 
-    Each level of a tree is one aggregation: tasks add up gradients and second derivatives by node, feature and bin, the
-    driver picks each node's split from these sums (nodes * features * bins numbers). Null and NaN are a bin of their own
-    that goes to the side of greater gain. Which rows and features a tree sees follows from its number and ``seed``.
+    Rows lie as blocks of arrays in as many partitions as there are cores, kept in the executors with their margins. Each level
+    of a tree is one job of one stage: tasks add up gradients and second derivatives by node, feature and bin, the driver
+    adds the tasks' sums (nodes * features * bins numbers a task) and picks each node's split. A tree's values go into
+    the margins once, before the next tree; every ``WRITTEN`` trees these are written to the shared folder, so that
+    a lost executor costs a few trees. Null and NaN are a bin of their own that goes to the side of greater gain. Which
+    rows and features a tree sees follows from its number and ``seed``.
     """
     rows = train.where(F.col(label).isNotNull())
     n, p = rows.agg(F.count("*"), F.avg(F.col(label).cast("double"))).first()
     if not n or p in (0.0, 1.0):
         raise ValueError("boosted trees need both classes")
     model = Boosted(features, bin_edges(rows, features), gain=np.zeros(len(features)))
+    edges = Boosted(features, model.edges)  # what tasks need of it
     width, d = max(len(e) for e in model.edges) + 2, len(features)
 
-    def to_bins(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = model.binned([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]).astype(np.uint8)
-            packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(d), len(bins), [None, pa.py_buffer(np.ascontiguousarray(bins).tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed.cast(pa.binary()), pa.array(np.zeros(len(bins)))], ["row", "y", "bins", "margin"])
+    def to_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def block() -> pa.RecordBatch:
+            row, y, bins = (np.concatenate(parts) for parts in zip(*held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (row, y, bins)], ["row", "y", "bins"])
 
-    schema = "row long, y double, bins binary, margin double"
+        for batch in batches:
+            row, y, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            held.append((row, y.astype(np.uint8), edges.binned(columns).astype(np.uint8)))
+            if sum(len(x[0]) for x in held) >= BLOCK:
+                yield block()
+        if held:
+            yield block()
+
+    def arrays(r) -> tuple[np.ndarray, ...]:
+        row = np.frombuffer(r.row, np.int64)
+        return row, np.frombuffer(r.y, np.uint8), np.frombuffer(r.bins, np.uint8).reshape(len(row), d), np.zeros(len(row))
+
+    context = rows.sparkSession.sparkContext
     given = [F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(f"f{i}") for i, f in enumerate(features)]
     number = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rows.columns]).alias("row")
-    data = staged(rows.select(number, F.col(label).cast("double").alias("y"), *given).mapInArrow(to_bins, schema))
-    written = 0
-
-    def unpacked(batch: pa.RecordBatch) -> np.ndarray:
-        column = batch.column("bins")
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), d)
+    spread = rows.select(number, F.col(label).cast("int").alias("y"), *given).repartition(max(context.defaultParallelism, -(-n // PARTITION)), "row")
+    if not context.getCheckpointDir():
+        shared_dir(rows.sparkSession)
+    data = spread.mapInArrow(to_blocks, "row binary, y binary, bins binary").rdd.map(arrays).persist(StorageLevel.MEMORY_AND_DISK)
+    before, written = None, None
 
     rng = np.random.default_rng(seed)
     for number in range(trees):
@@ -143,28 +166,28 @@ def fit(train: DataFrame, features: list[str], label: str, trees: int = 300, dep
         open_ = [0]
         for level in range(depth):
 
-            def histograms(batches: Iterable[pa.RecordBatch], tree=tree, level=level, number=number, chosen=chosen) -> Iterator[pa.RecordBatch]:
+            def histograms(blocks: Iterable[tuple[np.ndarray, ...]], tree=tree, level=level, number=number, chosen=chosen) -> Iterator[np.ndarray]:
                 first = 2**level - 1
                 total = np.zeros((2, 2**level, len(chosen), width))
-                for batch in batches:
-                    bins = unpacked(batch)
-                    y, margin = batch.column("y").to_numpy(), batch.column("margin").to_numpy() + model.margins(bins, written)
+                for row, y, bins, margin in blocks:
                     q = 1 / (1 + np.exp(-margin))
-                    weight = np.where(y == 1, (1 - p) / p, 1.0) * drawn(batch.column("row").to_numpy(), number, seed, row_share)
-                    node = tree.leaves(bins, level)
-                    on = (node >= first) & (weight > 0)
-                    bins, at, w, q, y = bins[on], (node[on] - first) * width, weight[on], q[on], y[on]
+                    node = tree.leaves(bins, level) - first
+                    weight = np.where(y == 1, (1 - p) / p, 1.0) * (drawn(row, number, seed, row_share) & (node >= 0))
+                    at, w = np.maximum(node, 0) * width, (weight * (q - y), weight * q * (1 - q))
                     for k, f in enumerate(chosen):
-                        for part, amount in enumerate((w * (q - y), w * q * (1 - q))):
-                            total[part, :, k] += np.bincount(at + bins[:, f], amount, 2**level * width).reshape(-1, width)
-                flat = total.ravel()
-                here = np.flatnonzero(flat)
-                yield pa.RecordBatch.from_arrays([pa.array(here, pa.int64()), pa.array(flat[here])], ["place", "part"])
-
-            added = data.mapInArrow(histograms, "place long, part double").groupBy("place").agg(F.sum("part").alias("total")).toPandas()  # a row a node, feature and bin
-            total = np.zeros(2 * 2**level * len(chosen) * width)
-            total[added["place"].to_numpy()] = added["total"].to_numpy()
-            g, h = total.reshape(2, 2**level, len(chosen), width)
+                        place = at + bins[:, f]
+                        for part in range(2):
+                            total[part, :, k] += np.bincount(place, w[part], 2**level * width).reshape(-1, width)
+                yield total
+
+            g, h = np.sum(data.mapPartitions(histograms).collect(), axis=0)  # an array a task
+            if before is not None:  # the rows with the new margins are in place
+                before.unpersist()
+                before = None
+                if data.isCheckpointed():
+                    if written:
+                        Files(rows.sparkSession, written).delete("")
+                    written = data.getCheckpointFile()
             following = []
             for node in open_:
                 own = node - (2**level - 1)
@@ -185,15 +208,18 @@ def fit(train: DataFrame, features: list[str], label: str, trees: int = 300, dep
         for node, (a, b) in sums.items():
             tree.value[node] = -step * a / (b + PENALTY)
         model.trees.append(tree)
-        if len(model.trees) - written >= WRITTEN and number + 1 < trees:
-
-            def moved(batches: Iterable[pa.RecordBatch], first=written) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    margin = batch.column("margin").to_numpy() + model.margins(unpacked(batch), first)
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(margin)], ["row", "y", "bins", "margin"])
-
-            data = staged(data.mapInArrow(moved, schema))
-            written = len(model.trees)
+        if number + 1 < trees:
+
+            def moved(block: tuple[np.ndarray, ...], tree=tree) -> tuple[np.ndarray, ...]:
+                row, y, bins, margin = block
+                return row, y, bins, margin + tree.value[tree.leaves(bins)]
+
+            before, data = data, data.map(moved).persist(StorageLevel.MEMORY_AND_DISK)
+            if (number + 1) % WRITTEN == 0:
+                data.checkpoint()
+    data.unpersist()
+    if written:
+        Files(rows.sparkSession, written).delete("")
     return model
 
 

@@ -112,14 +112,16 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 def quantiles(frame: DataFrame, by: list[str], value: str, n: str, shares: list[float]) -> DataFrame:
     """Linear-interpolated quantiles by group, as (by, cuts: array in the order of ``shares``).
 
-    ``frame`` comes from running_totals over counts ``n``; only the rows that hold a wanted rank go on.
+    ``frame`` comes from running_totals over counts ``n``; only the rows that hold a wanted rank go on, told by plain
+    comparisons, so that no other row gets a list of ranks.
     """
-    ranks = []
+    ranks, holds = [], F.lit(False)
+    first, end = F.col(f"before_{n}"), F.col(f"before_{n}") + F.col(n)
     for i, q in enumerate(shares):
         at = F.lit(q) * (F.col(f"total_{n}") - 1)
+        holds = holds | ((at > first - 1) & (at < end))  # the rank below or above is one of the row's
         ranks += [F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), to(at).cast("long").alias("rank"), (at - F.floor(at)).alias("part")) for side, to in (("lo", F.floor), ("hi", F.ceil))]
-    first, end = F.col(f"before_{n}"), F.col(f"before_{n}") + F.col(n)
-    held = frame.select(*by, value, F.inline(F.filter(F.array(*ranks), lambda r: (r.rank >= first) & (r.rank < end))))
+    held = frame.where(holds).select(*by, value, F.inline(F.filter(F.array(*ranks), lambda r: (r.rank >= first) & (r.rank < end))))
     lo, hi = (F.max(F.when(F.col("side") == s, F.col(value))) for s in ("lo", "hi"))
     each = held.groupBy(*by, "i").agg((lo + (hi - lo) * F.max("part")).alias("cut"))
     return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "cut"))), lambda s: s.cut).alias("cuts"))

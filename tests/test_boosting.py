@@ -74,3 +74,23 @@ def test_odd_inputs(spark):
     assert got[1] > 0.5 > got[0] and model.gain[0] == model.gain[1] == 0
     with pytest.raises(ValueError, match="both classes"):
         boosting.fit(df.where("target_dlq_2yrs = 1"), ["c"], "target_dlq_2yrs")
+
+
+def test_a_level_is_one_job_of_one_stage(spark):
+    df = spark.createDataFrame(rows(400, 5), SCHEMA)
+    jobs, tracker = {}, spark.sparkContext.statusTracker()
+    for trees in (2, 6):
+        spark.sparkContext.setJobGroup(f"trees-{trees}", "boosting")
+        boosting.fit(df, ["a", "b", "c"], "target_dlq_2yrs", trees=trees, depth=3)
+        jobs[trees] = len(tracker.getJobIdsForGroup(f"trees-{trees}"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs[6] - jobs[2] <= 4 * 3
+
+
+def test_margins_written_anew_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame(rows(400, 6), SCHEMA)
+    fits = []
+    for written in (2, 50):
+        monkeypatch.setattr(boosting, "WRITTEN", written)
+        fits.append(boosting.fit(df, ["a", "b", "c"], "target_dlq_2yrs", trees=7, depth=3))
+    assert all((t.feature == u.feature).all() and (t.cut == u.cut).all() and t.value == pytest.approx(u.value) for t, u in zip(fits[0].trees, fits[1].trees))
