@@ -69,16 +69,17 @@ def lowest_fraction(df: DataFrame, by: list[str], score: str, key: str, rate: fl
     """Add ``approved``: whether a row is among the round(rate * n) lowest scores of its group, ties by ``key``.
 
     The score at the cut comes from the cumulative frame of distinct scores; only rows at it are ranked by key, again by
-    a cumulative frame, so that no group is sorted in one task. Rounding is half to even.
+    a cumulative frame, so that no group is sorted in one task. These are staged: where they are few, as their size tells,
+    the rows themselves aren't shuffled. Rounding is half to even.
     """
     narrow = staged(df.select(*by, F.col(score).alias("__score"), F.col(key).alias("__key")))  # what places are decided by
     counts = narrow.groupBy(*by, "__score").agg(F.count("*").alias("n"))
     frame = running_totals(counts, by, "__score", ["n"])
     need = F.bround(F.lit(rate) * F.col("total_n"), 0).cast("long")
-    cut = frame.where((F.col("before_n") < need) & (F.col("before_n") + F.col("n") >= need)).select(*by, F.col("__score").alias("__cut"), (need - F.col("before_n")).alias("__left"))
+    cut = staged(frame.where((F.col("before_n") < need) & (F.col("before_n") + F.col("n") >= need)).select(*by, F.col("__score").alias("__cut"), (need - F.col("before_n")).alias("__left")))
     marked = df.join(F.broadcast(cut), by, "left")  # a row a group
     at = narrow.join(F.broadcast(cut), by).where(F.col("__score") == F.col("__cut"))
-    keys = running_totals(at.groupBy(*by, "__key").agg(F.count("*").alias("m")), by, "__key", ["m"]).select(*by, F.col("__key").alias(key), (F.col("before_m") + 1).alias("__place"))
+    keys = staged(running_totals(at.groupBy(*by, "__key").agg(F.count("*").alias("m")), by, "__key", ["m"]).select(*by, F.col("__key").alias(key), (F.col("before_m") + 1).alias("__place")))
     placed = marked.join(keys, [*by, key], "left")
     inside = (F.col(score) < F.col("__cut")) | ((F.col(score) == F.col("__cut")) & (F.col("__place") <= F.col("__left")))
     return placed.withColumn("approved", F.coalesce(inside, F.lit(False))).select(*df.columns, "approved")
