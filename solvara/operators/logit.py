@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from solvara.operators.profile import numeric_summary
+from solvara.operators.ranking import quantiles, running_totals
 from solvara.storage import staged
 
 #: Newton steps at most, and the largest change of a coefficient at which they stop.
@@ -50,9 +50,10 @@ def preparation(train: DataFrame, features: list[str]) -> tuple[list[float], lis
 
     A feature without values counts as 0, one without deviation stays as it is.
     """
-    kinds = [F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")).alias(f) for f in features]
-    found = {r.column_name: r.p50 for r in numeric_summary(train.select(kinds), features, exact=True).collect()}  # a row a feature
-    medians = [found[f] if found[f] is not None else 0.0 for f in features]
+    items = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)])
+    counts = train.select(F.inline(items)).where("value is not null and not isnan(value)").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    found = {r.feature: r.cuts[0] for r in quantiles(running_totals(counts, ["feature"], "value", ["n"]), ["feature"], "value", "n", [0.5]).collect()}  # a row a feature
+    medians = [found.get(i, 0.0) for i in range(len(features))]
     filled = train.select([F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(m)), F.lit(m)).alias(f) for f, m in zip(features, medians)])
     one = filled.agg(*[F.avg(f).alias(f"a{i}") for i, f in enumerate(features)], *[F.stddev_samp(f).alias(f"d{i}") for i, f in enumerate(features)]).first()
     means = [one[f"a{i}"] or 0.0 for i in range(len(features))]

@@ -9,7 +9,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
-from solvara.operators import isotonic, logit, models
+from solvara.operators import isotonic, logit, models, ranking
+from solvara.plans import catalogue
 
 
 def plain_isotonic(points):
@@ -113,3 +114,36 @@ def test_permutation_importance_of_a_useless_feature(spark):
     m = logit.fit(df, ["a", "b", "c"], "y")
     got = {r.feature: r.auc_drop for r in models.permutation_importance(m, df.withColumnRenamed("y", "target_dlq_2yrs"), ["a", "b", "c"]).collect()}
     assert got["a"] > 0.05 and abs(got["c"]) < 0.03 and set(got) == {"a", "b", "c"}
+
+
+def test_few_rows_at_the_cut_leave_the_others_unshuffled(spark, tmp_path):
+    df = credit(spark, 500).select("customer_id", "y", F.col("b").alias("score"), F.lit(1).alias("model"))
+    df.write.parquet(path := f"file://{tmp_path}/rows")
+    out = ranking.lowest_fraction(spark.read.parquet(path), ["model"], "score", "customer_id", 0.3)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.where("approved").count() == 150
+
+
+@pytest.mark.parametrize("name", ["m31_model_scoring", "d7_drift_history"])
+def test_queries_with_several_passes_make_the_portfolio_once(spark, monkeypatch, name):
+    class Seen(Exception):
+        pass
+
+    def seen(rows, *_):
+        raise Seen("lineitem" in rows._jdf.queryExecution().toString())
+
+    monkeypatch.setattr(catalogue.logit, "fit", seen)
+    monkeypatch.setattr(catalogue.drift, "mode_report", seen)
+    with pytest.raises(Seen) as got:
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.value.args == (False,)
+
+
+def test_quantiles_of_ties_and_single_values(spark):
+    rng = random.Random(5)
+    values = {"one": [3.0], "ties": [float(rng.randrange(4)) for _ in range(101)], "many": [rng.gauss(0, 1) for _ in range(257)]}
+    df = spark.createDataFrame([(k, x) for k, xs in values.items() for x in xs], "k string, x double")
+    shares = [0.0, 0.1, 0.25, 0.5, 0.731, 1.0]
+    frame = ranking.running_totals(df.groupBy("k", "x").agg(F.count("*").alias("n")), ["k"], "x", ["n"])
+    for r in ranking.quantiles(frame, ["k"], "x", "n", shares).collect():
+        assert r.cuts == pytest.approx([float(np.quantile(values[r.k], q)) for q in shares])
