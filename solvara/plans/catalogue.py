@@ -804,7 +804,7 @@ def _(spark, folder):
 @query("m31_model_scoring", LABELLED + ", sp AS (SELECT *, target_dlq_2yrs AS y FROM scored)\n" + newton_sql("y IS NOT NULL") + "SELECT customer_id, round(p, 6) AS probability, CASE WHEN p >= 0.45 THEN 'negado' ELSE 'aprovado' END AS decision, 'logistic' AS model_name, '1' AS model_version, 0.45::DOUBLE AS threshold FROM (SELECT customer_id, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM xs, b WHERE NOT tr)")
 def _(spark, folder):
     """The unlabelled rows scored by a logistic model of the labelled ones."""
-    rows = portfolio(spark, folder)
+    rows = staged(portfolio(spark, folder).select(KEY, LABEL, *FEATURES))
     model = logit.fit(rows, FEATURES, LABEL)
     return models.predictions(models.probabilities(model, rows.where(F.col(LABEL).isNull()), FEATURES), "logistic", "1").drop("run_at")
 
@@ -893,8 +893,9 @@ _HISTORY = "SELECT feature, round(psi, 6) AS psi, psi_class, round(ks, 6) AS ks,
 def _(spark, folder):
     """Two runs append to one history."""
     path = shared_dir(spark) + "/history"
+    rows = staged(portfolio(spark, folder).select(KEY, LABEL, *FEATURES))
     for mode in ("scoring", "training_amostra"):
-        tables.append_by_date(drift.report_history(drift.mode_report(portfolio(spark, folder), FEATURES, mode, LABEL, star.hash_bucket()), mode, F.current_timestamp()), path)
+        tables.append_by_date(drift.report_history(drift.mode_report(rows, FEATURES, mode, LABEL, star.hash_bucket()), mode, F.current_timestamp()), path)
     return tables.read_merged(spark, path).drop("run_at", "run_date")
 
 
